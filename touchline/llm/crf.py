@@ -11,6 +11,7 @@ before), cut into as many stretches as each is long, and the 2 x 2 products of a
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +29,9 @@ EDGES = b".,;:!?\"'()[]*%$&#|-_<>"
 PREFIXES = range(3, 8)
 MOST_FEATURES = 60_000
 THRESHOLD = 0.3
+LEAST_RATIO = 30.0
+#: Documents of each label that the field is fitted on.
+FIELD_ROWS = 500
 CACHE = 200_000
 TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -100,7 +104,7 @@ class Model:
     bias: float
     transition: np.ndarray
     initial: np.ndarray
-    document: np.ndarray  # logistic weights: bias, largest marginal, log of 1 + their sum
+    document: np.ndarray  # logistic weights: see _document
 
     def emission(self, word: bytes) -> float:
         return self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
@@ -118,12 +122,15 @@ class _Cache(dict):
 
 
 def _document(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """1, the largest marginal and log(1 + sum) of each document that has tokens."""
+    """1, the largest marginal, log(1 + sum) and the log of 1 + the sum for a hundred tokens, of each document that has tokens."""
     at = np.flatnonzero(starts)
-    return np.stack([np.ones(len(at)), np.maximum.reduceat(p, at), np.log1p(np.add.reduceat(p, at))], 1) if len(at) else np.zeros((0, 3))
+    if not len(at):
+        return np.zeros((0, 4))
+    total = np.add.reduceat(p, at)
+    return np.stack([np.ones(len(at)), np.maximum.reduceat(p, at), np.log1p(total), np.log1p(100 * total / np.diff(np.append(at, len(p))))], 1)
 
 
-def fit(rows: list[tuple[bytes, int]], steps: int = 40) -> Model:
+def fit(rows: list[tuple[bytes, int]], steps: int = 25) -> Model:
     """A model from (text, label) rows; without any toxic row it scores everything near 0."""
     rows = labelled.without_copies(rows)
     words = [t.lower().split() for t, _ in rows]
@@ -133,14 +140,16 @@ def fit(rows: list[tuple[bytes, int]], steps: int = 40) -> Model:
     known = _Cache(features)
     for w, y in zip(words, y_doc, strict=True):
         (d1 if y else d0).update({f for x in set(w) for f in known[x]})
-    # Words and prefixes that occur nearly only in toxic documents, in several of them.
-    least = max(3, n1 // 200)
-    odds = {f: ((a + 0.1) / n1) / ((d0.get(f, 0) + 0.1) / n0) for f, a in d1.items() if a >= least}
-    toxic = {f for f, o in odds.items() if o >= 20 and d1[f] >= least and len(f) > 3}
-    ranked = sorted(odds, key=lambda f: (-abs(np.log(odds[f])) * np.sqrt(d1[f]), f))[: MOST_FEATURES // 2]
+    # Words and prefixes that occur nearly only in toxic documents, and too often for chance: a likelihood ratio of LEAST_RATIO.
+    toxic = {f for f, a in d1.items() if len(f) > 3 and a / n1 >= 20 * (d0.get(f, 0) + 0.1) / n0 and _ratio(a, d0.get(f, 0), n1, n0) >= LEAST_RATIO}
+    strong = sorted(d1, key=lambda f: (-_ratio(d1[f], d0.get(f, 0), n1, n0), f))[: MOST_FEATURES // 2]
     common = [f for f, _ in sorted(d0.items(), key=lambda x: (-x[1], x[0]))[: MOST_FEATURES // 2]]
-    names = list(dict.fromkeys([*ranked, *common]))
+    names = list(dict.fromkeys([*strong, *common]))
     index = {f: i for i, f in enumerate(names)}
+    # The field itself is fitted on fewer documents: their tokens are many.
+    order = [*np.flatnonzero(y_doc == 1)[:FIELD_ROWS].tolist(), *np.flatnonzero(y_doc == 0)[:FIELD_ROWS].tolist()]
+    all_words, all_y = words, y_doc
+    words, y_doc = [words[i] for i in order], y_doc[order]
 
     types: dict[bytes, int] = {}
     tok, starts, y_tok = [], [], []
@@ -176,15 +185,22 @@ def fit(rows: list[tuple[bytes, int]], steps: int = 40) -> Model:
         trans = trans + 0.3 * (seen - xi) / (xi.sum(1, keepdims=True) + 5)
         init = init + 0.3 * (seen_first - first) / (first.sum() + 5)
     kept = {f: float(theta[i]) for f, i in index.items() if abs(theta[i]) > 0.05}
-    model = Model(kept, float(bias), soft(trans), soft(init), np.array([-4.0, 6.0, 1.0]))
+    model = Model(kept, float(bias), soft(trans), soft(init), np.array([-4.0, 6.0, 1.0, 0.0]))
     if len(tok):
-        e_type = np.array([model.emission(x) for x in types])
-        x = _document(forward_backward(e_type[tok], starts, model.transition, model.initial), starts)
-        y = y_doc[[bool(w) for w in words]]
-        model.document = _logistic(x, y)
+        emission = _Cache(model.emission)
+        logits = np.array([emission[x] for w in all_words for x in w])
+        starts = np.array([i == 0 for w in all_words for i in range(len(w))], dtype=bool)
+        x = _document(forward_backward(logits, starts, model.transition, model.initial), starts)
+        model.document = _logistic(x, all_y[[bool(w) for w in all_words]])
     return model
 
 
+def _ratio(a: int, b: int, n1: int, n0: int) -> float:
+    """Twice the log likelihood ratio of a feature in a of n1 and b of n0 documents, against one rate for both."""
+    both = (a + b) / (n1 + n0)
+    return 2 * sum(n * math.log(n / (m * both)) for n, m in ((a, n1), (b, n0)) if n)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 25, ridge: float = 0.05) -> np.ndarray:
     """Ridge logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
@@ -206,7 +222,7 @@ def tag(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         cache = _Cache(own.emission)
-        empty = 1 / (1 + np.exp(-np.clip(np.array([1.0, 0.0, 0.0]) @ own.document, -30, 30)))
+        empty = 1 / (1 + np.exp(-np.clip(np.array([1.0, 0.0, 0.0, 0.0]) @ own.document, -30, 30)))
         for batch in batches:
             scores, spans = [], []
             for part in slices(batch.column(2)):
@@ -234,6 +250,6 @@ def tag(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,stop:int>>")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 3000, threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 4000, threshold: float = THRESHOLD) -> DataFrame:
     """Fit on at most ``sample_rows`` labelled documents outside the held-out fold, then ``tag`` every document."""
-    return tag(docs, fit(labelled.sample(docs, labels, "toxic", rows=sample_rows, balanced=True)), threshold=threshold)
+    return tag(docs, fit(labelled.sample(docs, labels, "toxic", rows=sample_rows, share=0.25)), threshold=threshold)

@@ -141,7 +141,7 @@ def vote(model: Model, vectors: np.ndarray, neighbours: int = NEIGHBOURS) -> np.
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 4000) -> Model:
     """Fit on at most ``sample_rows`` labelled documents outside the held-out fold."""
-    return fit(labelled.sample(docs, labels, "quality", rows=sample_rows, balanced=False))
+    return fit(labelled.sample(docs, labels, "quality", rows=sample_rows))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:

@@ -18,17 +18,18 @@ def held_out(id_col: str = "doc_id"):
     return fold(F.col(id_col), FOLDS) == HELD_OUT
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, *, rows: int, balanced: bool, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, *, rows: int, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
     """(text, label) of at most ``rows`` labelled documents outside the held-out fold, the first in order of a hash of the id.
 
-    balanced: half of each label where there are enough. Null labels and ids don't count; of different labels for an id the largest does. Texts over ``MOST_BYTES`` are
+    share: the part with label 1, where there are enough (None: as they come). Null labels and ids don't count; of different labels for an id the largest does. Texts over ``MOST_BYTES`` are
     left out of fitting only.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     known = known.filter(fold(F.col("id"), FOLDS) != HELD_OUT).groupBy("id").agg(F.max("y").alias("y"))
     order = (F.xxhash64("id"), F.col("id"))
-    if balanced:
-        picked = known.filter("y = 0").orderBy(*order).limit(rows // 2).unionByName(known.filter("y = 1").orderBy(*order).limit(rows // 2))
+    if share is not None:
+        ones = int(rows * share)
+        picked = known.filter("y = 0").orderBy(*order).limit(rows - ones).unionByName(known.filter("y = 1").orderBy(*order).limit(ones))
     else:
         picked = known.orderBy(*order).limit(rows)
     # The picked ids are at most ``rows``, so they are broadcast and the texts stay where they are.

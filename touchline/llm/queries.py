@@ -63,7 +63,8 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(k) for k in secrets.KINDS])
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["stop"])), ",")
     number = lambda f: F.size(F.filter("spans", f)).cast("long")
-    kinds = [number(lambda s, k=k: s["kind"] == k).alias(f"n_{secrets.KINDS[k]}") for k in range(secrets.BASE)]
+    of_kind = lambda k: number(lambda s: s["kind"] == k)
+    kinds = [of_kind(k).alias(f"n_{secrets.KINDS[k]}") for k in range(secrets.BASE)]
     return found.select("doc_id", *kinds, "base_sha256", text.alias("spans"), number(lambda s: s["live"]).alias("n_live"), number(lambda s: ~s["live"]).alias("n_example"))
 
 
