@@ -1,6 +1,516 @@
-"""The catalogue of queries over the driver's tables."""
+"""Queries over the driver's tables, by name, each with SQL that gives the same rows where SQL can express it.
+
+The tables stand in for match files: see sources.fixtures. Doubles are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import datetime
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from touchline.functions import scalar
+from touchline.operators import enrich, features, lookups, models, rest
+from touchline.sources import fixtures
+
+QUAL = "1-URGENT"
+TOURNAMENTS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
+TEAMS = ("NATION_1", "NATION_11", "NATION_16", "NATION_21", "NATION_6")
+SINCE = datetime.date(1997, 1, 1)
+HOME, AWAY = "NATION_6", "NATION_7"
+CONFEDERATIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Common tables of the SQL side, each after those it needs.
+CTE = {
+    "chosen": f"""SELECT * FROM matches WHERE tournament IN {TOURNAMENTS} AND home_team IN {TEAMS} AND away_team IN {TEAMS} AND date >= DATE '{SINCE}'""",
+    "quals": f"SELECT * FROM matches WHERE tournament = '{QUAL}'",
+    "sides": """SELECT match_id, home_team AS team, 'home' AS side, date AS match_date FROM quals
+      UNION ALL SELECT match_id, away_team, 'away', date FROM quals""",
+    "prev": "SELECT *, lag(match_date) OVER (PARTITION BY team ORDER BY match_date, match_id, side) AS previous_match_date FROM sides",
+    "rested": """SELECT q.*, h.days AS home_days_rest, a.days AS away_days_rest, CAST(h.days - a.days AS INTEGER) AS rest_diff FROM quals q
+      JOIN (SELECT match_id, CAST(date_diff('day', previous_match_date, match_date) AS INTEGER) AS days FROM prev WHERE side = 'home') h USING (match_id)
+      JOIN (SELECT match_id, CAST(date_diff('day', previous_match_date, match_date) AS INTEGER) AS days FROM prev WHERE side = 'away') a USING (match_id)""",
+    "views": """SELECT match_id, home_score, away_score, home_team AS team, home_days_rest AS own, away_days_rest AS other, TRUE AS is_home,
+        CASE WHEN home_score > away_score THEN 1 WHEN home_score < away_score THEN -1 ELSE 0 END AS team_result FROM rested
+      UNION ALL SELECT match_id, home_score, away_score, away_team, away_days_rest, home_days_rest, FALSE,
+        CASE WHEN away_score > home_score THEN 1 WHEN away_score < home_score THEN -1 ELSE 0 END FROM rested""",
+    "grouped": """SELECT *, CASE WHEN own <= 5 THEN CAST(own AS VARCHAR) ELSE '>5' END AS rest_group,
+        CASE WHEN own > other THEN 'more' WHEN own < other THEN 'less' WHEN own = other THEN 'same' END AS relative_rest FROM views""",
+    "paired": "SELECT *, concat_ws('_', least(home_team, away_team), greatest(home_team, away_team)) AS matchup_id, home_score - away_score AS goal_diff FROM chosen",
+    "h2h": "SELECT *, coalesce(avg(goal_diff) OVER (PARTITION BY matchup_id), 0.0) AS head_to_head_goal_diff FROM paired",
+    "rolled": """SELECT *, avg(home_score) OVER h AS home_team_avg_scored, avg(away_score) OVER h AS home_team_avg_conceded,
+        avg(away_score) OVER a AS away_team_avg_scored, avg(home_score) OVER a AS away_team_avg_conceded FROM h2h
+      WINDOW h AS (PARTITION BY home_team ORDER BY date, match_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING),
+        a AS (PARTITION BY away_team ORDER BY date, match_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""",
+    "complete": """SELECT *, CASE WHEN home_score > away_score THEN 2 WHEN home_score < away_score THEN 0 ELSE 1 END AS label FROM rolled
+      WHERE home_score IS NOT NULL AND away_score IS NOT NULL AND city IS NOT NULL AND country IS NOT NULL AND home_team_avg_scored IS NOT NULL
+        AND home_team_avg_conceded IS NOT NULL AND away_team_avg_scored IS NOT NULL AND away_team_avg_conceded IS NOT NULL""",
+    "split": "SELECT *, row_number() OVER (ORDER BY md5(CAST(match_id AS VARCHAR) || '|42'), match_id) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM complete",
+}
+
+
+def sql(body: str, *ctes: str) -> str:
+    return fixtures.SQL + "".join(f", {name} AS (\n{CTE[name]}\n)" for name in ctes) + body
+
+
+FEATURES = ("chosen", "paired", "h2h", "rolled", "complete")
+REST = ("quals", "sides", "prev", "rested", "views", "grouped")
+
+
+def registered(name: str, body: str | None = None, *ctes: str):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if body is not None:
+            ORACLE_SQL[name] = sql(body, *ctes)
+        return f
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(scalar.col(c).cast("double"), 6)
+
+
+def chosen(spark: SparkSession, d: str) -> DataFrame:
+    return features.select_matches(fixtures.matches(spark, d), TEAMS, TOURNAMENTS, SINCE)
+
+
+def quals(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.matches(spark, d).filter(F.col("tournament") == QUAL)
+
+
+def view(spark: SparkSession, d: str) -> DataFrame:
+    return rest.team_view(rest.with_rest_days(quals(spark, d)))
+
+
+def prepared(spark: SparkSession, d: str) -> DataFrame:
+    return features.prepare(enrich.with_confederations(fixtures.matches(spark, d), fixtures.countries(spark, d)), TEAMS, TOURNAMENTS, SINCE)
+
+
+VOCABULARIES = {"home_team": list(TEAMS), "away_team": list(TEAMS), "home_team_confederation": ["AMERICA"], "away_team_confederation": ["AMERICA"]}
+NAMES = [*features.NUMERIC, *features.encoded_names(VOCABULARIES)]
+
+
+def complete(spark: SparkSession, d: str) -> DataFrame:
+    return features.build_features(prepared(spark, d), VOCABULARIES)
+
+
+# Lookups.
+
+FORM = f"""
+SELECT team, CAST(rank AS INTEGER) AS rank, date, home_team, home_score, away_score, away_team FROM (
+  SELECT s.team, row_number() OVER (PARTITION BY s.team ORDER BY q.date DESC, q.match_id DESC) AS rank, q.* FROM quals q JOIN sides s USING (match_id)) WHERE rank <= 5"""
+
+
+@registered("recent_form", f"""
+SELECT CAST(row_number() OVER (ORDER BY date, match_id) AS INTEGER) AS position, date, home_team, home_score, away_score, away_team FROM (
+  SELECT * FROM matches WHERE (home_team = '{HOME}' OR away_team = '{HOME}') AND tournament = '{QUAL}' ORDER BY date DESC, match_id DESC LIMIT 5)""")
+def recent_form(spark, d):
+    return lookups.recent_form(fixtures.matches(spark, d), HOME, 5, QUAL)
+
+
+@registered("recent_form_all_teams", FORM, "quals", "sides")
+def recent_form_all_teams(spark, d):
+    return lookups.recent_form_all_teams(fixtures.matches(spark, d), 5, QUAL)
+
+
+PAIR = f"FROM matches WHERE home_team = '{HOME}' AND away_team = '{AWAY}' AND tournament = "
+
+
+@registered("head_to_head", f"SELECT date, home_team, home_score, away_score, away_team {PAIR} '{QUAL}'")
+def head_to_head(spark, d):
+    return lookups.head_to_head(fixtures.matches(spark, d), HOME, AWAY, QUAL)
+
+
+SUMMARY = """SELECT count(*) FILTER (WHERE home_score > away_score) AS home_wins, count(*) FILTER (WHERE home_score < away_score) AS away_wins,
+  count(*) FILTER (WHERE home_score = away_score) AS draws, CAST(coalesce(sum(home_score), 0) AS BIGINT) AS home_goals, CAST(coalesce(sum(away_score), 0) AS BIGINT) AS away_goals """
+
+
+@registered("head_to_head_summary", f"{SUMMARY}{PAIR} '{QUAL}'")
+def head_to_head_summary(spark, d):
+    return lookups.head_to_head_summary(lookups.head_to_head(fixtures.matches(spark, d), HOME, AWAY, QUAL))
+
+
+@registered("head_to_head_summary_empty", f"{SUMMARY}{PAIR} 'none'")
+def head_to_head_summary_empty(spark, d):
+    return lookups.head_to_head_summary(lookups.head_to_head(fixtures.matches(spark, d), HOME, AWAY, "none"))
+
+
+JOINED = "FROM matches m JOIN goals g ON m.date = g.date AND m.home_team = g.home_team AND m.away_team = g.away_team"
+GOAL_COLUMNS = 'm.*, g.team, g.scorer, g."minute" AS "minute"'
+OF_PAIR = f" WHERE m.home_team = '{HOME}' AND m.away_team = '{AWAY}' AND m.tournament = '{QUAL}'"
+
+
+def with_goals(spark, d):
+    return enrich.results_with_goals(fixtures.matches(spark, d), fixtures.goals(spark, d))
+
+
+@registered("scorer_history", f'SELECT g.scorer, g.team, count(g."minute") AS goals {JOINED}{OF_PAIR} GROUP BY g.scorer, g.team')
+def scorer_history(spark, d):
+    return lookups.scorer_history(with_goals(spark, d), HOME, AWAY, QUAL)
+
+
+@registered("scorer_rows", f"SELECT {GOAL_COLUMNS} {JOINED}{OF_PAIR}")
+def scorer_rows(spark, d):
+    return lookups.scorer_rows(with_goals(spark, d), HOME, AWAY, QUAL)
+
+
+@registered("results_with_goals", f"SELECT {GOAL_COLUMNS} {JOINED}")
+def results_with_goals(spark, d):
+    return with_goals(spark, d)
+
+
+@registered("with_confederations", """
+SELECT m.*, h.confederation AS home_team_confederation, a.confederation AS away_team_confederation FROM matches m
+LEFT JOIN countries h ON m.home_team = h.country LEFT JOIN countries a ON m.away_team = a.country""")
+def with_confederations(spark, d):
+    return enrich.with_confederations(fixtures.matches(spark, d), fixtures.countries(spark, d))
+
+
+# Scalar expressions and filters.
+
+
+@registered("matches_scan", "SELECT * FROM matches")
+def matches_scan(spark, d):
+    return fixtures.matches(spark, d)
+
+
+@registered("matchup_key", "SELECT match_id, concat_ws('_', least(home_team, away_team), greatest(home_team, away_team)) AS matchup_id FROM matches")
+def matchup_key(spark, d):
+    return fixtures.matches(spark, d).select("match_id", scalar.matchup().alias("matchup_id"))
+
+
+@registered("goal_diff", "SELECT match_id, home_score - away_score AS goal_diff FROM matches")
+def goal_diff(spark, d):
+    return fixtures.matches(spark, d).select("match_id", scalar.goal_diff().alias("goal_diff"))
+
+
+@registered("match_outcome", "SELECT match_id, CASE WHEN home_score > away_score THEN 2 WHEN home_score < away_score THEN 0 ELSE 1 END AS outcome FROM matches")
+def match_outcome(spark, d):
+    return fixtures.matches(spark, d).select("match_id", scalar.outcome().alias("outcome"))
+
+
+@registered("home_win_flag", "SELECT match_id, CASE WHEN home_score > away_score THEN 1 ELSE 0 END AS home_win FROM matches")
+def home_win_flag(spark, d):
+    return fixtures.matches(spark, d).select("match_id", scalar.home_win().alias("home_win"))
+
+
+@registered("tournament_in", f"SELECT match_id, tournament FROM matches WHERE tournament IN {TOURNAMENTS}")
+def tournament_in(spark, d):
+    return fixtures.matches(spark, d).filter(F.col("tournament").isin(*TOURNAMENTS)).select("match_id", "tournament")
+
+
+@registered("team_in_date_from", "SELECT match_id, date, home_team, away_team FROM chosen", "chosen")
+def team_in_date_from(spark, d):
+    return chosen(spark, d).select("match_id", "date", "home_team", "away_team")
+
+
+# Rest.
+
+
+@registered("team_matches_union", "SELECT * FROM sides", "quals", "sides")
+def team_matches_union(spark, d):
+    return rest.team_matches(quals(spark, d))
+
+
+@registered("previous_match", "SELECT match_id, team, side, match_date, previous_match_date FROM prev", "quals", "sides", "prev")
+def previous_match(spark, d):
+    return rest.previous_match(quals(spark, d)).drop("days_rest")
+
+
+@registered("days_rest", "SELECT match_id, team, side, CAST(date_diff('day', previous_match_date, match_date) AS INTEGER) AS days_rest FROM prev", "quals", "sides", "prev")
+def days_rest(spark, d):
+    return rest.previous_match(quals(spark, d)).select("match_id", "team", "side", "days_rest")
+
+
+@registered("match_rest_days", "SELECT match_id, home_days_rest, away_days_rest, rest_diff FROM rested", "quals", "sides", "prev", "rested")
+def match_rest_days(spark, d):
+    return rest.with_rest_days(quals(spark, d)).select("match_id", "home_days_rest", "away_days_rest", "rest_diff")
+
+
+@registered("team_result", "SELECT match_id, team, is_home, team_result FROM grouped", *REST)
+def team_result(spark, d):
+    return view(spark, d).select("match_id", "team", "is_home", "team_result")
+
+
+@registered("rest_group", "SELECT match_id, team, own AS team_days_rest, other AS opponent_days_rest, rest_group, relative_rest FROM grouped", *REST)
+def rest_group(spark, d):
+    return view(spark, d).select("match_id", "team", "team_days_rest", "opponent_days_rest", "rest_group", "relative_rest")
+
+
+RATE = "round(avg(CASE WHEN team_result = 1 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS win_rate, count(*) AS matches"
+
+
+def rounded(rates: DataFrame) -> DataFrame:
+    return rates.withColumn("win_rate", r6("win_rate"))
+
+
+@registered("rest_group_win_rate", f"SELECT rest_group, {RATE} FROM grouped WHERE team = '{HOME}' GROUP BY rest_group", *REST)
+def rest_group_win_rate(spark, d):
+    return rounded(rest.rest_group_win_rate(view(spark, d).filter(F.col("team") == HOME)))
+
+
+@registered("rest_group_reindexed", f"""
+SELECT CAST(position AS INTEGER) AS position, v.rest_group, win_rate, matches FROM (VALUES (0, '4'), (1, '5'), (2, '>5')) v(position, rest_group)
+LEFT JOIN (SELECT rest_group, {RATE} FROM grouped WHERE team = '{HOME}' GROUP BY rest_group) g ON v.rest_group = g.rest_group""", *REST)
+def rest_group_reindexed(spark, d):
+    return rounded(rest.reindexed(rest.rest_group_win_rate(view(spark, d).filter(F.col("team") == HOME))))
+
+
+@registered("relative_rest_win_rate", f"SELECT relative_rest, {RATE} FROM grouped WHERE team = '{HOME}' AND relative_rest IS NOT NULL GROUP BY relative_rest", *REST)
+def relative_rest_win_rate(spark, d):
+    return rounded(rest.relative_rest_win_rate(view(spark, d).filter(F.col("team") == HOME)))
+
+
+@registered("relative_rest_by_venue", f"SELECT relative_rest, is_home, {RATE} FROM grouped WHERE team = '{HOME}' AND relative_rest IS NOT NULL GROUP BY relative_rest, is_home", *REST)
+def relative_rest_by_venue(spark, d):
+    return rounded(rest.relative_rest_by_venue(view(spark, d).filter(F.col("team") == HOME)))
+
+
+@registered("rest_all_teams", f"SELECT team, relative_rest, is_home, {RATE} FROM grouped WHERE relative_rest IS NOT NULL GROUP BY team, relative_rest, is_home", *REST)
+def rest_all_teams(spark, d):
+    return rounded(rest.relative_rest_by_venue(view(spark, d), "team"))
+
+
+@registered("rest_groups_all_teams", f"SELECT team, rest_group, {RATE} FROM grouped GROUP BY team, rest_group", *REST)
+def rest_groups_all_teams(spark, d):
+    return rounded(rest.rest_group_win_rate(view(spark, d), "team"))
+
+
+@registered("win_rate_percent", f"""SELECT relative_rest, printf('%.2f%%', 100 * count(*) FILTER (WHERE team_result = 1) / count(*)::DOUBLE) AS share FROM grouped
+WHERE team = '{HOME}' AND relative_rest IS NOT NULL GROUP BY relative_rest""", *REST)
+def win_rate_percent(spark, d):
+    rates = rest.relative_rest_win_rate(view(spark, d).filter(F.col("team") == HOME))
+    return rates.select("relative_rest", scalar.percent("win_rate").alias("share"))
+
+
+# Features.
+
+
+@registered("h2h_avg_group", "SELECT matchup_id, round(avg(goal_diff), 6) AS head_to_head_goal_diff FROM paired GROUP BY matchup_id", "chosen", "paired")
+def h2h_avg_group(spark, d):
+    return features.head_to_head_stats(chosen(spark, d)).withColumn("head_to_head_goal_diff", r6("head_to_head_goal_diff"))
+
+
+H2H = "SELECT match_id, matchup_id, goal_diff, round(head_to_head_goal_diff, 6) AS head_to_head_goal_diff FROM h2h"
+
+
+def h2h(df: DataFrame) -> DataFrame:
+    return df.select("match_id", "matchup_id", "goal_diff", r6("head_to_head_goal_diff").alias("head_to_head_goal_diff"))
+
+
+@registered("h2h_avg_joined", H2H, "chosen", "paired", "h2h")
+def h2h_avg_joined(spark, d):
+    return h2h(features.with_head_to_head_joined(chosen(spark, d)))
+
+
+@registered("h2h_avg_window", H2H, "chosen", "paired", "h2h")
+def h2h_avg_window(spark, d):
+    return h2h(features.with_head_to_head(chosen(spark, d)))
+
+
+@registered("h2h_avg_prior", """SELECT match_id, round(coalesce(avg(goal_diff) OVER (PARTITION BY matchup_id ORDER BY date, match_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS head_to_head_goal_diff FROM paired""", "chosen", "paired")
+def h2h_avg_prior(spark, d):
+    return h2h(features.with_head_to_head(chosen(spark, d), "prior")).select("match_id", "head_to_head_goal_diff")
+
+
+@registered("fill_h2h", "SELECT match_id, round(head_to_head_goal_diff, 6) AS head_to_head_goal_diff FROM h2h", "chosen", "paired", "h2h")
+def fill_h2h(spark, d):
+    return h2h(features.with_head_to_head(chosen(spark, d))).select("match_id", "head_to_head_goal_diff")
+
+
+def rolling(venue: str) -> tuple[str, str]:
+    return f"{venue}_team_avg_scored", f"{venue}_team_avg_conceded"
+
+
+def rolling_sql(venue: str) -> str:
+    return "SELECT match_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in rolling(venue)) + " FROM rolled"
+
+
+def rolled(spark, d, venue: str) -> DataFrame:
+    return features.with_rolling_averages(chosen(spark, d), only=rolling(venue)).select("match_id", *[r6(c).alias(c) for c in rolling(venue)])
+
+
+@registered("rolling_home", rolling_sql("home"), "chosen", "paired", "h2h", "rolled")
+def rolling_home(spark, d):
+    return rolled(spark, d, "home")
+
+
+@registered("rolling_away", rolling_sql("away"), "chosen", "paired", "h2h", "rolled")
+def rolling_away(spark, d):
+    return rolled(spark, d, "away")
+
+
+def latest_sql(venue: str) -> str:
+    cols = ", ".join(f"round(coalesce({c}, 0.0), 6) AS {c}" for c in rolling(venue))
+    return f"SELECT {venue}_team AS team, {cols} FROM rolled QUALIFY row_number() OVER (PARTITION BY {venue}_team ORDER BY date DESC, match_id DESC) = 1"
+
+
+@registered("latest_home_form", latest_sql("home"), "chosen", "paired", "h2h", "rolled")
+def latest_home_form(spark, d):
+    return features.latest_form(chosen(spark, d), "home").select("team", *[r6(c).alias(c) for c in rolling("home")])
+
+
+@registered("latest_away_form", latest_sql("away"), "chosen", "paired", "h2h", "rolled")
+def latest_away_form(spark, d):
+    return features.latest_form(chosen(spark, d), "away").select("team", *[r6(c).alias(c) for c in rolling("away")])
+
+
+def hot_sql(columns: dict[str, str], values: tuple[str, ...]) -> str:
+    return ", ".join(f"""CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS "{name}_{v}\"""" for name, c in columns.items() for v in sorted(values))
+
+
+@registered("one_hot_teams", f"SELECT match_id, {hot_sql({'home_team': 'home_team', 'away_team': 'away_team'}, TEAMS)} FROM chosen", "chosen")
+def one_hot_teams(spark, d):
+    rows = chosen(spark, d).select("match_id", "home_team", "away_team")
+    return features.encode(rows, ["home_team", "away_team"], VOCABULARIES)
+
+
+@registered("one_hot_confederations", f"""SELECT match_id, {hot_sql({'home_team_confederation': 'h.confederation', 'away_team_confederation': 'a.confederation'}, CONFEDERATIONS)}
+FROM matches m LEFT JOIN countries h ON m.home_team = h.country LEFT JOIN countries a ON m.away_team = a.country""")
+def one_hot_confederations(spark, d):
+    names = ["home_team_confederation", "away_team_confederation"]
+    rows = enrich.with_confederations(fixtures.matches(spark, d), fixtures.countries(spark, d)).select("match_id", *names)
+    return features.encode(rows, names, {n: features.vocabulary(fixtures.countries(spark, d), "confederation") for n in names})
+
+
+@registered("drop_incomplete", "SELECT match_id FROM complete", *FEATURES)
+def drop_incomplete(spark, d):
+    return prepared(spark, d).na.drop("any").select("match_id")
+
+
+HOT = hot_sql({"home_team": "home_team", "away_team": "away_team"}, TEAMS)
+CONF = '1 AS "home_team_confederation_AMERICA", 1 AS "away_team_confederation_AMERICA"'  # all chosen teams are
+NUMERIC_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in features.NUMERIC)
+
+
+@registered("feature_matrix", f"SELECT match_id, date, {NUMERIC_SQL}, {HOT}, {CONF}, label FROM complete", *FEATURES)
+def feature_matrix(spark, d):
+    return complete(spark, d).withColumns({c: r6(c) for c in features.NUMERIC})
+
+
+INFER = ", ".join(f'CAST(0 AS DOUBLE) AS {c}' for c in features.NUMERIC) + ", " + ", ".join(
+    f'{1 if n in ("home_team_NATION_6", "away_team_NATION_11") else 0} AS "{n}"' for n in features.encoded_names(VOCABULARIES)
+)
+
+
+@registered("inference_row", f"SELECT {INFER}")
+def inference_row(spark, d):
+    return features.inference_row(chosen(spark, d), "NATION_6", "NATION_11", NAMES)
+
+
+@registered("class_distribution", "SELECT label, count(*) AS matches FROM complete GROUP BY label", *FEATURES)
+def class_distribution(spark, d):
+    return complete(spark, d).groupBy("label").agg(F.count("*").alias("matches"))
+
+
+@registered("train_test_split", "SELECT match_id, is_test FROM split", *FEATURES, "split")
+def train_test_split(spark, d):
+    return features.split_test(complete(spark, d).select("match_id")).select("match_id", "is_test")
+
+
+Z = ", ".join(f"round(coalesce(({c} - avg({c}) FILTER (WHERE NOT is_test) OVER ()) / nullif(stddev_pop({c}) FILTER (WHERE NOT is_test) OVER (), 0), 0.0), 6) AS {c}" for c in features.NUMERIC)
+
+
+@registered("standardized", f"SELECT match_id, {Z} FROM split", *FEATURES, "split")
+def standardized(spark, d):
+    rows = features.split_test(complete(spark, d))
+    fitted = features.scaler(rows.filter(~F.col("is_test")), features.NUMERIC)
+    return rows.select("match_id", *[r6(features.standardized(c, fitted)).alias(c) for c in features.NUMERIC])
+
+
+PRIOR = "SELECT label, count(*) / sum(count(*)) OVER () AS p FROM split WHERE NOT is_test GROUP BY label"
+
+
+def prior(rows: DataFrame) -> DataFrame:
+    """Test rows with the training classes' shares as probabilities: what a model has to beat."""
+    shares = rows.filter(~F.col("is_test")).agg(*[F.avg((F.col("label") == i).cast("double")).alias(f"p_{i}") for i in models.LABELS])
+    got = shares.first()
+    p = [got[f"p_{i}"] or 0.0 for i in models.LABELS]
+    return rows.filter("is_test").select("label", *[F.lit(x).alias(f"p_{i}") for i, x in enumerate(p)], F.lit(max(models.LABELS, key=lambda i: p[i])).alias("prediction"))
+
+
+@registered("log_loss_prior", f"SELECT round(-avg(ln(p)), 6) AS log_loss FROM split JOIN ({PRIOR}) USING (label) WHERE is_test", *FEATURES, "split")
+def log_loss_prior(spark, d):
+    return prior(features.split_test(complete(spark, d))).agg(r6(models.log_loss()).alias("log_loss"))
+
+
+@registered("accuracy_majority", f"""SELECT round(avg(CASE WHEN label = (SELECT label FROM ({PRIOR}) ORDER BY p DESC, label LIMIT 1) THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy
+FROM split WHERE is_test""", *FEATURES, "split")
+def accuracy_majority(spark, d):
+    return prior(features.split_test(complete(spark, d))).agg(r6(models.accuracy()).alias("accuracy"))
+
+
+CORR = " UNION ALL ".join(f"SELECT '{c}' AS Feature, round(corr({c}, goal_diff), 6) AS Importance FROM complete" for c in features.NUMERIC)
+
+
+@registered("coef_abs_sorted", f"SELECT CAST(row_number() OVER (ORDER BY abs(Importance) DESC, Feature) AS INTEGER) AS position, Feature, Importance FROM ({CORR})", *FEATURES)
+def coef_abs_sorted(spark, d):
+    """Signed scores of the numeric features in order of size: their correlation with the goal difference."""
+    rows = prepared(spark, d).na.drop("any")
+    one = rows.agg(*[r6(F.corr(c, F.col("goal_diff").cast("double"))).alias(c) for c in features.NUMERIC])
+    each = one.unpivot([], features.NUMERIC, "Feature", "Importance")
+    return each.select(F.row_number().over(Window.orderBy(F.abs("Importance").desc(), "Feature")).alias("position"), "Feature", "Importance")
+
+
+# Models: rows only, as no SQL fits them.
+
+
+def parts(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = features.split_test(complete(spark, d)).cache()
+    return rows.filter(~F.col("is_test")), rows.filter("is_test")
+
+
+def predictions(spark, d, kind: str) -> DataFrame:
+    train, test = parts(spark, d)
+    return models.MatchPredictor(kind, NAMES, trees=40, rounds=10).fit(train).predict(test).select("match_id", "label", "p_0", "p_1", "p_2", "prediction")
+
+
+@registered("lr_predictions")
+def lr_predictions(spark, d):
+    return predictions(spark, d, "logistic_regression")
+
+
+@registered("rf_predictions")
+def rf_predictions(spark, d):
+    return predictions(spark, d, "random_forest")
+
+
+@registered("gbt_predictions")
+def gbt_predictions(spark, d):
+    return predictions(spark, d, "xgboost")
+
+
+@registered("calibrated_predictions")
+def calibrated_predictions(spark, d):
+    train, test = parts(spark, d)
+    return models.Calibrated.fit("logistic_regression", NAMES, train, folds=3).predict(test).select("match_id", "label", "p_0", "p_1", "p_2", "prediction")
+
+
+@registered("rf_importance")
+def rf_importance(spark, d):
+    return models.MatchPredictor("random_forest", NAMES, trees=40).fit(parts(spark, d)[0]).importance(spark)
+
+
+@registered("lr_importance")
+def lr_importance(spark, d):
+    return models.MatchPredictor("logistic_regression", NAMES).fit(parts(spark, d)[0]).importance(spark)
+
+
+@registered("predict_match")
+def predict_match(spark, d):
+    train, _ = parts(spark, d)
+    row = features.inference_row(chosen(spark, d), "NATION_6", "NATION_11", NAMES, mode="latest")
+    return models.MatchPredictor("random_forest", NAMES, trees=40).fit(train).predict_match(row)
+
+
+@registered("model_comparison")
+def model_comparison(spark, d):
+    train, test = parts(spark, d)
+    return models.compare_models(train, test, NAMES, trees=40, rounds=5)

@@ -1,0 +1,16 @@
+"""A session with the settings that the engine expects."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def session(app: str = "touchline", master: str | None = None, **settings: str) -> SparkSession:
+    """A session in UTC with adaptive execution. On a cluster, master and sizes come from spark-submit."""
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
+    builder = builder.config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    if master:
+        builder = builder.master(master)
+    for key, value in settings.items():
+        builder = builder.config(key.replace("__", "."), value)
+    return builder.getOrCreate()

@@ -1,0 +1 @@
+"""Files, and match-shaped views over order tables."""

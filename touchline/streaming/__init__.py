@@ -1,0 +1 @@
+"""Empty on purpose: match files arrive as batches and no analysis of them is continuous. Operators take DataFrames and hold no state."""
