@@ -1,0 +1,166 @@
+import itertools
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from touchline.llm import brown, crf, knnvote, labelled
+
+LABELS = "doc_id long, quality int, toxic int, score double"
+
+
+def make(spark, n=600, seed=1):
+    """Clean and toxic English-like texts and junk: toxic texts hold words of one family, junk repeats or shouts."""
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    docs, labels = [], []
+    for i in range(n):
+        w = [r.choice(words) for _ in range(r.randint(20, 200))]
+        good = int(i % 5 != 0)
+        toxic = int(i % 7 == 0 and good)
+        if toxic:
+            for _ in range(r.randint(2, 5)):
+                w.insert(r.randrange(len(w)), "vexor" + r.choice("abcdef"))
+        if not good:
+            w = [x.upper() + "!!" for x in w] if i % 2 else [w[0]] * len(w)
+        docs.append((i, " ".join(w), "en", "src", 0))
+        labels.append((i, good, toxic, 0.5))
+    return spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), spark.createDataFrame(labels, LABELS)
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+@pytest.mark.parametrize(("run", "label", "cut"), [(crf.score_toxicity, "toxic", 0.3), (knnvote.score_quality, "quality", 0.7)])
+def test_held_out_accuracy(spark, run, label, cut):
+    docs, labels = make(spark)
+    truth = {r["doc_id"]: r[label] for r in labels.collect()}
+    got = run(docs, labels).collect()
+    assert len(got) == 600 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= cut) for r in got)
+    assert all(r["held_out"] == held(r["doc_id"]) for r in got)
+    out = [r for r in got if r["held_out"]]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in out) / len(out) >= 0.95
+
+
+@pytest.mark.parametrize("run", [crf.score_toxicity, knnvote.score_quality])
+def test_odd_rows_and_missing_labels(spark, odd, odd_rows, none, run):
+    docs, labels = make(spark, 200)
+    labels = labels.unionByName(spark.createDataFrame([(1, None, None, 0.0), (None, 1, 1, 0.0), (2, 1, 1, 0.0), (2, 0, 0, 0.0)], LABELS))
+    got = run(odd, labels).collect()
+    assert len(got) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in got)
+    same = [r["score"] for r in got if r["doc_id"] in (45, 46)]
+    assert len(same) == 3 and len(set(same)) == 1
+    assert run(none, labels).count() == 0
+    assert all(0 <= r["score"] <= 1 for r in run(docs, labels.limit(0)).collect())
+
+
+def test_held_out_labels_are_never_learned(spark):
+    docs, labels = make(spark, 200)
+    assert not [t for t, _ in labelled.sample(docs.filter("pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2"), labels, "toxic", rows=1000)]
+    assert len(labelled.sample(docs, labels, "toxic", rows=10, share=0.5)) == 10
+
+
+def test_forward_backward_equals_enumeration():
+    r = np.random.default_rng(4)
+    trans, init = np.array([[0.9, 0.1], [0.4, 0.6]]), np.array([0.8, 0.2])
+    lengths = [1, 5, 2, 9, 1]
+    logits = r.normal(0, 3, sum(lengths))
+    starts = np.zeros(len(logits), bool)
+    starts[np.cumsum([0, *lengths[:-1]])] = True
+    got, pairs, first = crf.forward_backward(logits, starts, trans, init, pairs=True)
+    want, both, begin, at = [], np.zeros((2, 2)), np.zeros(2), 0
+    for n in lengths:
+        weight, one, own = 0.0, np.zeros(n), np.zeros((2, 2))
+        start = np.zeros(2)
+        for path in itertools.product((0, 1), repeat=n):
+            p = init[path[0]] * math.exp(sum(logits[at + i] for i in range(n) if path[i]))
+            p *= math.prod(trans[a, b] for a, b in zip(path, path[1:], strict=False))
+            weight += p
+            one += p * np.array(path)
+            start[path[0]] += p
+            for a, b in zip(path, path[1:], strict=False):
+                own[a, b] += p
+        want += list(one / weight)
+        both += own / weight
+        begin += start / weight
+        at += n
+    assert np.allclose(got, want) and np.allclose(pairs, both) and np.allclose(first, begin)
+
+
+def test_extreme_logits_do_not_overflow():
+    p = crf.forward_backward(np.array([800.0, -800.0, 0.0] * 50), np.arange(150) % 30 == 0, np.array([[0.99, 0.01], [0.5, 0.5]]), np.array([0.9, 0.1]))
+    assert np.isfinite(p).all() and p[0] > 0.99 and p[1] < 0.01
+
+
+def test_spans_are_the_toxic_tokens(spark):
+    docs, labels = make(spark)
+    hit = total = 0
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in crf.score_toxicity(docs, labels).filter("held_out").collect():
+        words = [text[r["doc_id"]].encode()[s["start"] : s["stop"]] for s in r["spans"]]
+        hit += sum(w.startswith(b"vexor") for w in words)
+        total += len(words)
+    assert total and hit / total > 0.95
+
+
+def test_cosines_and_votes_by_definition(spark):
+    docs, labels = make(spark, 200)
+    model = knnvote.fit_quality(docs, labels)
+    x = model.vectors[:7]
+    got = knnvote.vote(model, x, 5)
+    for v, score in zip(x, got, strict=True):
+        cos = model.vectors @ v
+        near = np.argsort(-cos)[:5]
+        w = np.maximum(cos[near], 0).astype(float) ** 4
+        assert score == pytest.approx(((w * model.labels[near]).sum() + 0.02 * model.prior) / (w.sum() + 0.02), abs=1e-5)
+
+
+def test_brown_base_scores_and_counts(odd, odd_rows):
+    counts: Counter = Counter()
+    for r in odd_rows:
+        if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 != 1:
+            counts.update((r[1] or "").encode().lower().split())
+            counts[b""] += 1
+    total, distinct = sum(counts.values()), len(counts)
+    got = brown.score_documents(odd, type_words=20, type_endings=20, classes=8, known_words=15).collect()
+    assert len(got) == len(odd_rows)
+    rows = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=str)
+    want = []
+    for r in odd_rows:
+        tokens = [*(r[1] or "").encode().lower().split(), b""]
+        base = sum(math.log10((counts[t] + 0.5) / (total + 0.5 * (distinct + 1))) for t in tokens)
+        want.append((r[0], len(tokens), sum(counts[t] > 0 for t in tokens), total, round(base, 6)))
+    assert rows == sorted(want, key=str)
+
+
+def test_brown_scores_do_not_depend_on_the_broadcast_table(odd):
+    scores = [sorted((str(r["doc_id"]), round(r["score"], 6)) for r in brown.score_documents(odd, type_words=10, type_endings=10, classes=6, known_words=k).collect()) for k in (11, 1000)]
+    assert scores[0] == scores[1]
+
+
+def test_brown_beats_words_alone_on_held_out_text(spark):
+    r = random.Random(2)
+    nouns, verbs = [f"n{i}x" for i in range(60)], [f"v{i}y" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(w for _ in range(40) for w in (r.choice(nouns), r.choice(verbs)))) for i in range(300)], "doc_id long, text string")
+    got = {x["held_out"]: x for x in brown.perplexity(brown.score_documents(docs, classes=6)).collect()}
+    assert got[True]["perplexity"] < 0.75 * got[True]["base_perplexity"]
+
+
+def test_brown_without_documents(none):
+    assert brown.score_documents(none).count() == 0
+
+
+def test_exchange_finds_planted_classes():
+    r = np.random.default_rng(0)
+    of = np.r_[0, r.integers(1, 4, 60)]
+    table = np.zeros((61, 61))
+    flow = np.array([[0, 5, 0, 0], [0, 0, 9, 1], [0, 1, 0, 9], [5, 9, 1, 0]])
+    for a in range(61):
+        for b in range(61):
+            table[a, b] = r.poisson(flow[of[a], of[b]])
+    got = brown.exchange(table, 4)
+    assert len({(x, y) for x, y in zip(of, got, strict=True)}) == 4

@@ -30,6 +30,8 @@ PREFIXES = range(3, 8)
 MOST_FEATURES = 60_000
 THRESHOLD = 0.3
 LEAST_RATIO = 30.0
+#: No transition becomes rarer, though the sample may lack it.
+LEAST_CHANCE = 0.01
 #: Documents of each label that the field is fitted on.
 FIELD_ROWS = 500
 CACHE = 200_000
@@ -182,8 +184,8 @@ def fit(rows: list[tuple[bytes, int]], steps: int = 25) -> Model:
         move = 0.4 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         theta, bias = theta + move[:-1], bias + 0.25 * move[-1]
         # Transition weights: a gradient step per expected visit.
-        trans = trans + 0.3 * (seen - xi) / (xi.sum(1, keepdims=True) + 5)
-        init = init + 0.3 * (seen_first - first) / (first.sum() + 5)
+        trans = np.log(np.maximum(soft(trans + 0.3 * (seen - xi) / (xi.sum(1, keepdims=True) + 5)), LEAST_CHANCE))
+        init = np.log(np.maximum(soft(init + 0.3 * (seen_first - first) / (first.sum() + 5)), LEAST_CHANCE))
     kept = {f: float(theta[i]) for f, i in index.items() if abs(theta[i]) > 0.05}
     model = Model(kept, float(bias), soft(trans), soft(init), np.array([-4.0, 6.0, 1.0, 0.0]))
     if len(tok):

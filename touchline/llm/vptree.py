@@ -158,8 +158,8 @@ def nearest(
 ) -> DataFrame:
     """The k nearest rows of each query row (id divisible by ``query_every``): query_id, rank, vec_id, score.
 
-    Null ids and vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of another length than most
-    are compared with those of their own length only... they are left out, as no inner product exists. Ties go to the smaller id; a repeated id never
+    Null ids and vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors of another length
+    than most have, as no inner product exists. Ties go to the smaller id; a repeated id never
     returns itself; an empty table gives no rows. ``sample_rows`` bounds the rows that the driver sees.
     """
     spark = vectors.sparkSession
