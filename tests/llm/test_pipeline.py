@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline
-from touchline.llm import knnvote, mixing, secrets, simhash
+from touchline.llm import knnvote, mixing, secrets, similar
 from touchline.llm.common import table
 
 DIR = "/root/testdata/sf0.001"
@@ -29,7 +29,7 @@ def test_each_stage_does_what_its_operator_decides(spark, stages):
     scores = knnvote.score_quality(before, table(spark, DIR, "labels"))
     assert ids(after) == ids(scores.filter("predicted = 1"))
     before, after = stages[1]
-    assert ids(after) == ids(simhash.near_duplicates(before).filter("doc_id = component_id"))
+    assert ids(after) == ids(similar.near_duplicates(before).filter("doc_id = component_id"))
     before, after = stages[2]
     texts = {r["doc_id"]: r["text"] for r in after.collect()}
     spans = {r["doc_id"]: r["spans"] for r in secrets.scan(before).collect()}
