@@ -113,7 +113,9 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
         mask = sum(((1 << (edges[c + 1] - edges[c])) - 1) << edges[c] for c in chosen)
         signed = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.struct(F.lit(n).cast("byte").alias("n"), F.col("fp").bitwiseAND(F.lit(signed).cast("long")).alias("k")))
-    dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
+    # A number of our own: adaptive execution would coalesce what becomes 28 times as much.
+    even = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    dealt = even.select("fp", F.explode(F.array(*keys)).alias("key"))
     buckets = dealt.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,10 +180,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
-    """docs with one row of each group: that of the smallest id. Rows that repeat that id with another text of the group go too; of rows
-    that are equal in id and fingerprint one stays; rows with a null id stay only if their group has no id."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits)
-    kept = kept.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__keep_id")).distinct()
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with one row of each group of ``groups`` (doc_id, component_id): that of the smallest id.
+
+    Rows that repeat that id, whatever their text, are one; rows with a null id stay only, as one, if their group has no id.
+    """
+    kept = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__keep_id")).distinct()
     out = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__keep_id")), "left_semi")
     return out.dropDuplicates([id_col])
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
+    """docs with one row of each group of near_duplicates, in the same columns: see keep_first."""
+    return keep_first(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits), id_col)
