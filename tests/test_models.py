@@ -41,13 +41,18 @@ def test_unknown_type():
         models.MatchPredictor("oracle", FEATURES)
 
 
+def test_no_rows(rows):
+    with pytest.raises(ValueError):
+        models.MatchPredictor("random_forest", FEATURES).fit(rows.limit(0))
+
+
 def test_calibrated_probabilities(rows):
     got = models.Calibrated.fit("logistic_regression", FEATURES, rows, folds=2).predict(rows)
     assert got.filter(F.abs(F.col("p_0") + F.col("p_1") + F.col("p_2") - 1) > 1e-9).count() == 0
     assert models.evaluate(got).first()["log_loss"] < 1.0986
 
 
-def test_forest_search(rows, monkeypatch):
-    monkeypatch.setattr(models, "FOREST_GRID", {"numTrees": (3, 5), "maxDepth": (2, 3), "minInstancesPerNode": (1, 2)})
-    own = models.MatchPredictor("random_forest", FEATURES).fit(rows, search=True, combinations=2, folds=2)
+def test_forest_search(rows):
+    grid = {"numTrees": (3, 5), "maxDepth": (2, 3), "minInstancesPerNode": (1, 2)}
+    own = models.MatchPredictor("random_forest", FEATURES).fit(rows, search=True, combinations=2, folds=2, grid=grid)
     assert models.evaluate(own.predict(rows)).first()["accuracy"] > 0.7

@@ -75,6 +75,15 @@ def test_current_names_within_their_period(spark, matches):
     assert got[3] == "A" and got[1] == "B"
 
 
+def test_shootouts_and_schedules(spark, matches):
+    won = spark.createDataFrame([(day(0), "A", "B", "B", None), (day(11), "A", "B", "elsewhere", None)], S.SHOOTOUTS)
+    got = dict(rows(enrich.with_shootouts(matches, won), "match_id", "shootout_winner"))
+    assert got[1] == "B" and got[4] is None and len(got) == 6
+    wide = spark.createDataFrame([("Brasil", "Peru", None), ("Peru", "Brasil", "Chile")], "team string, fecha_13 string, fecha_14 string")
+    got = sorted(rows(enrich.schedule(wide, {"Brasil": "Brazil"}), "team", "matchday", "opponent"))
+    assert got == [("Brazil", "fecha_13", "Peru"), ("Peru", "fecha_13", "Brazil"), ("Peru", "fecha_14", "Chile")]
+
+
 def test_outcomes(spark):
     df = spark.createDataFrame([(1, 0), (0, 1), (1, 1), (None, 1)], "home_score int, away_score int")
     got = df.select(scalar.outcome().alias("o"), scalar.home_win().alias("w"), scalar.team_result(F.lit(False)).alias("r"))

@@ -31,3 +31,20 @@ def with_current_names(matches: DataFrame, former: DataFrame) -> DataFrame:
         on = (F.col(side) == F.col("former")) & F.col("date").between(F.col("__from"), F.col("__to"))
         matches = matches.join(names, on, "left").withColumn(side, F.coalesce("__now", side)).drop("former", "__now", "__from", "__to")
     return matches
+
+
+def with_shootouts(matches: DataFrame, shootouts: DataFrame) -> DataFrame:
+    """shootout_winner of each match; null where none was needed, or where the named winner is neither side."""
+    won = shootouts.select(*KEYS, F.col("winner").alias("__winner"))
+    out = matches.join(won, KEYS, "left")
+    side = (F.col("__winner") == F.col("home_team")) | (F.col("__winner") == F.col("away_team"))
+    return out.withColumn("shootout_winner", F.when(side, F.col("__winner"))).drop("__winner")
+
+
+def schedule(wide: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """team, matchday and opponent from one column a matchday; names maps spellings to those of the results."""
+    days = [c for c in wide.columns if c != "team"]
+    out = wide.unpivot(["team"], days, "matchday", "opponent").filter("opponent is not null")
+    for old, new in (names or {}).items():
+        out = out.withColumns({c: F.when(F.col(c) == old, new).otherwise(F.col(c)) for c in ("team", "opponent")})
+    return out

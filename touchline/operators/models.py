@@ -53,10 +53,12 @@ class MatchPredictor:
     def _assembler(self) -> VectorAssembler:
         return VectorAssembler(inputCols=self.features, outputCol="raw_features")
 
-    def fit(self, train: DataFrame, search: bool = False, combinations: int = 10, folds: int = 5) -> MatchPredictor:
+    def fit(self, train: DataFrame, search: bool = False, combinations: int = 10, folds: int = 5, grid: dict[str, tuple] | None = None) -> MatchPredictor:
         """Fit on rows with the features and label. search (forest only): cross-validated choice among that many drawn combinations."""
         train = train.withColumn("label", F.col("label").cast("double")).cache()
         try:
+            if train.isEmpty():
+                raise ValueError("no rows to fit on")
             if self.model_type == "logistic_regression":
                 # The ridge penalty of one half of the squared weights against the summed loss, as 1 / n against the mean.
                 lr = LogisticRegression(featuresCol="features", family="multinomial", maxIter=1000, regParam=1.0 / max(1, train.count()), standardization=False)
@@ -65,7 +67,7 @@ class MatchPredictor:
             elif self.model_type == "random_forest":
                 forest = RandomForestClassifier(featuresCol="raw_features", seed=SEED, numTrees=self.trees)
                 pipe = Pipeline(stages=[self._assembler(), forest])
-                self.models = [search_forest(pipe, forest, train, combinations, folds).bestModel if search else pipe.fit(train)]
+                self.models = [search_forest(pipe, forest, train, combinations, folds, grid or FOREST_GRID).bestModel if search else pipe.fit(train)]
             else:
                 boost = lambda i: GBTClassifier(featuresCol="raw_features", labelCol=f"is_{i}", seed=SEED, maxIter=self.rounds, maxDepth=4, stepSize=0.1)
                 flagged = train.withColumns({f"is_{i}": (F.col("label") == i).cast("double") for i in LABELS})
@@ -112,11 +114,11 @@ class MatchPredictor:
         return MatchPredictor(about["model_type"], about["features"], [PipelineModel.load(f"{path}/model_{i}") for i in range(about["models"])])
 
 
-def search_forest(pipe: Pipeline, forest: RandomForestClassifier, train: DataFrame, combinations: int, folds: int) -> CrossValidatorModel:
+def search_forest(pipe: Pipeline, forest: RandomForestClassifier, train: DataFrame, combinations: int, folds: int, choices: dict[str, tuple]) -> CrossValidatorModel:
     """Randomised search: a seeded draw of combinations, stratified folds, least log loss."""
-    every = list(itertools.product(*FOREST_GRID.values()))
+    every = list(itertools.product(*choices.values()))
     drawn = random.Random(SEED).sample(every, min(combinations, len(every)))
-    grid = [{forest.getParam(k): v for k, v in zip(FOREST_GRID, values, strict=True)} for values in drawn]
+    grid = [{forest.getParam(k): v for k, v in zip(choices, values, strict=True)} for values in drawn]
     judge = MulticlassClassificationEvaluator(metricName="logLoss")
     return CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=4, seed=SEED).fit(with_folds(train, folds))
 

@@ -6,6 +6,7 @@ The tables stand in for match files: see sources.fixtures. Doubles are rounded t
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import scalar
 from touchline.operators import enrich, features, lookups, models, rest
-from touchline.sources import fixtures
+from touchline.sources import files, fixtures
 
 QUAL = "1-URGENT"
 TOURNAMENTS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
@@ -459,6 +460,32 @@ def coef_abs_sorted(spark, d):
     return each.select(F.row_number().over(Window.orderBy(F.abs("Importance").desc(), "Feature")).alias("position"), "Feature", "Importance")
 
 
+# Sinks: written, then read back.
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in a folder that all executors share."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/touchline-{uuid.uuid4().hex}"
+
+
+SINK = "SELECT date, home_team, away_team, home_score, away_score, tournament, city, country, neutral FROM matches"
+
+
+@registered("csv_round_trip", SINK)
+def csv_round_trip(spark, d):
+    path = scratch(spark)
+    files.write_csv(fixtures.matches(spark, d).drop("match_id"), path)
+    return files.read_results(spark, path)
+
+
+@registered("parquet_round_trip", SINK)
+def parquet_round_trip(spark, d):
+    path = scratch(spark)
+    files.write_parquet(fixtures.matches(spark, d).drop("match_id"), path)
+    return spark.read.parquet(path)
+
+
 # Models: rows only, as no SQL fits them.
 
 
@@ -493,6 +520,23 @@ def calibrated_predictions(spark, d):
     return models.Calibrated.fit("logistic_regression", NAMES, train, folds=3).predict(test).select("match_id", "label", "p_0", "p_1", "p_2", "prediction")
 
 
+@registered("saved_model_predictions")
+def saved_model_predictions(spark, d):
+    train, test = parts(spark, d)
+    path = scratch(spark)
+    models.MatchPredictor("logistic_regression", NAMES).fit(train).save(spark, path)
+    return models.MatchPredictor.load(spark, path).predict(test).select("match_id", "label", "p_0", "p_1", "p_2", "prediction")
+
+
+@registered("rf_search_predictions")
+def rf_search_predictions(spark, d):
+    """The search over a small grid: the full one is the default of fit."""
+    train, test = parts(spark, d)
+    grid = {"numTrees": (10, 20), "maxDepth": (3, 5), "minInstancesPerNode": (1, 4)}
+    own = models.MatchPredictor("random_forest", NAMES).fit(train, search=True, combinations=3, folds=2, grid=grid)
+    return own.predict(test).select("match_id", "label", "p_0", "p_1", "p_2", "prediction")
+
+
 @registered("rf_importance")
 def rf_importance(spark, d):
     return models.MatchPredictor("random_forest", NAMES, trees=40).fit(parts(spark, d)[0]).importance(spark)
