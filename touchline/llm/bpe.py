@@ -12,13 +12,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from itertools import chain
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -217,8 +217,8 @@ class _Pieces(dict):
 
 
 class Codec:
-    def __init__(self, path: str, pattern: str):
-        self.transducer = Transducer(load_ranks(path))
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.transducer = Transducer(ranks)
         self.plain, self.any = splitter(pattern)
         self.pieces = _Pieces(self.transducer)
         self.tokens = self.transducer.tokens
@@ -238,16 +238,32 @@ class Codec:
 
 @cache
 def codec(path: str, pattern: str) -> Codec:
-    """One a worker process."""
-    return Codec(path, pattern)
+    """One a process that has the file."""
+    return Codec(load_ranks(path), pattern)
 
 
-def encoded(text: Column, path: str, pattern: str) -> Column:
+_own: dict[tuple[str, str], Codec] = {}
+
+
+def shared_codec(spark: SparkSession, path: str, pattern: str) -> Callable[[], Codec]:
+    """What gives a worker process its codec. Only the driver reads the file: its ranks are broadcast, as many as the vocabulary has."""
+    ranks = spark.sparkContext.broadcast(load_ranks(path))
+
+    def get() -> Codec:
+        if (path, pattern) not in _own:
+            _own[path, pattern] = Codec(ranks.value, pattern)
+        return _own[path, pattern]
+
+    return get
+
+
+def encoded(spark: SparkSession, text: Column, path: str, pattern: str) -> Column:
     """array<int> of token ids; null and empty texts give an empty array."""
+    get = shared_codec(spark, path, pattern)
 
     @arrow_udf("array<int>")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = codec(path, pattern)
+        own = get()
         for array in texts:
             yield pa.chunked_array([pa.array([own.encode(t or "") for t in part], pa.list_(pa.int32())) for part in slices(array)], pa.list_(pa.int32())).combine_chunks()
 
@@ -256,7 +272,7 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", out: str = "token_ids") -> DataFrame:
     """docs without the text, with token_ids and n_tokens instead. All rows stay; null texts have no tokens."""
-    return docs.withColumn(out, encoded(F.coalesce(F.col(text_col), F.lit("")), path, pattern)).drop(text_col).withColumn("n_tokens", F.size(out).cast("long"))
+    return docs.withColumn(out, encoded(docs.sparkSession, F.coalesce(F.col(text_col), F.lit("")), path, pattern)).drop(text_col).withColumn("n_tokens", F.size(out).cast("long"))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,8 +281,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_i
     Null and empty texts have no ids; repeated rows stay; an empty table gives no rows.
     """
 
+    get = shared_codec(docs.sparkSession, path, pattern)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = get()
         names = [b"%d" % i for i in range(max(own.tokens) + 1)]
         for batch in batches:
             n, ids_sha, decoded_sha = [], [], []

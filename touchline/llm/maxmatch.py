@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,10 +79,7 @@ def vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
     return sorted({t[1:] for t in tokens if t[:1] == b" " and len(t) > 1} | set(single)), sorted({t for t in tokens if t[:1] != b" "} | set(single))
 
 
-@cache
-def automaton(path: str) -> Automaton:
-    """One a worker process."""
-    return Automaton(*vocabulary(path))
+_own: dict[str, Automaton] = {}
 
 
 class _Counts(dict):
@@ -105,8 +101,13 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     Null and empty texts have none; repeated rows stay; an empty table gives no rows.
     """
 
+    # Only the driver reads the file; the pieces are as many as the vocabulary has.
+    pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(automaton(path))
+        if path not in _own:  # one a worker process
+            _own[path] = Automaton(*pieces.value)
+        counts = _Counts(_own[path])
         for batch in batches:
             words, tokens = [], []
             for part in slices(batch.column(1)):
