@@ -106,3 +106,12 @@ def test_counts_of_odd_rows(odd, odd_rows, none):
     want = [(r[0], len(w := (r[1] or "").encode().split()), sum(map(count, w))) for r in odd_rows]
     assert sorted(map(tuple, maxmatch.count_tokens(odd, PATH).collect()), key=str) == sorted(want, key=str)
     assert maxmatch.count_tokens(none, PATH).count() == 0
+
+
+def test_long_pieces_stream_in_bounded_memory(library, codec, monkeypatch):
+    r = random.Random(5)
+    monkeypatch.setattr(bpe, "STRETCH", 16)
+    for alphabet in ("ab", "abcdefghijklmnop", "éàü日", "=-*", "the of and"):
+        piece = "".join(r.choice(alphabet) for _ in range(2000)).replace(" ", "").encode()
+        parts = list(codec.transducer.stream(piece))
+        assert [t for p in parts for t in p] == bpe.byte_pairs(codec.transducer.ranks, piece) and len(parts) > 50

@@ -3,8 +3,9 @@
 A prefix of a piece has exactly one BPE encoding, and a sequence of tokens is an encoding if and only if each adjacent pair of
 tokens is the encoding of its own bytes. So the last token of each prefix's encoding follows from those before, one byte at a
 time. A state of the transducer holds the positions at which a later token can still begin: for each, the trie node of the
-bytes since, and the tokens up to it that are not yet certain. What all of them agree on is emitted. Lookahead is bounded by
-the longest token. States and moves are made when first needed, and all are forgotten when there are too many.
+bytes since, and the last token before it. A move reads a byte and writes the last token of the prefix that ends there. Which
+tokens are certain follows from these, looking ahead no further than the longest token: the way back from every position that
+is still open is the same up to there. States and moves are made when first needed, and all are forgotten when there are too many.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from pyspark.sql.functions import arrow_udf
 
 from touchline.llm.common import slices
 
-MOST_STATES = 60_000
+MOST_STATES = 80_000
+#: Of each of two generations: what is asked for again moves to the younger one, the older one goes.
 MOST_PIECES = 150_000
+#: Bytes of a piece after which certain tokens are emitted.
+STRETCH = 1024
 MOST_PAIRS = 400_000
 
 
@@ -51,8 +55,10 @@ class Transducer:
         self.ranks = ranks
         self.tokens: dict[int, bytes] = {r: t for t, r in ranks.items()}
         self.child: dict[int, int] = {}
+        self.length = {r: len(t) for t, r in ranks.items()}
         self.ends: list[int] = [-1]
         self.inner: list[bool] = [False]
+        self.depth: list[int] = [0]
         for token, rank in ranks.items():
             node = 0
             for c in token:
@@ -62,6 +68,7 @@ class Transducer:
                     self.child[key] = len(self.ends)
                     self.ends.append(-1)
                     self.inner.append(False)
+                    self.depth.append(self.depth[node] + 1)
                 node = self.child[key]
             self.ends[node] = rank
         self.pairs: dict[int, bool] = {}
@@ -69,63 +76,91 @@ class Transducer:
 
     def forget(self) -> None:
         """Back to the start state alone."""
-        self.states: list[tuple] = [(-1, ((0, ()),))]  # last emitted token; (trie node, uncertain tokens) of each open position
+        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]  # (trie node, last token before) of each open position
         self.number = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.moves: dict[int, tuple[int, int]] = {}
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token b can follow token a (-1: begin a piece)."""
-        key = a << 24 | b if a >= 0 else -1 - b
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) > MOST_PAIRS:
-                self.pairs.clear()
-            own = self.tokens[b] if a < 0 else self.tokens[a] + self.tokens[b]
-            got = self.pairs[key] = byte_pairs(self.ranks, own) == ([b] if a < 0 else [a, b])
+        if len(self.pairs) > MOST_PAIRS:
+            self.pairs.clear()
+        own = self.tokens[b] if a < 0 else self.tokens[a] + self.tokens[b]
+        got = self.pairs[a << 24 | b] = byte_pairs(self.ranks, own) == ([b] if a < 0 else [a, b])
         return got
 
-    def move(self, state: int, c: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and the tokens that become certain."""
-        last, open_ = self.states[state]
-        ahead, done = [], None
-        for node, tokens in open_:
-            to = self.child.get(node << 8 | c)
+    def move(self, state: int, c: int) -> tuple[int, int]:
+        """The next state, and the last token of the encoding up to here."""
+        child, ends, inner, pairs = self.child, self.ends, self.inner, self.pairs
+        ahead, token = [], -1
+        for node, last in self.states[state]:
+            to = child.get(node << 8 | c)
             if to is None:
                 continue
-            if done is None and self.ends[to] >= 0 and self.fits(tokens[-1] if tokens else last, self.ends[to]):
-                done = (*tokens, self.ends[to])
-            if self.inner[to]:
-                ahead.append((to, tokens))
-        if done is None:
+            t = ends[to]
+            if t >= 0 and token < 0:
+                ok = pairs.get(last << 24 | t)
+                if self.fits(last, t) if ok is None else ok:
+                    token = t
+            if inner[to]:
+                ahead.append((to, last))
+        if token < 0:
             raise ValueError("the vocabulary lacks a byte")
-        ahead.append((0, done))
-        n = 0
-        least = min(len(t) for _, t in ahead)
-        while n < least and all(t[n] == done[n] for _, t in ahead):
-            n += 1
-        out = done[:n]
-        new = (out[-1] if out else last, tuple((node, t[n:]) for node, t in ahead))
+        ahead.append((0, token))
+        new = tuple(ahead)
         number = self.number.get(new)
         if number is None:
             number = self.number[new] = len(self.states)
             self.states.append(new)
-        self.moves[state << 8 | c] = number, out
-        return number, out
+        out = self.moves[state << 8 | c] = number, token
+        return out
+
+    def back(self, written: list[int], stop: int) -> list[int]:
+        """Tokens of the prefix that ends at stop, from the last tokens of all its prefixes."""
+        out, length = [], self.length
+        while stop > 0:
+            token = written[stop - 1]
+            out.append(token)
+            stop -= length[token]
+        out.reverse()
+        return out
+
+    def stream(self, piece: bytes) -> Iterator[list[int]]:
+        """Token ids of one piece in lists: what is certain after each stretch, the rest at its end. Memory doesn't grow with the piece."""
+        if len(self.states) > MOST_STATES:
+            self.forget()
+        state, moves, written = 0, self.moves, []
+        for i, c in enumerate(piece, 1):
+            state, token = moves.get(state << 8 | c) or self.move(state, c)
+            written.append(token)
+            if not i % STRETCH:
+                # A later token begins at an open position: at the depth of its trie node before here.
+                ways = [self.back(written, len(written) - self.depth[node]) for node, _ in self.states[state]]
+                n = next((k for k, own in enumerate(zip(*ways, strict=False)) if len(set(own)) > 1), min(map(len, ways)))
+                if sure := ways[0][:n]:
+                    yield sure
+                    del written[: sum(map(self.length.__getitem__, sure))]
+                if len(self.states) > MOST_STATES:
+                    now = self.states[state]
+                    self.forget()
+                    moves, state = self.moves, len(self.states)
+                    self.states.append(now)
+                    self.number[now] = state
+        yield self.back(written, len(written))
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """The token ids of one piece."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
+        if len(piece) > STRETCH:
+            return tuple(chain.from_iterable(self.stream(piece)))
         if len(self.states) > MOST_STATES:
             self.forget()
-        out: list[int] = []
-        state, moves = 0, self.moves
+        state, known, move, written = 0, self.moves.get, self.move, []
         for c in piece:
-            state, more = moves.get(state << 8 | c) or self.move(state, c)
-            if more:
-                out += more
-        return (*out, *self.states[state][1][-1][1])
+            state, token = known(state << 8 | c) or move(state, c)
+            written.append(token)
+        return tuple(self.back(written, len(written)))
 
 
 class Utf8Machine:
@@ -202,15 +237,16 @@ def splitter(pattern: str) -> tuple[re.Pattern, re.Pattern]:
 
 
 class _Pieces(dict):
-    """piece -> its ids; emptied when full."""
+    """piece -> its ids, in two generations."""
 
     def __init__(self, transducer: Transducer):
-        self.transducer = transducer
+        self.transducer, self.older = transducer, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) > MOST_PIECES:
+            self.older = dict(self)
             self.clear()
-        out = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
+        out = self.older.get(piece) or self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
         if len(piece) < 64:
             self[piece] = out
         return out
