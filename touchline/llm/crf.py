@@ -135,27 +135,30 @@ def _document(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def fit(rows: list[tuple[bytes, int]], steps: int = 25) -> Model:
     """A model from (text, label) rows; without any toxic row it scores everything near 0."""
     rows = labelled.without_copies(rows)
-    words = [t.lower().split() for t, _ in rows]
     y_doc = np.array([y for _, y in rows])
     n1, n0 = max(1, int((y_doc == 1).sum())), max(1, int((y_doc == 0).sum()))
+    own = lambda text: {f for x in set(text.lower().split()) for f in features(x)}
     d1, d0 = Counter(), Counter()
-    known = _Cache(features)
-    for w, y in zip(words, y_doc, strict=True):
-        (d1 if y else d0).update({f for x in set(w) for f in known[x]})
+    for t, y in rows:
+        if y:
+            d1.update(own(t))
+    for t, y in rows:
+        if not y:  # what no toxic document has tells nothing
+            d0.update(f for f in own(t) if f in d1)
     # Words and prefixes that occur nearly only in toxic documents, and too often for chance: a likelihood ratio of LEAST_RATIO.
     toxic = {f for f, a in d1.items() if len(f) > 3 and a / n1 >= 20 * (d0.get(f, 0) + 0.1) / n0 and _ratio(a, d0.get(f, 0), n1, n0) >= LEAST_RATIO}
     strong = sorted(d1, key=lambda f: (-_ratio(d1[f], d0.get(f, 0), n1, n0), f))[: MOST_FEATURES // 2]
     common = [f for f, _ in sorted(d0.items(), key=lambda x: (-x[1], x[0]))[: MOST_FEATURES // 2]]
+    del d1, d0
     names = list(dict.fromkeys([*strong, *common]))
     index = {f: i for i, f in enumerate(names)}
     # The field itself is fitted on fewer documents: their tokens are many.
     order = [*np.flatnonzero(y_doc == 1)[:FIELD_ROWS].tolist(), *np.flatnonzero(y_doc == 0)[:FIELD_ROWS].tolist()]
-    all_words, all_y = words, y_doc
-    words, y_doc = [words[i] for i in order], y_doc[order]
+    words = [rows[i][0].lower().split() for i in order]
 
     types: dict[bytes, int] = {}
     tok, starts, y_tok = [], [], []
-    for w, y in zip(words, y_doc, strict=True):
+    for w, y in zip(words, y_doc[order].tolist(), strict=True):
         for i, x in enumerate(w):
             tok.append(types.setdefault(x, len(types)))
             starts.append(i == 0)
@@ -189,11 +192,14 @@ def fit(rows: list[tuple[bytes, int]], steps: int = 25) -> Model:
     kept = {f: float(theta[i]) for f, i in index.items() if abs(theta[i]) > 0.05}
     model = Model(kept, float(bias), soft(trans), soft(init), np.array([-4.0, 6.0, 1.0, 0.0]))
     if len(tok):
-        emission = _Cache(model.emission)
-        logits = np.array([emission[x] for w in all_words for x in w])
-        starts = np.array([i == 0 for w in all_words for i in range(len(w))], dtype=bool)
-        x = _document(forward_backward(logits, starts, model.transition, model.initial), starts)
-        model.document = _logistic(x, all_y[[bool(w) for w in all_words]])
+        emission, x, y = _Cache(model.emission), [], []
+        for at in range(0, len(rows), 128):  # few at a time, as their products take memory
+            part = [(t.lower().split(), y) for t, y in rows[at : at + 128]]
+            logits = np.array([emission[v] for w, _ in part for v in w])
+            starts = np.array([i == 0 for w, _ in part for i in range(len(w))], dtype=bool)
+            x.append(_document(forward_backward(logits, starts, model.transition, model.initial), starts))
+            y += [label for w, label in part if w]
+        model.document = _logistic(np.concatenate(x), np.array(y))
     return model
 
 
