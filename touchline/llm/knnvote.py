@@ -64,8 +64,8 @@ def _facts(words: list[bytes], text: bytes) -> list[int]:
     return [WORDS + SHAPES + 8 * i + v for i, v in enumerate(values)]
 
 
-def weighted(texts: list[bytes], idf: np.ndarray | None, cache: _Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows (row, term, weight): 1 + log of the count, times idf, with words, shapes and facts each of length 1."""
+def counted(texts: list[bytes], cache: _Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows (row, term, count)."""
     rows, terms = [], []
     for i, text in enumerate(texts):
         words = text.split()
@@ -74,15 +74,17 @@ def weighted(texts: list[bytes], idf: np.ndarray | None, cache: _Terms) -> tuple
         rows.append(np.full(len(own), i, dtype=np.int64))
         terms.append(own)
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys, n = np.unique(np.concatenate(rows) * TERMS + np.concatenate(terms), return_counts=True)
-    row, term = keys // TERMS, keys % TERMS
-    weight = 1 + np.log(n)
-    if idf is not None:
-        weight = weight * idf[term]
+    return keys // TERMS, keys % TERMS, n
+
+
+def weighted(row: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights of sparse rows: 1 + log of the count, times idf, with words, shapes and facts each of length 1."""
+    weight = (1 + np.log(n)) * idf[term]
     group = row * 3 + np.searchsorted([WORDS, WORDS + SHAPES], term, side="right")
-    norm = np.sqrt(np.bincount(group, weights=weight * weight, minlength=3 * len(texts)))
-    return row, term, weight / norm[group]
+    norm = np.sqrt(np.bincount(group, weights=weight * weight))
+    return weight / norm[group]
 
 
 @dataclass
@@ -96,9 +98,10 @@ class Model:
 
 def latent(texts: list[bytes], idf: np.ndarray, basis: np.ndarray, cache: _Terms) -> np.ndarray:
     """Latent vectors of length 1 (zero where a text has no known term)."""
-    row, term, weight = weighted(texts, idf, cache)
+    row, term, n = counted(texts, cache)
     out = np.zeros((len(texts), basis.shape[1]), dtype=np.float32)
     if len(row):
+        weight = weighted(row, term, n, idf)
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         for at in range(0, len(first), 32):  # few at a time: terms x latent values each
             a, b = first[at], first[at + 32] if at + 32 < len(first) else len(row)
@@ -110,19 +113,30 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
     """A model from (text, label) rows; without rows every score is one half."""
     rows = labelled.without_copies(rows)
     cache = _Terms()
-    texts, y = [t for t, _ in rows], np.array([v for _, v in rows], dtype=np.float32)
-    row, term, _ = weighted(texts, None, cache)
-    idf = np.log((1 + len(texts)) / (1 + np.bincount(term, minlength=TERMS))) + 1
-    row, term, weight = weighted(texts, idf, cache)
-    dense = np.zeros((len(texts), TERMS), dtype=np.float32)
-    dense[row, term] = weight
-    gram = dense.T @ dense if len(texts) > TERMS else dense @ dense.T
-    value, vector = np.linalg.eigh(gram.astype(np.float64)) if len(texts) else (np.zeros(0), np.zeros((0, 0)))
-    top = np.argsort(value)[::-1][:LATENT]
-    top = top[value[top] > 1e-8]
-    basis = vector[:, top] if len(texts) > TERMS else dense.T @ (vector[:, top] / np.sqrt(value[top]))
-    basis = basis.astype(np.float32).reshape(TERMS, len(top))
-    return Model(idf, basis, latent(texts, idf, basis, cache), y, float(y.mean()) if len(y) else 0.5)
+    y = np.array([v for _, v in rows], dtype=np.float32)
+    parts = [counted([t for t, _ in rows[at : at + 256]], cache) for at in range(0, len(rows), 256)]
+    seen = sum((np.bincount(term, minlength=TERMS) for _, term, _ in parts), np.zeros(TERMS))
+    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+    dense = np.zeros((len(rows), TERMS), dtype=np.float32)
+    for i, (row, term, n) in enumerate(parts):
+        dense[row + 256 * i, term] = weighted(row, term, n, idf)
+    basis = _top_vectors(dense)
+    vectors = dense @ basis
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    return Model(idf, basis, vectors, y, float(y.mean()) if len(y) else 0.5)
+
+
+def _top_vectors(dense: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """The first LATENT right singular vectors, by subspace iteration from a fixed start: no matrix of rows by rows or terms by terms."""
+    k = min(LATENT + 16, *dense.shape)
+    if not k:
+        return np.zeros((dense.shape[1], 0), dtype=np.float32)
+    q = np.linalg.qr(np.random.default_rng(0).normal(size=(dense.shape[1], k)))[0].astype(np.float32)
+    for _ in range(rounds):
+        q = np.linalg.qr(dense.T @ (dense @ q))[0]
+    _, size, turn = np.linalg.svd(dense @ q, full_matrices=False)
+    keep = size[:LATENT] > 1e-4
+    return (q @ turn.T[:, :LATENT])[:, keep].astype(np.float32)
 
 
 def vote(model: Model, vectors: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
@@ -132,9 +146,10 @@ def vote(model: Model, vectors: np.ndarray, neighbours: int = NEIGHBOURS) -> np.
         return np.full(len(vectors), model.prior)
     out = np.empty(len(vectors))
     for at in range(0, len(vectors), 1024):
-        cos = vectors[at : at + 1024] @ model.vectors.T
+        # Rounded, so that equal texts score alike whatever block they are in.
+        cos = np.round(vectors[at : at + 1024].astype(np.float64) @ model.vectors.T.astype(np.float64), 10)
         near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(cos, near, 1), 0.0).astype(float) ** 4
+        w = np.maximum(np.take_along_axis(cos, near, 1), 0.0) ** 4
         out[at : at + 1024] = ((w * model.labels[near]).sum(1) + 0.02 * model.prior) / (w.sum(1) + 0.02)
     return out
 
