@@ -27,7 +27,7 @@ from touchline.llm.common import slices
 
 MOST_STATES = 80_000
 #: Of each of two generations: what is asked for again moves to the younger one, the older one goes.
-MOST_PIECES = 150_000
+MOST_PIECES = 180_000
 #: Bytes of a piece after which certain tokens are emitted.
 STRETCH = 1024
 MOST_PAIRS = 400_000
@@ -172,6 +172,12 @@ class Utf8Machine:
     def __init__(self):
         self.left, self.low, self.high, self.held = 0, 0x80, 0xBF, bytearray()
 
+    def get(self) -> tuple[int, int, int, bytes]:
+        return (self.left, self.low, self.high, bytes(self.held)) if self.left else (0, 0x80, 0xBF, b"")
+
+    def set(self, state: tuple[int, int, int, bytes]) -> None:
+        self.left, self.low, self.high, self.held = *state[:3], bytearray(state[3])
+
     def feed(self, data: bytes) -> str:
         if not self.left and data.isascii():
             return data.decode("ascii")
@@ -258,6 +264,8 @@ class Codec:
         self.plain, self.any = splitter(pattern)
         self.pieces = _Pieces(self.transducer)
         self.tokens = self.transducer.tokens
+        self.held: list[tuple[int, int, int, bytes]] = [Utf8Machine().get()]  # states of the machine
+        self.steps: dict[int, tuple[int, str]] = {}
         #: Tokens that begin or end within a character.
         self.parts = {i for i, t in self.tokens.items() if t.decode("utf-8", "replace").encode() != t}
 
@@ -266,10 +274,27 @@ class Codec:
         return list(chain.from_iterable(map(self.pieces.__getitem__, found)))
 
     def decode(self, ids: list[int]) -> str:
-        """Between characters the machine is in its start state, so only stretches that hold parts of characters go through it byte by byte."""
+        """The machine's moves by whole tokens, kept once made: its states are few, as are tokens that hold parts of characters."""
         if self.parts.isdisjoint(ids):
             return b"".join(map(self.tokens.__getitem__, ids)).decode()
-        return "".join(decode_stream(self.tokens, ids))
+        known, out, state = self.steps.get, [], 0
+        for i in ids:
+            state, text = known(state << 20 | i) or self.step(state, i)
+            out.append(text)
+        machine = Utf8Machine()
+        machine.set(self.held[state])
+        return "".join(out) + machine.close()
+
+    def step(self, state: int, token: int) -> tuple[int, str]:
+        """The machine's next state and the text that becomes complete."""
+        machine = Utf8Machine()
+        machine.set(self.held[state])
+        text = machine.feed(self.tokens[token])
+        now = machine.get()
+        if now not in self.held:
+            self.held.append(now)
+        out = self.steps[state << 20 | token] = self.held.index(now), text
+        return out
 
 
 @cache
