@@ -151,3 +151,38 @@ def test_odd_and_empty_tables(odd, odd_rows, none):
 
 def test_overlapping_spans_are_replaced_once():
     assert secrets._redact("ab token=0123456789abcdef01234567 cd", [(0, 3, 33), (2, 9, 33)]) == "ab [assign] cd"
+
+
+def pem_text(r, kind="RSA ", sep="\n", end=True, last=9):
+    line = lambda n: "".join(r.choice("ABCDEFGHabcdefgh01234567+/") for _ in range(n))
+    body = [line(64), line(64), line(last) + "="]
+    return sep.join([f"-----BEGIN {kind}PRIVATE KEY-----", *body, *([f"-----END {kind}PRIVATE KEY-----"] if end else [])])
+
+
+def test_private_keys_are_spanned_whole_and_owned_by_their_body(spark):
+    """Ten owners with a key each: all live and gone to the last line; one key that all copied is an example."""
+    r = random.Random(8)
+    forms = [("RSA ", "\n", True), ("", "\\n", True), ("EC ", "\n", False), ("", " ", True), ("OPENSSH ", "\r\n", False)]
+    own = [pem_text(r, *forms[i % 5]) for i in range(10)]
+    copied = pem_text(r)
+    rows = [(i, f"before {own[i]}\nafter words here\n{copied}\nlast", "en", f"s{i}", 0) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = {i: f"before [pem]\nafter words here\n{copied}\nlast" for i in range(10)}
+    assert {x["doc_id"]: x["text"] for x in secrets.redact(df).collect()} == want
+    for x in secrets.scan(df).collect():
+        live = [s for s in x["spans"] if s["kind"] == 5]
+        text = rows[x["doc_id"]][1]
+        assert [text[s["start"] : s["stop"]] for s in live] == [own[x["doc_id"]]] and live[0]["owners"] == 1
+
+
+def test_private_keys_with_base_matches_in_them_and_other_forms():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + "0123456789abcdef" * 4 + "\nAKIA" + "Q" * 40 + "\nx9==\n-----END RSA PRIVATE KEY-----"
+    text = f'token="{key}" and so on'
+    spans = [x[:3] for x in secrets.candidates(text)]
+    assert (5, text.index("-----BEGIN"), text.index(" and so on") - 1) in spans
+    assert secrets._redact(text, spans).endswith('" and so on') and "abcdef" not in secrets._redact(text, spans) and "END" not in secrets._redact(text, spans)
+    wrapped = key.replace("\n", "\\n")
+    values = [[x[3] for x in secrets.candidates(t) if x[0] == 5] for t in (key, wrapped)]
+    assert values[0] == values[1] and len(values[0]) == 1
+    header = "-----BEGIN PRIVATE KEY-----"
+    assert [x[:3] for x in secrets.candidates(f"a line {header} begins a key")] == [(5, 7, 7 + len(header))]

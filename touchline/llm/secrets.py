@@ -28,6 +28,10 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 PREFIXED = re.compile(r"(?:gh[pousr]_|sk_live_|glpat-|xox[abprs]-|AIza)[A-Za-z0-9_-]{16,}")
 ENTROPY = re.compile(r"[A-Za-z0-9+/_=-]{32,}")
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+PEM_END = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+#: Where no END line follows: header fields, then runs of base64 between white space, escaped line ends, quotes and the like, and a short last line.
+PEM_BODY = re.compile(r"""(?:(?:\\[nrt]|[\s"'+,>#*;])*(?:[A-Z][A-Za-z-]+:\x20[^\n\\]*(?=\n|\\n)|[A-Za-z0-9+/]{16,}={0,2}))*(?:(?:\\[nrt]|[\s"'+,>#*;])*[A-Za-z0-9+/]{2,15}={1,2}|(?<=[A-Za-z0-9+/])(?:\r?\n|\\n)[A-Za-z0-9+/]{2,15}(?![^\s"'\\]))?""")
+PEM_FIELD = re.compile(r"[A-Z][A-Za-z-]+:\x20[^\n\\]*|\\[nrt]|[^A-Za-z0-9+/=]")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 KINDS = ("assign", "access", "hex", "prefixed", "jwt", "pem", "entropy")
 BASE = 3
@@ -49,11 +53,27 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+def pem_keys(text: str) -> list[tuple[int, int, int, str]]:
+    """(5, start, stop, body) of private keys, from the header through the END line, or to the end of the base64 body where there is none.
+
+    The body is without line ends and header fields, so a key is one value however it is wrapped; a header without a body is its own value.
+    """
+    out, heads = [], list(PEM.finditer(text))
+    for m, until in zip(heads, [*(h.start() for h in heads[1:]), len(text)], strict=True):
+        end = PEM_END.search(text, m.end(), until)
+        if end and "-----" in text[m.end() : end.start()]:  # another block begins or ends before: that END is not this key's
+            end = None
+        body_stop = end.start() if end else PEM_BODY.match(text, m.end(), until).end()
+        body = PEM_FIELD.sub("", text[m.end() : body_stop])
+        out.append((5, m.start(), end.end() if end else body_stop, body or m[0]))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
     """(kind, start, stop, hash of the value), by start and kind. Offsets are code points; matches of a kind don't overlap.
 
     Base matches come from the stated patterns over the whole text, leftmost first; too short ones are dropped after matching, as they use up
-    their characters. Further kinds leave out what lies within a base match.
+    their characters. Further kinds leave out what lies within a base match, but for private keys, which are spanned whole.
     """
     found: list[tuple[int, int, int, str]] = []
     low = text.lower()
@@ -65,16 +85,16 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
             found += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text, a, b) if m.end() - m.start() >= LEAST[1]]
         if b - a >= LEAST[2]:
             found += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text, a, b) if m.end() - m.start() >= LEAST[2]]
-    taken = [(a, b) for _, a, b, _ in found]
+    # A whole key is more than any base match in it or over its header, and covers what else lies within.
+    keys = pem_keys(text) if "PRIVATE KEY" in text else []
+    taken = [(a, b) for _, a, b, _ in found + keys]
     free = lambda a, b: not any(x < b and a < y for x, y in taken)
     more: list[tuple[int, int, int, str]] = []
     if "eyJ" in text:
         more += [(4, m.start(), m.end(), m[0]) for m in JWT.finditer(text)]
-    if "PRIVATE KEY" in text:
-        more += [(5, m.start(), m.end(), m[0]) for m in PEM.finditer(text)]
     for a, b in runs:
         more += [(3, m.start(), m.end(), m[0]) for m in PREFIXED.finditer(text, a, b)]
-    more = [x for x in more if free(x[1], x[2])]
+    more = keys + [x for x in more if free(x[1], x[2])]
     taken += [(a, b) for _, a, b, _ in more]
     for a, b in runs:
         if b - a >= 32:
