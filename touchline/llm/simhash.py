@@ -18,7 +18,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.common import materialize, slices, text_bytes
@@ -163,6 +163,11 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
+def digest(text_col: str = "text") -> Column:
+    """64 bits of a text's bytes; null counts as empty."""
+    return F.xxhash64(text_bytes(text_col))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id of every row.
 

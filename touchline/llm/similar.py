@@ -1,10 +1,11 @@
 """Links between documents whose sets of five-word shingles are alike, for SimHash near-dedup beyond a few bits.
 
-Documents of a likeness of 0.8 differ in some ten bits of 64, too many for buckets of equal bits. But their edits leave most stretches of words as they
-were. So candidates meet by a stretch: words end a stretch by their hash, wherever they stand. Of each stretch only pairs with
-two fixed members of it (the smallest, and that of the smallest hash) are candidates: a stretch in a third of all documents
-gives two pairs a document, not all. The fingerprints' pivot distances then discard pairs, and the survivors' likeness is
-estimated from their sketches: the least shingle hash in each of 256 slots.
+1. Each distinct text is a node. Candidates meet by keys. Texts of up to SHORT shingles: their rarest shingles, so many that two sets of
+   the wanted likeness always share one (prefix filter). Longer ones: bands of ROWS of the set's MinHash values; all BANDS differ for a pair of
+   likeness 0.8 in 5 of 100 million. Texts between SHORT and SHORT / similarity have both, as either can be their partner's.
+2. Nodes of one key need no comparison where links join them already. While there are many other pairs, all members of a key meet
+   two of them, which differ by round and key; then every pair of a key that is still apart meets. So no pair that shares a key is left out.
+3. Sketches (the least shingle hash in each of 256 slots) discard pairs five deviations below; the survivors' sets are compared exactly.
 """
 
 from __future__ import annotations
@@ -18,18 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.common import materialize, slices, text_bytes
-from touchline.llm.simhash import components, fingerprint, keep_first, links, pivot_table
+from touchline.llm.simhash import components, digest, fingerprint, keep_first, links
 
 SHINGLE = 5
 SLOTS = 256
-#: One word in so many ends a stretch.
-STRETCH = 16
-#: Bits that fingerprints of a likeness of 0.8 differ in at most: ten are expected, three is their deviation.
-BITS = 20
-#: The estimate's deviation is about as much, so pairs this little below are links too.
-SLACK = 0.02
+BANDS, ROWS = 32, 4
+#: Sets of at most so many shingles meet by their rarest shingles.
+SHORT = 0
+#: Sketches discard pairs so many deviations of the estimate below the wanted likeness.
+DEVIATIONS = 5
+#: All pairs of a key that are apart meet once there are at most so many for each member of a key, or after so many rounds.
+PAIRS, ROUNDS = 8, 8
 CACHE = 200_000
 MIX = np.random.default_rng(5).integers(0, 2**63, size=4096, dtype=np.uint64) | np.uint64(1)
+#: Multipliers and summands of the MinHash functions.
+TIMES, PLUS = np.random.default_rng(7).integers(0, 2**64, size=(2, BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
 
 
 class _Hashes(dict):
@@ -48,107 +52,204 @@ def _stir(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def profile(text: bytes, hashes: _Hashes) -> tuple[int, bytes, np.ndarray]:
-    """SimHash of the five-word shingles, sketch (a byte a slot, 0: empty) and hashes of the stretches."""
+def shingles(text: bytes, hashes: _Hashes) -> np.ndarray:
+    """Hashes of the distinct five-word shingles, in order; of fewer words, of all of them; of none, empty."""
     words = text.lower().split()
     if not words:
-        return 0, bytes(SLOTS), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     n = max(1, len(h) - SHINGLE + 1)
     s = np.zeros(n, dtype=np.uint64)
     for k in range(min(SHINGLE, len(h))):
         s += h[k : k + n] * MIX[k]
-    s = _stir(s)
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 65536):
-        ones += np.unpackbits(s[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    fp = int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
-    least = np.sort(s)  # the slot is the highest byte, so a slot's least hash is its first
-    slot, first = np.unique(least >> np.uint64(56), return_index=True)
-    sketch = np.zeros(SLOTS, dtype=np.uint8)
-    sketch[slot.astype(np.int64)] = 1 + (least[first] % np.uint64(255)).astype(np.uint8)
-    ends = np.flatnonzero(h % np.uint64(STRETCH) == 0)
-    starts = np.concatenate([[0], ends + 1])
-    starts = starts[starts < len(h)]
-    place = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
-    stretches = np.add.reduceat(h * MIX[place % len(MIX)], starts)
-    return fp, sketch.tobytes(), np.unique(_stir(stretches)).view(np.int64)
+    return np.unique(_stir(s))
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """A byte a slot, 0: empty."""
+    slot, first = np.unique(s >> np.uint64(56), return_index=True)  # the slot is the highest byte, so a slot's least hash is its first
+    out = np.zeros(SLOTS, dtype=np.uint8)
+    out[slot.astype(np.int64)] = 1 + (s[first] % np.uint64(255)).astype(np.uint8)
+    return out.tobytes()
+
+
+def bands(s: np.ndarray) -> np.ndarray:
+    """A key for each band: the hash of its MinHash values."""
+    if not len(s):
+        return np.zeros(0, dtype=np.int64)
+    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(s), 512):
+        least = np.minimum(least, (s[None, at : at + 512] * TIMES + PLUS).min(axis=1))
+    keys = (_stir(least).reshape(BANDS, ROWS) * MIX[:ROWS]).sum(axis=1, dtype=np.uint64) + MIX[ROWS : ROWS + BANDS]
+    return _stir(keys).view(np.int64)
+
+
+def profile(text: bytes, hashes: _Hashes) -> tuple[np.ndarray, bytes]:
+    """Shingle hashes and sketch."""
+    s = shingles(text, hashes)
+    return s, sketch(s)
 
 
 def alike(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Estimated likeness of pairs of sketches: equal slots among those that either has."""
+    return _estimate(a, b)[0]
+
+
+def _estimate(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates and how many slots they rest on."""
     x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, SLOTS) for s in (a, b))
-    return ((x == y) & (x > 0)).sum(1) / np.maximum(((x > 0) | (y > 0)).sum(1), 1)
+    used = np.maximum(((x > 0) | (y > 0)).sum(1), 1)
+    return ((x == y) & (x > 0)).sum(1) / used, used
 
 
-def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """id, fp (the SimHash of ``shingle`` words), sim, sketch and stretches of every row, in one pass over the texts."""
+def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float = 0.8) -> DataFrame:
+    """id, fp (the SimHash of ``shingle`` words), node (the text's digest), n (distinct five-word shingles), bands and short (the shingles of short texts) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
+        none = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 own = batch.slice(at, 1024)
-                fps, got = [], []
+                fps, n, long, short = [], [], [], []
                 for part in slices(own.column(1)):
                     for t in part:
                         fps.append(fingerprint(t, shingle))
-                        got.append(profile(t, hashes))
-                long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64), pa.int64())
-                columns = [own.column(0), long(fps), long([g[0] for g in got]), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "sim", "sketch", "stretches"])
+                        s = shingles(t, hashes)
+                        n.append(len(s))
+                        long.append(bands(s) if len(s) > SHORT else none)
+                        short.append(s.view(np.int64) if len(s) * similarity <= SHORT else none)
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (long, short)]
+                columns = [own.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64), pa.int64()), own.column(2), pa.array(n, pa.int64()), *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "node", "n", "bands", "short"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"))
-    return rows.mapInArrow(run, "id long, fp long, sim long, sketch binary, stretches array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"), digest(text_col).alias("node"))
+    return rows.mapInArrow(run, "id long, fp long, node long, n long, bands array<long>, short array<long>")
 
 
-def similar_links(known: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Edges (a, b) between nodes of ``known`` (as from profiles, written, one row a node) whose estimated likeness reaches ``similarity``."""
-    rows = known.select("node", F.explode("stretches").alias("s"))
-    fixed = rows.groupBy("s").agg(F.min("node").alias("a"), F.min_by("node", F.xxhash64("node")).alias("c"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = rows.join(fixed, "s").select("node", F.explode(F.array("a", "c")).alias("other")).filter("node <> other")
-    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    side = lambda x: known.select(F.col("node").alias(x), F.col("sim").alias(f"sim_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    # The pivot distances of fingerprints first: sketches are only fetched for pairs that they leave.
-    near = pairs.join(side("a").drop("sketch_a"), "a").join(side("b").drop("sketch_b"), "b").mapInArrow(_discard, "a long, b long")
-    return near.join(side("a").drop("sim_a"), "a").join(side("b").drop("sim_b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_verify(similarity), "a long, b long")
+def rarest(nodes: DataFrame, similarity: float) -> DataFrame:
+    """node, fp, n, k: the rarest shingles of short texts, as many as leave less than the share ``similarity`` of the set."""
+    rows = nodes.select("node", "fp", "n", F.explode("short").alias("s"))
+    common = rows.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = rows.join(common, "s", "left").select("node", "fp", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s").alias("r"))
+    own = ranked.groupBy("node", "fp", "n").agg(F.array_sort(F.collect_list("r")).alias("rs"))  # of one text, at most SHORT / similarity
+    many = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
+    return own.select("node", "fp", "n", F.explode(F.slice("rs", F.lit(1), many)).alias("r")).filter("r.df > 1").select("node", "fp", "n", F.xxhash64(F.lit("short"), "r.s").alias("k"))
+
+
+def shared_keys(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """node, fp, n, k: keys that more than one node has."""
+    keys = nodes.select("node", "fp", "n", F.explode("bands").alias("k")).unionByName(rarest(nodes, similarity))
+    return keys.join(keys.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1").select("k"), "k", "left_semi")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFrame:
+    """node, sketch, shingles (eight bytes each, in order) of the texts of ``nodes`` (column node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                own = batch.slice(at, 256)
+                got = [profile(t, hashes) for t in own.column(1).to_pylist()]
+                columns = [own.column(0), pa.array([g[1] for g in got], pa.binary()), pa.array([g[0].tobytes() for g in got], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "sketch", "shingles"])
+
+    rows = docs.select(digest(text_col).alias("node"), text_bytes(text_col).alias("t")).join(nodes, "node", "left_semi")
+    return rows.dropDuplicates(["node"]).mapInArrow(run, "node long, sketch binary, shingles binary")
 
 
-def _discard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose largest pivot coordinate difference, and then whose distance, is within BITS. Columns a, b and their fingerprints."""
-    for batch in batches:
-        a, b = (batch.column(f"sim_{x}").to_numpy().view(np.uint64) for x in ("a", "b"))
-        keep = np.abs(pivot_table(a) - pivot_table(b)).max(axis=1, initial=0) <= BITS
-        keep &= np.bitwise_count(a ^ b) <= BITS
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Those pairs (a, b, and what else they have) whose sets have a likeness of ``similarity`` or more: by sketches first, then exactly."""
+    side = lambda x, c: sets.select(F.col("node").alias(x), F.col(c).alias(f"{c}_{x}"))
+    columns = ["a", "b", "fa", "fb"]
+    schema = "a long, b long, fa long, fb long"
+    near = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").select(*columns, "sketch_a", "sketch_b").mapInArrow(_only(_maybe(similarity)), schema)
+    return near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select(*columns, "shingles_a", "shingles_b").mapInArrow(_only(_surely(similarity)), schema)
 
 
-def _verify(similarity: float):
+def _only(keep):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                own = batch.slice(at, 4096)
-                got = alike(own.column(2).to_pylist(), own.column(3).to_pylist())
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1)], names=["a", "b"]).filter(pa.array(got >= similarity - SLACK))
+            for at in range(0, len(batch), 1024):
+                own = batch.slice(at, 1024)
+                ok = keep(own.column(4).to_pylist(), own.column(5).to_pylist())
+                yield pa.RecordBatch.from_arrays([own.column(i) for i in range(4)], names=["a", "b", "fa", "fb"]).filter(pa.array(ok))
 
     return run
 
 
+def _maybe(similarity: float):
+    def keep(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        got, used = _estimate(a, b)
+        return got >= similarity - DEVIATIONS * np.sqrt(similarity * (1 - similarity) / used)
+
+    return keep
+
+
+def likeness(a: bytes, b: bytes) -> float:
+    """Of two sets of shingle hashes."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(len(x) + len(y) - both, 1)
+
+
+def _surely(similarity: float):
+    return lambda a, b: np.array([likeness(x, y) >= similarity - 1e-12 for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
+def similar_links(keys: DataFrame, sets: DataFrame, edges: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """node (a fingerprint), root: components of ``edges`` (a, b: fingerprints) and of all pairs of ``keys`` (written) with a likeness of ``similarity``."""
+    edges = materialize(edges.select("a", "b"), "links")
+    for turn in range(ROUNDS + 1):
+        roots = materialize(components(edges), "roots")
+        rooted = keys.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("k", "node", "fp", "n", F.coalesce("root", "fp").alias("r"))
+        rooted = materialize(rooted, "rooted")
+        sizes = rooted.groupBy("k", "r").agg(F.count("*").alias("m")).groupBy("k").agg(F.sum("m").cast("double").alias("m"), F.sum(F.col("m").cast("double") * F.col("m")).alias("q"), F.count("*").alias("c"))
+        apart = materialize(sizes.filter("c > 1").select("k", "m", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs")), "apart")
+        members, pairs = apart.agg(F.sum("m"), F.sum("pairs")).first()
+        if not members:
+            return roots
+        own = rooted.join(apart.select("k"), "k", "left_semi")
+        last = turn == ROUNDS or pairs <= PAIRS * members
+        item = F.struct("node", "fp", "n", "r")
+        if last:
+            other = own.select("k", item.alias("o"))
+            met = own.join(other, "k").filter("node < o.node")
+        else:
+            one = lambda *x: F.min_by(item, F.xxhash64("node", F.lit(turn), *x))
+            fixed = own.groupBy("k").agg(F.array(one(), one("k")).alias("os"))
+            met = own.join(fixed, "k").select("k", "node", "fp", "n", "r", F.explode("os").alias("o"))
+        met = met.filter((F.col("r") != F.col("o.r")) & (F.least("n", "o.n") >= F.greatest("n", "o.n") * similarity - 1e-9))
+        first = F.col("node") < F.col("o.node")
+        pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+        met = met.select(pick("node", "o.node").alias("a"), pick("o.node", "node").alias("b"), pick("fp", "o.fp").alias("fa"), pick("o.fp", "fp").alias("fb")).distinct()
+        found = verified(met, sets, similarity).select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct()
+        edges = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), "links")
+        if last:
+            return components(edges)
+
+
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, similarity: float = 0.8) -> DataFrame:
+    """id, node (the text's digest), root (the same for all rows of a group) and component_id of every row."""
+    rows = materialize(profiles(docs, id_col, text_col, shingle, similarity), "profiles")
+    keys = materialize(shared_keys(rows.select("node", "fp", "n", "bands", "short").dropDuplicates(["node"]), similarity), "keys")
+    sets = materialize(shingle_sets(docs, materialize(keys.select("node").distinct(), "nodes"), text_col), "sets")
+    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    roots = similar_links(keys, sets, links(classes.select("fp"), bits), similarity).withColumnRenamed("node", "of")
+    rooted = classes.join(roots, F.col("fp") == F.col("of"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(whole, "root").select("fp", "root", "component_id")
+    return rows.select("id", "fp", "node").join(named, "fp").select("id", "node", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of every row, as simhash.near_duplicates, with links of fingerprints within ``bits`` or five-word likeness of ``similarity``.
 
-    Texts of one fingerprint count as one, that of the smallest id. Null and empty texts are one group; null ids count in no minimum; repeated rows
-    stay; an empty table gives no rows.
+    Null and empty texts are one group; null ids count in no minimum; repeated rows stay; an empty table gives no rows.
     """
-    rows = materialize(profiles(docs, id_col, text_col, shingle), "profiles")
-    nodes = rows.groupBy("fp").agg(F.min_by(F.struct("sim", "sketch", "stretches"), F.coalesce("id", F.lit((1 << 63) - 1))).alias("p"), F.min("id").alias("least"))
-    nodes = materialize(nodes.select(F.col("fp").alias("node"), "least", "p.*"), "nodes")
-    edges = links(nodes.select(F.col("node").alias("fp")), bits).unionByName(similar_links(nodes, similarity))
-    roots = components(edges).withColumnRenamed("node", "of")
-    rooted = nodes.select("node", "least").join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(whole, "root").select(F.col("node").alias("fp"), "component_id")
-    return rows.select("id", "fp").join(named, "fp").select(F.col("id").alias("doc_id"), "component_id")
+    groups = near_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits, similarity=similarity)
+    return groups.select(F.col("id").alias("doc_id"), "component_id")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, similarity: float = 0.8) -> DataFrame:
