@@ -55,3 +55,17 @@ def test_variants_of_one_text_meet_their_original(spark, monkeypatch, rounds):
     assert groups(spark, texts) == brute(texts)
 
 
+def test_short_texts_that_differ_in_the_last_words(spark):
+    """All pairs of a likeness of 0.8 or more, by brute force; every second text also has one very common line."""
+    r = random.Random(4)
+    line, texts = " ".join(word(r) for _ in range(9)), []
+    for g in range(120):
+        words = [word(r) for _ in range(r.choice([6, 12, 20, 30, 50, 58, 64]))]
+        words = line.split() + words if g % 2 else words
+        for c in range(3):
+            texts.append((g * 3 + c, " ".join(words[:-1] + [word(r)] if c == 1 else words + [word(r)] * (c == 2))))
+    want = brute(texts)
+    assert sum(want[i] != i for i in want) > 100
+    assert groups(spark, texts) == want
+
+

@@ -25,7 +25,7 @@ SHINGLE = 5
 SLOTS = 256
 BANDS, ROWS = 32, 4
 #: Sets of at most so many shingles meet by their rarest shingles.
-SHORT = 0
+SHORT = 50
 #: Sketches discard pairs so many deviations of the estimate below the wanted likeness.
 DEVIATIONS = 5
 #: All pairs of a key that are apart meet once there are at most so many for each member of a key, or after so many rounds.
