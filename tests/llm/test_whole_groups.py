@@ -69,3 +69,13 @@ def test_short_texts_that_differ_in_the_last_words(spark):
     assert groups(spark, texts) == want
 
 
+@pytest.mark.parametrize("dedup", [simhash.deduplicate, similar.deduplicate])
+def test_null_and_repeated_ids_lose_no_group(spark, dedup):
+    """Unlike texts with null or equal ids all stay; of a group one row stays, that with an id first."""
+    r = random.Random(6)
+    text = [" ".join(word(r) for _ in range(40)) for _ in range(30)]
+    rows = [(None, text[i]) for i in range(10)] + [(7, text[i]) for i in range(10, 20)] + [(i, text[i]) for i in range(20, 30)]
+    rows += [(None, text[25]), (None, text[3]), (9, text[4]), (7, text[12]), (99, text[12])]
+    got = sorted((x["text"], x["doc_id"]) for x in dedup(frame(spark, rows)).collect() if x["doc_id"] is not None)
+    assert got == sorted([(text[4], 9)] + [(text[i], 7) for i in range(10, 20)] + [(text[i], i) for i in range(20, 30)])
+    assert sorted(x["text"] for x in dedup(frame(spark, rows)).collect() if x["doc_id"] is None) == sorted(text[i] for i in range(10) if i != 4)

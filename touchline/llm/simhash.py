@@ -50,15 +50,15 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """id and fp (the fingerprint's 64 bits as a signed long) of every row."""
+    """id, fp (the fingerprint's 64 bits as a signed long) and node (the text's digest) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t, shingle) for part in slices(b.column(1)) for t in part]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64), pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64), pa.int64()), b.column(2)], names=["id", "fp", "node"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"), digest(text_col).alias("node"))
+    return rows.mapInArrow(run, "id long, fp long, node long")
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
@@ -168,6 +168,17 @@ def digest(text_col: str = "text") -> Column:
     return F.xxhash64(text_bytes(text_col))
 
 
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
+    """id, node (the text's digest), fp, root (the same for all rows of a group) and component_id of every row."""
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = components(links(classes.select("fp"), bits))
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(whole, "root").select("fp", "root", "component_id")
+    return fps.join(named, "fp").select("id", "node", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id of every row.
 
@@ -175,26 +186,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fingerprint zero and link like any other; a null id keeps its row and counts in no minimum; repeated rows stay; an empty
     table gives no rows.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(classes.select("fp"), bits))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(whole, "root").select("fp", "component_id")
-    out = fps.join(named, "fp")
+    out = near_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with one row of each group of ``groups`` (doc_id, component_id): that of the smallest id.
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of ``groups`` (id, node, root): that of the smallest id, null last, then of the smallest digest.
 
-    Rows that repeat that id, whatever their text, are one; rows with a null id stay only, as one, if their group has no id.
+    An id repeated in several groups stays in each of them that it is first in; a group of null ids keeps one. Rows equal in id and text are of one
+    group: of them the least by all columns stays.
     """
-    kept = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__keep_id")).distinct()
-    out = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__keep_id")), "left_semi")
-    return out.dropDuplicates([id_col])
+    order = F.struct(F.col("id").isNull().alias("null"), "id", "node")
+    first = groups.groupBy("root").agg(F.min(order).alias("f")).select(F.col("f.id").alias("__keep_id"), F.col("f.node").alias("__keep_node"))
+    key, of = docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col].cast("binary"), F.lit(b"")))
+    out = docs.join(first, (of == F.col("__keep_node")) & key.eqNullSafe(F.col("__keep_id")), "left_semi")
+    whole = out.groupBy(F.col(id_col).cast("long").alias("__keep_id"), digest(text_col).alias("__keep_node")).agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("__row"))
+    return whole.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
     """docs with one row of each group of near_duplicates, in the same columns: see keep_first."""
-    return keep_first(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits), id_col)
+    return keep_first(docs, near_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits), id_col, text_col)

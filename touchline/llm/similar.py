@@ -254,4 +254,4 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near_duplicates, in the same columns: see simhash.keep_first."""
-    return keep_first(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits, similarity=similarity), id_col)
+    return keep_first(docs, near_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits, similarity=similarity), id_col, text_col)
