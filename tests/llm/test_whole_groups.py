@@ -69,6 +69,18 @@ def test_short_texts_that_differ_in_the_last_words(spark):
     assert groups(spark, texts) == want
 
 
+def test_links_are_exact(spark):
+    """Pairs just above and just below the likeness: by one shingle of 300 texts' sets."""
+    r = random.Random(5)
+    texts = []
+    for g in range(40):
+        words = [word(r) for _ in range(304)]
+        for c, cut in enumerate((0, 60 if g % 2 else 61)):
+            texts.append((g * 2 + c, " ".join(words[: len(words) - cut])))
+    got = groups(spark, texts)
+    assert got == brute(texts) and sum(got[i] != i for i in got) == 20
+
+
 @pytest.mark.parametrize("dedup", [simhash.deduplicate, similar.deduplicate])
 def test_null_and_repeated_ids_lose_no_group(spark, dedup):
     """Unlike texts with null or equal ids all stay; of a group one row stays, that with an id first."""
