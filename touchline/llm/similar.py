@@ -144,7 +144,7 @@ def shared_keys(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFrame:
-    """node, sketch, shingles (eight bytes each, in order) of the texts of ``nodes`` (column node)."""
+    """node, sketch, shingles of the texts of ``nodes`` (column node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -152,52 +152,36 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> D
             for at in range(0, len(batch), 256):
                 own = batch.slice(at, 256)
                 got = [profile(t, hashes) for t in own.column(1).to_pylist()]
-                columns = [own.column(0), pa.array([g[1] for g in got], pa.binary()), pa.array([g[0].tobytes() for g in got], pa.binary())]
+                columns = [own.column(0), pa.array([g[1] for g in got], pa.binary()), pa.array([g[0].view(np.int64) for g in got], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "sketch", "shingles"])
 
     rows = docs.select(digest(text_col).alias("node"), text_bytes(text_col).alias("t")).join(nodes, "node", "left_semi")
-    return rows.dropDuplicates(["node"]).mapInArrow(run, "node long, sketch binary, shingles binary")
+    return rows.dropDuplicates(["node"]).mapInArrow(run, "node long, sketch binary, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Those pairs (a, b, and what else they have) whose sets have a likeness of ``similarity`` or more: by sketches first, then exactly."""
     side = lambda x, c: sets.select(F.col("node").alias(x), F.col(c).alias(f"{c}_{x}"))
     columns = ["a", "b", "fa", "fb"]
-    schema = "a long, b long, fa long, fb long"
-    near = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").select(*columns, "sketch_a", "sketch_b").mapInArrow(_only(_maybe(similarity)), schema)
-    return near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select(*columns, "shingles_a", "shingles_b").mapInArrow(_only(_surely(similarity)), schema)
+    near = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").select(*columns, "sketch_a", "sketch_b").mapInArrow(_maybe(similarity), "a long, b long, fa long, fb long")
+    # Natively: Arrow batches of pairs of sets would take much of a worker's memory.
+    whole = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+    whole = whole.withColumn("both", F.size(F.array_intersect("shingles_a", "shingles_b")))
+    return whole.filter(F.col("both") >= (F.size("shingles_a") + F.size("shingles_b") - F.col("both")) * similarity - 1e-9).select(*columns)
 
 
-def _only(keep):
+def _maybe(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                own = batch.slice(at, 1024)
-                ok = keep(own.column(4).to_pylist(), own.column(5).to_pylist())
+            for at in range(0, len(batch), 4096):
+                own = batch.slice(at, 4096)
+                got, used = _estimate(own.column(4).to_pylist(), own.column(5).to_pylist())
+                ok = got >= similarity - DEVIATIONS * np.sqrt(similarity * (1 - similarity) / used)
                 yield pa.RecordBatch.from_arrays([own.column(i) for i in range(4)], names=["a", "b", "fa", "fb"]).filter(pa.array(ok))
 
     return run
 
 
-def _maybe(similarity: float):
-    def keep(a: list[bytes], b: list[bytes]) -> np.ndarray:
-        got, used = _estimate(a, b)
-        return got >= similarity - DEVIATIONS * np.sqrt(similarity * (1 - similarity) / used)
-
-    return keep
-
-
-def likeness(a: bytes, b: bytes) -> float:
-    """Of two sets of shingle hashes."""
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(len(x) + len(y) - both, 1)
-
-
-def _surely(similarity: float):
-    return lambda a, b: np.array([likeness(x, y) >= similarity - 1e-12 for x, y in zip(a, b, strict=True)], dtype=bool)
-
-
 def similar_links(keys: DataFrame, sets: DataFrame, edges: DataFrame, similarity: float = 0.8) -> DataFrame:
     """node (a fingerprint), root: components of ``edges`` (a, b: fingerprints) and of all pairs of ``keys`` (written) with a likeness of ``similarity``."""
     edges = materialize(edges.select("a", "b"), "links")
