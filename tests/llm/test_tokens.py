@@ -7,6 +7,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from touchline.llm import bpe, maxmatch
 
@@ -32,11 +33,9 @@ def test_encodes_as_the_library_and_decodes_back(library, codec, text):
     assert codec.decode(ids) == text
 
 
-def test_long_runs_and_few_states(library, codec, monkeypatch):
+def test_long_runs_and_few_states(library, codec):
     r = random.Random(1)
-    monkeypatch.setattr(bpe, "MOST_STATES", 50)
-    monkeypatch.setattr(bpe, "MOST_PIECES", 10)
-    monkeypatch.setattr(bpe, "MOST_PAIRS", 20)
+    codec = bpe.Codec(codec.transducer.ranks, public_tokenizers.PATTERN, pieces=10, states=50)
     for alphabet in ("a", "ab", "abcdefghijklmnop", "éàü", "=-*", "0"):
         text = "".join(r.choice(alphabet) for _ in range(3000))
         assert codec.encode(text) == library.encode_ordinary(text)
@@ -72,6 +71,8 @@ def test_round_trip_of_odd_rows(library, odd, odd_rows, none):
     docs = bpe.encode_documents(odd, PATH, public_tokenizers.PATTERN)
     assert "text" not in docs.columns and docs.count() == len(odd_rows)
     assert sum(r["n_tokens"] for r in docs.collect()) == sum(w[1] for w in want)
+    clash = bpe.encode_documents(odd.withColumn("n_tokens", F.lit("own")), PATH, public_tokenizers.PATTERN)
+    assert {r["n_tokens_given"] for r in clash.collect()} == {"own"} and clash.select("n_tokens").first()[0] >= 0
 
 
 def greedy(begin, go_on, word):

@@ -25,12 +25,12 @@ from pyspark.sql.functions import arrow_udf
 
 from touchline.llm.common import slices
 
+#: Of adjacent tokens, five times as many are remembered.
 MOST_STATES = 80_000
 #: Of each of two generations: what is asked for again moves to the younger one, the older one goes.
 MOST_PIECES = 180_000
 #: Bytes of a piece after which certain tokens are emitted.
 STRETCH = 1024
-MOST_PAIRS = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -51,8 +51,8 @@ def byte_pairs(ranks: dict[bytes, int], piece: bytes) -> list[int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], states: int | None = None):
+        self.ranks, self.most = ranks, states or MOST_STATES
         self.tokens: dict[int, bytes] = {r: t for t, r in ranks.items()}
         self.child: dict[int, int] = {}
         self.length = {r: len(t) for t, r in ranks.items()}
@@ -82,7 +82,7 @@ class Transducer:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token b can follow token a (-1: begin a piece)."""
-        if len(self.pairs) > MOST_PAIRS:
+        if len(self.pairs) > 5 * self.most:
             self.pairs.clear()
         own = self.tokens[b] if a < 0 else self.tokens[a] + self.tokens[b]
         got = self.pairs[a << 24 | b] = byte_pairs(self.ranks, own) == ([b] if a < 0 else [a, b])
@@ -126,7 +126,7 @@ class Transducer:
 
     def stream(self, piece: bytes) -> Iterator[list[int]]:
         """Token ids of one piece in lists: what is certain after each stretch, the rest at its end. Memory doesn't grow with the piece."""
-        if len(self.states) > MOST_STATES:
+        if len(self.states) > self.most:
             self.forget()
         state, moves, written = 0, self.moves, []
         for i, c in enumerate(piece, 1):
@@ -139,7 +139,7 @@ class Transducer:
                 if sure := ways[0][:n]:
                     yield sure
                     del written[: sum(map(self.length.__getitem__, sure))]
-                if len(self.states) > MOST_STATES:
+                if len(self.states) > self.most:
                     now = self.states[state]
                     self.forget()
                     moves, state = self.moves, len(self.states)
@@ -154,7 +154,7 @@ class Transducer:
             return (whole,)
         if len(piece) > STRETCH:
             return tuple(chain.from_iterable(self.stream(piece)))
-        if len(self.states) > MOST_STATES:
+        if len(self.states) > self.most:
             self.forget()
         state, known, move, written = 0, self.moves.get, self.move, []
         for c in piece:
@@ -245,12 +245,13 @@ def splitter(pattern: str) -> tuple[re.Pattern, re.Pattern]:
 class _Pieces(dict):
     """piece -> its ids, in two generations."""
 
-    def __init__(self, transducer: Transducer):
-        self.transducer, self.older = transducer, {}
+    def __init__(self, transducer: Transducer, most: int | None = None):
+        self.transducer, self.older, self.most = transducer, {}, most or MOST_PIECES
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) > MOST_PIECES:
-            self.older = dict(self)
+        if len(self) > self.most:
+            self.older.clear()
+            self.older.update(self)
             self.clear()
         out = self.older.get(piece) or self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
         if len(piece) < 64:
@@ -259,10 +260,12 @@ class _Pieces(dict):
 
 
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+    """``pieces`` and ``states`` bound what is remembered; results don't depend on them."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pieces: int | None = None, states: int | None = None):
+        self.transducer = Transducer(ranks, states)
         self.plain, self.any = splitter(pattern)
-        self.pieces = _Pieces(self.transducer)
+        self.pieces = _Pieces(self.transducer, pieces)
         self.tokens = self.transducer.tokens
         self.held: list[tuple[int, int, int, bytes]] = [Utf8Machine().get()]  # states of the machine
         self.steps: dict[int, tuple[int, str]] = {}
@@ -303,24 +306,26 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(load_ranks(path), pattern)
 
 
-_own: dict[tuple[str, str], Codec] = {}
+_own: dict[tuple, Codec] = {}
 
 
-def shared_codec(spark: SparkSession, path: str, pattern: str) -> Callable[[], Codec]:
+def shared_codec(spark: SparkSession, path: str, pattern: str, pieces: int | None = None, states: int | None = None) -> Callable[[], Codec]:
     """What gives a worker process its codec. Only the driver reads the file: its ranks are broadcast, as many as the vocabulary has."""
     ranks = spark.sparkContext.broadcast(load_ranks(path))
 
     def get() -> Codec:
-        if (path, pattern) not in _own:
-            _own[path, pattern] = Codec(ranks.value, pattern)
-        return _own[path, pattern]
+        key = path, pattern, pieces, states
+        if key not in _own:
+            _own.clear()
+            _own[key] = Codec(ranks.value, pattern, pieces, states)
+        return _own[key]
 
     return get
 
 
-def encoded(spark: SparkSession, text: Column, path: str, pattern: str) -> Column:
+def encoded(spark: SparkSession, text: Column, path: str, pattern: str, *, pieces: int | None = None, states: int | None = None) -> Column:
     """array<int> of token ids; null and empty texts give an empty array."""
-    get = shared_codec(spark, path, pattern)
+    get = shared_codec(spark, path, pattern, pieces, states)
 
     @arrow_udf("array<int>")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -331,9 +336,15 @@ def encoded(spark: SparkSession, text: Column, path: str, pattern: str) -> Colum
     return run(text)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", out: str = "token_ids") -> DataFrame:
-    """docs without the text, with token_ids and n_tokens instead. All rows stay; null texts have no tokens."""
-    return docs.withColumn(out, encoded(docs.sparkSession, F.coalesce(F.col(text_col), F.lit("")), path, pattern)).drop(text_col).withColumn("n_tokens", F.size(out).cast("long"))
+def encode_documents(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", pieces: int = 60_000, states: int = 30_000) -> DataFrame:
+    """docs without the text, with token_ids and n_tokens instead.
+
+    All rows stay; null texts have no tokens. The caller's columns of these names become token_ids_given and n_tokens_given. Less is remembered
+    than by round_trip (``pieces``, ``states``), as ids of whole batches are held as well.
+    """
+    kept = [F.col(c).alias(f"{c}_given" if c in ("token_ids", "n_tokens") else c) for c in docs.columns if c != text_col]
+    ids = encoded(docs.sparkSession, F.coalesce(F.col(text_col), F.lit("")), path, pattern, pieces=pieces, states=states)
+    return docs.select(*kept, ids.alias("token_ids")).withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
