@@ -43,7 +43,7 @@ def test_fingerprints_and_components_of_odd_rows(odd, odd_rows):
     assert got == want
 
 
-def test_links_of_many_close_fingerprints(spark):
+def test_links_of_many_close_fingerprints(spark, monkeypatch):
     """Chains, a large ball around one fingerprint and random ones: the same components as all pairs give."""
     r = random.Random(5)
     fps = {r.getrandbits(64) for _ in range(300)}
@@ -57,6 +57,12 @@ def test_links_of_many_close_fingerprints(spark):
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for _, f in items], "fp long")
     edges = simhash.links(df, 2)
     assert edges.count() < 28 * len(items)
+    monkeypatch.setattr(simhash, "MOST_CELL", 8)  # most cells are dealt again
+    assert_components(edges, items)
+    assert_components(simhash.links(df, 2), items)
+
+
+def assert_components(edges, items):
     roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     want, got = {}, {}
@@ -73,6 +79,32 @@ def test_pivots_never_discard_a_link():
     assert np.abs(simhash.pivot_table(a) - simhash.pivot_table(b)).max() <= 2
 
 
+def test_pivots_discard_before_any_exact_distance(spark, monkeypatch):
+    """Of random fingerprints that share half their bits, the tables leave few pairs to verify; of links they leave all."""
+    r = random.Random(3)
+    high = r.getrandbits(32) << 32
+    fps = np.array([high | r.getrandbits(32) for _ in range(1200)], dtype=np.uint64)
+    fps = np.append(fps, fps[:10] ^ np.uint64(3))
+    verified, real = [], simhash.verify
+    monkeypatch.setattr(simhash, "verify", lambda a, b, bits: (verified.append(len(a)), real(a, b, bits))[1])
+    assert len(simhash.bucket_links(fps, 2)) >= 10
+    assert sum(verified) < 0.01 * len(fps) * (len(fps) - 1) / 2
+    near = simhash.survivors(simhash.pivot_table(fps[:600]), simhash.pivot_table(fps[600:1200]), 2)
+    assert near.mean() < 0.02
+
+
+def test_joins_of_hot_keys_lose_no_row(spark):
+    from touchline.llm.common import join_hot, materialize
+
+    rows = [(None, 0)] * 50 + [(7, i) for i in range(900)] + [(8 + i % 30, i) for i in range(600)]
+    left = materialize(spark.createDataFrame(rows, "k long, x long"))
+    known = spark.createDataFrame([(k, f"n{k}") for k in range(7, 20)], "k long, name string")
+    for share in (3, 20, 100000):
+        for how in ("inner", "left"):
+            want = sorted(map(str, left.join(known, "k", how).collect()))
+            assert sorted(map(str, join_hot(left, known, "k", how, share).collect())) == want
+
+
 def test_empty_table(none):
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.deduplicate(none).count() == 0

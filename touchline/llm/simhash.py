@@ -3,16 +3,19 @@
 A pivot distance table holds a fingerprint's Hamming distances to many reference fingerprints. By the triangle inequality two
 fingerprints within ``bits`` differ by at most ``bits`` in every coordinate, so a larger coordinate difference discards a pair.
 
-Which pairs meet: the 64 bits fall into ``bits + 6`` blocks; within ``bits`` bits at least six blocks agree, so each distinct
-fingerprint goes to one bucket per choice of six blocks. A bucket can hold at most 2 ** (bits of the other blocks) different
-fingerprints (65,536 for two bits), whatever the number of documents, and copies count once: no group grows with the input.
-Within a bucket rows are sorted by their distance to the first reference and meet only within a band of ``bits``, in blocks.
-A bucket gives at most one edge per member (to a member of its local component), never all pairs.
+Which pairs meet: the 64 bits fall into ``bits + 2`` blocks; within ``bits`` bits at least two blocks agree, so each distinct fingerprint has
+a key for each choice of two blocks. The first pivots' distances deal a key's fingerprints into cells: one goes to its own cell and, near the
+upper edge of a coordinate, to the next one, so that fingerprints that differ by at most ``bits`` in these coordinates meet.
+A cell's pairs are compared by the other pivots first; what the tables can't discard is verified by the exact distance.
+A cell with more than MOST_CELL fingerprints is dealt again, by six of eight blocks of the bits that its key leaves open: so no group is
+larger than MOST_CELL or 2 ** (open bits / 4), whatever the number of documents, and copies count once.
+A group gives at most one edge per member (to a member of its local component), never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -21,10 +24,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import materialize, slices, text_bytes
+from touchline.llm.common import join_hot, materialize, slices, text_bytes, words
 
-AGREE = 6
+AGREE = 2
 SEED = 42
+#: Pivots whose distances make cells, and a cell's width in each.
+CELL_PIVOTS, CELL_WIDTH = 2, 8
+#: Most fingerprints of a cell that are compared without dealing them again.
+MOST_CELL = 4096
+#: From so many edges on, hubs are split off the joins.
+MANY_EDGES = 1_000_000
 #: Reference fingerprints, the same in every run.
 PIVOTS = np.random.default_rng(64).integers(0, 2**64, size=16, dtype=np.uint64)
 
@@ -34,18 +43,17 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
     bytes.lower and bytes.split do exactly that and leave other bytes alone. Fewer words than a shingle: the whole sequence; none: 0.
     """
-    words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    grams = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
-    n = len(words) - shingle + 1
-    ones = np.zeros(64, dtype=np.int64)
-    hashes = map(xxhash.xxh64_intdigest, grams, repeat(SEED))
-    for at in range(0, n, 65536):
-        h = np.fromiter(hashes, dtype="<u8", count=min(65536, n - at))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    ones, n, held = np.zeros(64, dtype=np.int64), 0, []
+    for part in words(text):
+        own = held + part
+        count = max(0, len(own) - shingle + 1)
+        hashes = map(xxhash.xxh64_intdigest, map(b" ".join, zip(*[own[i:] for i in range(shingle)], strict=False)), repeat(SEED))
+        for at in range(0, count, 65536):
+            h = np.fromiter(hashes, dtype="<u8", count=min(65536, count - at))
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n, held = n + count, own[len(own) - shingle + 1 :] if len(own) >= shingle else own
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(held), SEED) if held else 0
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
@@ -66,16 +74,30 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int16)
 
 
+def survivors(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the pivot tables leave each pair (rows of two tables): no coordinate differs by more than ``bits``."""
+    near = np.ones(len(a), dtype=bool)
+    for p in range(a.shape[1] - 1, -1, -1):  # the first pivots made the cells, so they tell least
+        near[near] = np.abs(a[near, p] - b[near, p]) <= bits
+    return near
+
+
+def verify(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Whether fingerprints of each pair differ in at most ``bits`` bits."""
+    return np.bitwise_count(a ^ b) <= bits
+
+
 def bucket_links(fps: np.ndarray, bits: int, rows: int = 512) -> list[tuple[int, int]]:
-    """Edges that join the local components of one bucket: (smaller, larger) fingerprints, at most one for each member.
+    """Edges that join the local components of one group: (smaller, larger) fingerprints, at most one for each member.
 
-    Each edge joins two linked components, so the edges of all buckets together have the components of all the links.
+    Each edge joins two linked components, so the edges of all groups together have the components of all the links.
+    Rows are sorted by the last pivot's distance and meet only within a band of ``bits``, in blocks.
     """
     fps = np.unique(fps)
     table = pivot_table(fps)
-    order = np.argsort(table[:, 0], kind="stable")
+    order = np.argsort(table[:, -1], kind="stable")
     fps, table = fps[order], table[order]
-    first = table[:, 0]
+    last = table[:, -1]
     root = list(range(len(fps)))
 
     def find(i: int) -> int:
@@ -86,17 +108,17 @@ def bucket_links(fps: np.ndarray, bits: int, rows: int = 512) -> list[tuple[int,
 
     for at in range(0, len(fps), rows):
         own = slice(at, min(at + rows, len(fps)))
-        end = int(np.searchsorted(first, first[own.stop - 1] + bits, side="right"))
+        end = int(np.searchsorted(last, last[own.stop - 1] + bits, side="right"))
         for start in range(at, end, 4096):
             stop = min(start + 4096, end)
-            near = np.ones((own.stop - at, stop - start), dtype=bool)
-            for p in range(table.shape[1]):  # the largest coordinate difference, one coordinate at a time
+            near = np.arange(at, own.stop)[:, None] < np.arange(start, stop)[None, :]
+            for p in range(table.shape[1] - 1, -1, -1):  # the largest coordinate difference, one coordinate at a time
                 near &= np.abs(table[own, p][:, None] - table[start:stop, p][None, :]) <= bits
-                if p == 3 and not near.any():
+                if not near.any():
                     break
             i, j = np.nonzero(near)
             i, j = i + at, j + start
-            ok = (i < j) & (np.bitwise_count(fps[i] ^ fps[j]) <= bits)
+            ok = verify(fps[i], fps[j], bits)
             for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
                 a, b = find(a), find(b)
                 if a != b:
@@ -104,37 +126,73 @@ def bucket_links(fps: np.ndarray, bits: int, rows: int = 512) -> list[tuple[int,
     return [(int(fps[find(i)]), int(fps[i])) for i in range(len(fps)) if find(i) != i]
 
 
+def _masks(blocks: int, agree: int, within: int = (1 << 64) - 1) -> list[int]:
+    """For each choice of ``agree`` of ``blocks`` equal parts of the bits of ``within``: their mask."""
+    at = [i for i in range(64) if within >> i & 1]
+    cuts = [round(i * len(at) / blocks) for i in range(blocks + 1)]
+    parts = [sum(1 << b for b in at[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+    return [sum(c) for c in combinations(parts, agree)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _dealt(distinct: DataFrame, bits: int) -> DataFrame:
+    """fp, n (which blocks), k (their bits) and cell of each fingerprint: a row for each key and cell that it goes to."""
+    fp = F.col("fp")
+    homes = []
+    for p in range(CELL_PIVOTS):
+        d = F.bit_count(fp.bitwiseXOR(F.lit(_signed(int(PIVOTS[p]))).cast("long")))
+        own, ahead = F.floor(d / CELL_WIDTH).cast("int"), F.floor((d + bits) / CELL_WIDTH).cast("int")
+        homes.append(F.array_distinct(F.array(own, ahead)))
+    cells = reduce(lambda cells, home: F.flatten(F.transform(cells, lambda a: F.transform(home, lambda b: a * 64 + b))), homes)
+    keys = [F.struct(F.lit(n).cast("byte").alias("n"), fp.bitwiseAND(F.lit(_signed(m)).cast("long")).alias("k")) for n, m in enumerate(_masks(bits + AGREE, AGREE))]
+    # By an expression of its own and a number of our own: else the exchange goes, or adaptive execution coalesces what becomes some ten times as much.
+    even = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp", F.lit(1)))
+    return even.select("fp", F.explode(cells).alias("cell"), F.array(*keys).alias("keys")).select("fp", "cell", F.explode("keys").alias("key")).select("fp", "cell", "key.n", "key.k")
+
+
+def _finer(full: DataFrame, bits: int) -> DataFrame:
+    """Groups of the fingerprints of full cells: by six of ``bits + 6`` blocks of the bits that the cell's key leaves open."""
+    out = None
+    for n, mask in enumerate(_masks(bits + AGREE, AGREE)):
+        rest = ((1 << 64) - 1) ^ mask
+        keys = [F.struct(F.lit(m).cast("int").alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(x)).cast("long")).alias("rest")) for m, x in enumerate(_masks(bits + 6, 6, rest))]
+        own = full.filter(F.col("n") == n).select("n", "k", "cell", "fp", F.explode(F.array(*keys)).alias("part"))
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("n", "k", "cell", "part").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+
+
 def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
-    """Edges (a, b) between different fingerprints of ``distinct`` (column fp) whose components are those of all links within ``bits``."""
-    blocks = bits + AGREE
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    keys = []
-    for n, chosen in enumerate(combinations(range(blocks), AGREE)):
-        mask = sum(((1 << (edges[c + 1] - edges[c])) - 1) << edges[c] for c in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(n).cast("byte").alias("n"), F.col("fp").bitwiseAND(F.lit(signed).cast("long")).alias("k")))
-    # A number of our own: adaptive execution would coalesce what becomes 28 times as much.
-    even = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    dealt = even.select("fp", F.explode(F.array(*keys)).alias("key"))
-    buckets = dealt.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+    """Edges (a, b) between different fingerprints of ``distinct`` (column fp, each once) whose components are those of all links within ``bits``."""
+    dealt, cell = _dealt(distinct, bits), ["n", "k", "cell"]
+    sizes = dealt.groupBy(*cell).agg(F.count("*").alias("c"))
+    full = materialize(sizes.filter(F.col("c") > MOST_CELL).select(*cell), "full")
+    if full.isEmpty():
+        groups = dealt.groupBy(*cell).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+    else:
+        groups = dealt.join(full, cell, "left_anti").groupBy(*cell).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+        groups = groups.unionByName(_finer(dealt.join(full, cell, "left_semi"), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a: list[int] = []
-            b: list[int] = []
-            for part in slices(batch.column(0), 1024):
-                for fps in part:
-                    own = np.array(fps, dtype=np.int64).view(np.uint64)
-                    if len(own) == 2:  # most buckets: one pair
-                        pairs = [(int(own[0]), int(own[1]))] if np.bitwise_count(own[0] ^ own[1]) <= bits and np.abs(np.diff(pivot_table(own), axis=0)).max() <= bits else []
-                    else:
-                        pairs = bucket_links(own, bits)
-                    for x, y in pairs:
-                        a.append(x)
-                        b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.uint64).view(np.int64), pa.int64()) for x in (a, b)], names=["a", "b"])
-
-    return buckets.mapInArrow(run, "a long, b long").distinct()
+            lists = batch.column(0)
+            length = np.diff(lists.offsets.to_numpy())
+            flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)[: int(length.sum()) + int(lists.offsets[0].as_py())]
+            at = lists.offsets.to_numpy()[:-1]
+            two = at[length == 2]  # most groups: all of a batch at once
+            x, y = flat[two], flat[two + 1]
+            near = survivors(pivot_table(x), pivot_table(y), bits)
+            x, y = x[near], y[near]
+            ok = verify(x, y, bits)
+            pairs = [(x[ok], y[ok])]
+            for i in np.flatnonzero(length > 2).tolist():
+                if got := bucket_links(flat[at[i] : at[i] + length[i]], bits):
+                    pairs.append(tuple(np.array(c, dtype=np.uint64) for c in zip(*got, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64), pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
+
+    return groups.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -149,12 +207,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     seen = mark(now)
     while seen[0]:
+        # A hub with many neighbours has one row in ``least``: beyond what Spark broadcasts by itself, hubs are split off.
+        joined = (lambda rows, known: join_hot(rows, known, "u")) if seen[0] > MANY_EDGES else (lambda rows, known: rows.join(known, "u"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        large = large.unionByName(both.join(least, "u").filter("u <> m").select("u", F.col("m").alias("v"))).distinct()
+        large = joined(both, least)
+        large = large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(large.filter("u <> m").select("u", F.col("m").alias("v"))).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        small = joined(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         now = materialize(small, "edges")
         last, seen = seen, mark(now)
@@ -171,12 +231,12 @@ def digest(text_col: str = "text") -> Column:
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
     """id, node (the text's digest), fp, root (the same for all rows of a group) and component_id of every row."""
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     roots = components(links(classes.select("fp"), bits))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(whole, "root").select("fp", "root", "component_id")
-    return fps.join(named, "fp").select("id", "node", "fp", "root", "component_id")
+    return join_hot(fps, named, "fp").select("id", "node", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:

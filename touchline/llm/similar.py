@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import materialize, slices, text_bytes
+from touchline.llm.common import join_hot, materialize, slices, text_bytes
 from touchline.llm.simhash import components, digest, fingerprint, keep_first, links
 
 SHINGLE = 5
@@ -224,7 +224,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rooted = classes.join(roots, F.col("fp") == F.col("of"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(whole, "root").select("fp", "root", "component_id")
-    return rows.select("id", "fp", "node").join(named, "fp").select("id", "node", "root", "component_id")
+    return join_hot(rows.select("id", "fp", "node"), named, "fp").select("id", "node", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, similarity: float = 0.8) -> DataFrame:
