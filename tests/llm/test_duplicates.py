@@ -120,21 +120,43 @@ def test_deduplicate_keeps_one_of_each_group(odd, odd_rows):
     assert set(got) == want and len(got) == len(want)
 
 
-def simple_winnow(text, gram=4, window=8):
-    """By definition, over the same token hashes: a minimum a window, rightmost of equal ones."""
-    import re
+def simple_tokens(text):
+    """By the words of the docstring, run by run."""
+    import regex
+
+    alone = winnow.ALONE.replace("\\x{", "\\u{")
+    alone = regex.compile("[" + regex.sub(r"\\u\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), alone) + "]")
+    out = []
+    for run in regex.findall(r"[^\x20\x09-\x0D]+", text.lower()):
+        at = 0
+        while at < len(run):
+            if alone.match(run, at):
+                out.append(run[at])
+                at += 1
+                continue
+            stop = next((i for i in range(at, len(run)) if alone.match(run, i)), len(run))
+            while at < stop:
+                n = stop - at
+                if n > 12:
+                    n = next((i - at + 1 for i in range(at, stop) if run[i] in "aeiou05/=&?._-"), n)
+                out.append(run[at : at + n])
+                at += n
+    return out
+
 
-    tokens = re.findall(r"[^\x20\x09-\x0D]{1,8}", text.lower())
-    h = [signed(xxhash.xxh64_intdigest(t.encode(), 42)) for t in tokens]
-    pair = lambda a, b: signed(chain(a, b))
+def simple_winnow(text, gram=4, window=8):
+    """By definition, over the same token hashes: a true rolling hash, a minimum a window, rightmost of equal ones."""
+    p, b = (1 << 31) - 1, 1_000_003
+    h = [signed(xxhash.xxh64_intdigest(t.encode(), 42)) % p for t in simple_tokens(text)]
     if not h:
         return []
-    if len(h) < gram:
-        grams = [signed(chain(*h))]
-    else:
-        two = [pair(h[i], h[i + 1]) for i in range(len(h) - 1)]
-        grams = [pair(two[i], two[i + 2]) for i in range(len(two) - 2)]
-    low = [g & ((1 << 31) - 1) for g in grams]
+    low, roll = [], 0
+    for i, x in enumerate(h):
+        roll = (roll * b + x) % p
+        if i >= gram:
+            roll = (roll - h[i - gram] * pow(b, gram, p)) % p
+        if i >= gram - 1 or i == len(h) - 1:
+            low.append(roll)
     out = []
     for i in range(max(1, len(low) - window + 1)):
         part = low[i : i + window]
@@ -149,14 +171,6 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def chain(*values):
-    """Spark's xxhash64 of longs: each seeds the next."""
-    seed = 42
-    for v in values:
-        seed = xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), seed)
-    return seed
-
-
 def test_winnowing_of_odd_texts(odd, odd_rows):
     got = winnow.winnow(odd.select("text"), "text", "fp").select("text", winnow.hashes("fp").alias("h"), winnow.positions("fp").alias("p"), "fp").collect()
     for r in got:
@@ -174,9 +188,41 @@ def test_a_shared_run_shares_a_hash(spark):
     assert all(set(a["h"]) & set(b["h"]) for a in got for b in got)
 
 
+def test_a_shared_run_without_spaces_shares_a_hash_at_any_offset(spark):
+    r = random.Random(11)
+    forms = {"ideographs": ("".join(map(chr, range(0x4E00, 0x4E80))), 11), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", None)}
+    rows = []
+    for name, (letters, length) in forms.items():
+        text = lambda n, letters=letters: "".join(r.choice(letters) for _ in range(n))
+        run = text(length or 40)
+        while not length and sum(c in "aeiou05/=&?._-" for c in run[:-12].lower()) < 12:
+            run += text(1)
+        rows += [(name, text(r.randint(13, 60)) + run + text(r.randint(13, 60))) for _ in range(15)]
+        rows += [(f"{name} one more", text(800))]
+        rows += [(f"{name} one more", letters[0] + rows[-1][1])]
+    got = winnow.winnow(spark.createDataFrame(rows, "form string, text string"), "text", "fp").select("form", winnow.hashes("fp").alias("h")).collect()
+    for a in got:
+        for b in got:
+            if a["form"] == b["form"]:
+                both = set(a["h"]) & set(b["h"])
+                assert both and ("more" not in a["form"] or len(both) > 0.8 * len(a["h"]))
+
+
+def test_rows_of_one_id_are_dealt_over_ranges_and_keep_their_order(spark, monkeypatch):
+    """Two thirds of the rows have no id; each edited text ends in that of the next row in order."""
+    r = random.Random(12)
+    rows = [(None if i % 3 else i, " ".join(f"w{r.randrange(99)}" for _ in range(30))) for i in range(300)] + [(None, "the same text of eight words in all")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = winnow.fingerprint_edits(df)
+    assert winnow._ranged(df, "doc_id", "text").select("range").distinct().count() > 10
+    order = sorted(rows, key=lambda x: (-(x[0] if x[0] is not None else -(1 << 63)), -signed(xxhash.xxh64_intdigest(x[1].encode(), 42))))
+    want = [(x[0], x[1][: len(x[1]) - len(x[1]) // 3] + y[1][: len(x[1]) // 3]) for x, y in zip(order, order[1:] + order[:1], strict=True)]
+    assert sorted(map(str, want)) == sorted(str((x["doc_id"], x["edited"])) for x in got.collect())
+
+
 def test_edits_take_from_the_next_document(odd, odd_rows):
     got = winnow.fingerprint_edits(odd).select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("s"), "near_edited", "near_next").collect()
-    order = sorted(odd_rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] or ""))
+    order = sorted(odd_rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), -signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42))))
     want = []
     for i, r in enumerate(order):
         text, follow = r[1] or "", order[(i + 1) % len(order)][1] or ""

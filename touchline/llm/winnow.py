@@ -1,27 +1,41 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-A text is lower-cased and cut into tokens: runs of up to eight characters between ASCII white space (so text without spaces
-still has many). Hashes of ``2 ** gram_log`` consecutive tokens roll by doubling, as do the minima of each window of
-``2 ** window_log`` hashes. A window's minimum is kept with its position; of equal hashes the rightmost wins, as the packed
+A text is lower-cased and cut into tokens: runs between ASCII white space; runs of more than twelve characters are cut behind certain
+characters, and letters of scripts without spaces stand alone. Cuts follow from the characters around them, never from a distance to a start, so text that is
+shared anywhere is cut alike. A gram's value is the polynomial rolling hash (Karp-Rabin) of ``2 ** gram_log`` consecutive token hashes, modulo a prime: that of
+2n tokens follows from those of n, so values double instead of being carried along the array, as do the minima of each window of
+``2 ** window_log`` grams. A window's minimum is kept with its position; of equal hashes the rightmost wins, as the packed
 value holds the hash above the complement of the position.
 
-Guarantee: a run of ``window + gram - 1`` tokens (11 by default) that two texts share has a common fingerprint hash.
+Guarantee: a run of ``window + gram - 1`` tokens (11 by default) that two texts share has a common fingerprint hash. So have 11 shared
+characters of a script without spaces, and any shared run without spaces that has 12 places to cut and 12 more characters.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r"[^\x20\x09-\x0D]{1,8}"
+from touchline.llm.common import materialize
+
+SPACES = r"\x20\x09-\x0D"
+#: Scripts without spaces: Thai to Myanmar, Khmer, radicals to Hangul, compatibility and wide forms, the supplementary ideographs.
+ALONE = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{D7FF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{20000}-\x{3FFFF}"
+#: Long runs are cut behind these.
+CUT = r"aeiou05/=&?._-"
+#: A letter by itself; the last (or only) characters of a run, up to twelve; else up to the next cut, or the rest.
+TOKEN = rf"[{ALONE}]|[^{SPACES}{ALONE}]{{1,12}}(?![^{SPACES}{ALONE}])|[^{SPACES}{ALONE}{CUT}]*+[{CUT}]|[^{SPACES}{ALONE}]++"
+#: Modulus and base of the rolling hash: products stay below 2 ** 62.
+PRIME, BASE = (1 << 31) - 1, 1_000_003
 #: Lower 32 bits of a packed value: the complement of the position. Above it: 31 bits of hash.
 POSITION = (1 << 32) - 1
 HASH = (1 << 31) - 1
 LEAST_ID = -(1 << 63)
-#: Most id ranges that documents are dealt into; their first ids, one each, are all that is broadcast.
-MOST_RANGES = 8192
+#: Most id ranges that documents are dealt into, and their size where that is enough; their first rows' keys, one each, are all that is broadcast.
+MOST_RANGES, RANGE_BYTES = 65_536, 32 << 20
 
 
 def _pairs(a: str, step: int, f) -> Column:
@@ -30,6 +44,11 @@ def _pairs(a: str, step: int, f) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(1 + step), n), f)
 
 
+def _rolled(times: int):
+    """The rolling hash of two neighbouring runs of tokens: times is the base to the power of the second's length."""
+    return lambda a, b: (a * F.lit(times).cast("long") + b) % F.lit(PRIME).cast("long")
+
+
 def winnow(df: DataFrame, text: str, out: str, *, gram_log: int = 2, window_log: int = 3) -> DataFrame:
     """df with ``out``: packed hash and position of each selected gram of column ``text``, in order of position.
 
@@ -40,12 +59,12 @@ def winnow(df: DataFrame, text: str, out: str, *, gram_log: int = 2, window_log:
     tok, at = f"__{out}_t", f"__{out}_h"
     gram, window = 1 << gram_log, 1 << window_log
     df = df.withColumn(tok, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0)))
-    df = df.withColumn(at, F.transform(tok, lambda t: F.xxhash64(t)))
+    df = df.withColumn(at, F.transform(tok, lambda t: F.pmod(F.xxhash64(t), F.lit(PRIME).cast("long"))))
     steps = [at]
     for i in range(gram_log):
-        df = df.withColumn(f"{at}{i}", _pairs(steps[-1], 1 << i, lambda a, b: F.xxhash64(a, b)))
+        df = df.withColumn(f"{at}{i}", _pairs(steps[-1], 1 << i, _rolled(pow(BASE, 1 << i, PRIME))))
         steps.append(f"{at}{i}")
-    few = F.when(F.size(at) == 0, F.col(at)).otherwise(F.array(F.xxhash64(at)))
+    few = F.when(F.size(at) == 0, F.col(at)).otherwise(F.array(F.aggregate(at, F.lit(0).cast("long"), _rolled(BASE))))
     packed = f"__{out}_p"
     df = df.withColumn(f"{packed}0", F.when(F.size(at) >= gram, F.col(steps[-1])).otherwise(few))
     pack = lambda h, i: F.shiftleft(h.bitwiseAND(F.lit(HASH)), 32).bitwiseOR(F.lit(POSITION).cast("long") - i.cast("long"))
@@ -80,45 +99,66 @@ def as_text(fingerprint: Column | str) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.hex(x), 16, "0")), ",")
 
 
-def _ranged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """key (the id; null as the smallest), text and range: id ranges of about equal size, so that neighbours meet in one task."""
+def _ranged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, key (the id; null as the smallest), sub (orders rows of one id) and range: neighbours in order of key and sub meet in one task.
+
+    Ranges hold about RANGE_BYTES. Rows of an id that fills several ranges are dealt among them by sub: digest of the text above a draw, as equal rows may hold any order.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(LEAST_ID)))
-    ranges = min(MOST_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    at = [i / ranges for i in range(1, ranges)]
-    cuts = rows.agg(F.percentile_approx("key", at, 100 * ranges).alias("c")).first()["c"] or [0]
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(MOST_RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES)))
+    cuts = rows.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("c")).first()["c"] or [0]
+    many = {k: n for k, n in Counter(cuts).items() if n > 1}
     cuts = sorted(set(cuts))
     width = math.isqrt(len(cuts)) + 1
+    listed = lambda a: F.split(F.lit(",".join(map(str, a))), ",").cast("array<bigint>")
     # The number of cuts up to the key, in two steps: which stretch of cuts, then within it.
     below = lambda a: F.size(F.filter(a, lambda c: c <= F.col("key")))
-    stretch = below(F.lit(cuts[width - 1 :: width]).cast("array<bigint>"))
-    rows = rows.withColumn("stretch", stretch)
-    inner = F.slice(F.lit(cuts).cast("array<bigint>"), F.col("stretch") * width + 1, F.lit(width))
-    return rows.withColumn("range", F.col("stretch") * width + below(inner)).drop("stretch"), len(cuts) + 1
+    heads = cuts[width - 1 :: width]
+    rows = rows.withColumn("stretch", below(listed(heads)) if heads else F.lit(0))
+    inner = F.slice(listed(cuts), F.col("stretch") * width + 1, F.lit(width))
+    rows = rows.withColumn("range", ((F.col("stretch") * width + below(inner)) * MOST_RANGES).cast("long")).drop("stretch")
+    if not many:
+        return rows.withColumn("sub", F.xxhash64("text"))
+    # Hot ids, fewer than ranges: their rows' subs are drawn once and written, so that retried tasks deal them alike.
+    times = spark.createDataFrame(list(many.items()), "key long, times int")
+    hot = rows.join(F.broadcast(times), "key")
+    low = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20))
+    hot = materialize(hot.withColumn("sub", F.shiftleft(F.shiftright(F.xxhash64("text"), 20), 20) + low), "hot")
+    share = F.transform(F.sequence(F.lit(1), F.col("times")), lambda i: i / (F.col("times") + 1))
+    parts = hot.groupBy("key", "times").agg(F.percentile_approx("sub", [i / 64 for i in range(1, 64)], 10_000).alias("p"))
+    parts = parts.select("key", F.array_distinct(F.transform(share, lambda x: F.element_at("p", F.least(F.lit(63), F.greatest(F.lit(1), F.round(x * 64).cast("int")))))).alias("p"))
+    hot = hot.drop("times").join(F.broadcast(parts), "key").withColumn("range", F.col("range") + F.size(F.filter("p", lambda c: c <= F.col("sub")))).drop("p")
+    # The other ids from a hot one up to the next cut come after all of its parts.
+    cold = rows.join(F.broadcast(times), "key", "left_anti").withColumn("sub", F.xxhash64("text")).withColumn("range", F.col("range") + MOST_RANGES - 1)
+    return cold.unionByName(hot)
 
 
 def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram_log: int = 2, window_log: int = 3) -> DataFrame:
     """For every document: its fingerprint, that of its edited text, and how alike they and the next document's are.
 
-    The next document is that of the next smaller id (after the smallest: the largest); ids that repeat follow each other in order of text,
-    null ids come last. The edited text ends in as many of the next document's first code points as the last third had.
+    The next document is that of the next smaller id (after the smallest: the largest); ids that repeat follow each other in descending order of their texts'
+    digest, null ids come last. The edited text ends in as many of the next document's first code points as the last third had.
     Null texts count as empty; a single document is its own next; an empty table gives no rows.
 
     Texts are shuffled once, by id range. Each range also gets a copy of the first document of the range after it.
     """
-    rows, _ = _ranged(docs, id_col, text_col)
-    heads = rows.groupBy("range").agg(F.max("key").alias("key"))
+    rows = _ranged(docs, id_col, text_col)
+    # The first document of each range in order: of the largest key, then sub, then text.
+    first = F.struct("key", "sub", "text")
+    heads = rows.groupBy("range").agg(F.max(F.struct("key", "sub")).alias("h")).select("range", "h.key", "h.sub")
     # As many rows as ranges. The range before a head's own is the next larger range that has rows; the largest head follows the smallest.
     order = Window.orderBy(F.desc("range"))
     ahead = heads.withColumn("before", F.lag("range").over(order)).withColumn("last", F.min("range").over(Window.partitionBy()))
-    ahead = ahead.select("key", F.coalesce("before", "last").alias("before"))
-    ends = rows.join(F.broadcast(ahead), "key").groupBy("before").agg(F.min("text").alias("text"))
-    ends = ends.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("key"), F.col("before").alias("range"))
+    ahead = F.broadcast(ahead.select("range", "key", "sub", F.coalesce("before", "last").alias("before")))
+    ends = rows.join(ahead, ["range", "key", "sub"]).groupBy("before").agg(F.max(first).alias("f"))
+    ends = ends.select(F.lit(None).cast("long").alias("doc_id"), "f.text", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("sub"), F.col("before").alias("range"))
     all_rows = rows.withColumn("end", F.lit(0)).unionByName(ends.withColumn("end", F.lit(1)))
     dealt = all_rows.repartition(F.col("range"))
     dealt = winnow(dealt, "text", "fp", gram_log=gram_log, window_log=window_log)
-    w = Window.partitionBy("range").orderBy("end", F.desc("key"), "text")
+    w = Window.partitionBy("range").orderBy("end", F.desc("key"), F.desc("sub"), F.desc("text"))
     dealt = dealt.withColumn("next", F.lead(F.struct("text", "fp")).over(w)).filter("end = 0")
     n, third = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
     dealt = dealt.withColumn("n_chars", n.cast("long")).withColumn("next_fp", F.col("next.fp"))
