@@ -1,13 +1,17 @@
 import itertools
 import math
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from touchline.llm import brown, crf, knnvote, labelled
+from touchline.llm.common import materialize
 
 LABELS = "doc_id long, quality int, toxic int, score double"
 
@@ -91,6 +95,36 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(got, want) and np.allclose(pairs, both) and np.allclose(first, begin)
 
 
+@pytest.mark.parametrize("part", [1, 7, 64])
+def test_marginals_part_by_part_are_those_of_the_whole(part):
+    r = np.random.default_rng(5)
+    trans, init = np.array([[0.98, 0.02], [0.3, 0.7]]), np.array([0.9, 0.1])
+    logits, starts = r.normal(0, 4, 500), r.random(500) < 0.02
+    starts[0] = True
+    assert np.allclose(crf.marginals(logits, starts, trans, init, part), crf.forward_backward(logits, starts, trans, init))
+
+
+LONG = """
+import resource, numpy as np
+from touchline.llm import crf, knnvote
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+model = crf.Model({}, -5.0, np.array([[0.98, 0.02], [0.9, 0.1]]), np.array([0.98, 0.02]), np.zeros(4))
+text = b"some words " * 2_500_000
+before = peak()
+logits, starts = crf._logits([text], crf._Cache(model.emission))
+p = crf.marginals(logits, starts, model.transition, model.initial)
+assert len(p) == 5_000_000 and crf._offsets(text, [4_999_999])[0]["stop"] == len(text) - 1
+assert len(knnvote.counted([text], knnvote._Terms())[0])
+print(peak() - before)
+"""
+
+
+def test_one_text_of_five_million_words_takes_bounded_memory():
+    """Less than 400 MB beyond the text's own 27 MB."""
+    done = subprocess.run([sys.executable, "-c", LONG], capture_output=True, text=True, timeout=300, check=True, cwd=Path(__file__).parents[2])
+    assert int(done.stdout) < 400
+
+
 def test_extreme_logits_do_not_overflow():
     p = crf.forward_backward(np.array([800.0, -800.0, 0.0] * 50), np.arange(150) % 30 == 0, np.array([[0.99, 0.01], [0.5, 0.5]]), np.array([0.9, 0.1]))
     assert np.isfinite(p).all() and p[0] > 0.99 and p[1] < 0.01
@@ -126,7 +160,7 @@ def test_brown_base_scores_and_counts(odd, odd_rows):
             counts.update((r[1] or "").encode().lower().split())
             counts[b""] += 1
     total, distinct = sum(counts.values()), len(counts)
-    got = brown.score_documents(odd, type_words=20, type_endings=20, classes=8, known_words=15).collect()
+    got = brown.score_documents(odd, type_words=20, type_endings=20, classes=8, known_words=15, least_count=1).collect()
     assert len(got) == len(odd_rows)
     rows = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=str)
     want = []
@@ -137,9 +171,75 @@ def test_brown_base_scores_and_counts(odd, odd_rows):
     assert rows == sorted(want, key=str)
 
 
-def test_brown_scores_do_not_depend_on_the_broadcast_table(odd):
-    scores = [sorted((str(r["doc_id"]), round(r["score"], 6)) for r in brown.score_documents(odd, type_words=10, type_endings=10, classes=6, known_words=k).collect()) for k in (11, 1000)]
-    assert scores[0] == scores[1]
+@pytest.mark.parametrize("known_words", [11, 30, 1000])
+def test_brown_scores_by_definition(odd, odd_rows, known_words):
+    """The model's score of every text, recomputed word by word from the classes alone."""
+    sizes = {"type_words": 10, "type_endings": 10, "classes": 6, "known_words": known_words, "least_count": 2}
+    train = odd.filter("pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 5) <> 1").selectExpr("coalesce(cast(text as binary), cast('' as binary)) as t")
+    counted = materialize(brown.count_words(train))
+    model = brown.fit(train, counted, **sizes)
+    names = brown.Classes(model.words, model.endings, model.other)
+    cls = lambda w: int(model.classes[names[w]]) if names[w] < len(model.words) else names[w] - len(model.words)
+    lines = [(r[1] or "").encode().lower().split() + [b""] for r in odd_rows if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 != 1]
+    words = Counter(w for line in lines for w in line)
+    flow = Counter((cls(a), cls(b)) for line in lines for a, b in zip([b"", *line], line, strict=False))
+    k = len(model.emission)
+    tokens, kinds, into, out = (Counter() for _ in range(4))
+    for w, c in words.items():
+        tokens[cls(w)] += c
+        kinds[cls(w)] += 1
+    for (a, b), c in flow.items():
+        out[a] += c
+        into[b] += c
+    n = sum(flow.values())
+    want = []
+    for r in odd_rows:
+        line, score = (r[1] or "").encode().lower().split() + [b""], 0.0
+        for a, b in zip([b"", *line], line, strict=False):
+            x, y = cls(a), cls(b)
+            score += math.log10((flow[x, y] + 20 * (into[y] + 1) / (n + k)) / (out[x] + 20))
+            score += math.log10((words[b] + 0.5) / (tokens[y] + 0.5 * (kinds[y] + 1)))
+        want.append((str(r[0]), round(score, 4)))
+    got = brown.score_documents(odd, **sizes).collect()
+    assert sorted((str(r["doc_id"]), round(r["score"], 4)) for r in got) == sorted(want)
+
+
+def test_brown_places_words_beyond_the_types_by_their_neighbours(spark):
+    """Rare nouns and verbs without telling endings come into the classes of the frequent ones."""
+    r = random.Random(3)
+    nouns, verbs = [[f"{x}{i}qq" for i in range(40)] for x in "nv"]
+    weight = [1 / (i + 1) for i in range(40)]
+    rows = [(i, " ".join(w for _ in range(40) for w in (r.choices(nouns, weight)[0], r.choices(verbs, weight)[0]))) for i in range(200)]
+    train = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("cast(text as binary) as t").repartition(3)
+    model = brown.fit(train, materialize(brown.count_words(train)), classes=3, type_words=16, type_endings=4, known_words=1000, least_count=5)
+    of = dict(zip(model.words, model.classes.tolist(), strict=True))
+    assert len({of[w.encode()] for w in nouns}) == len({of[w.encode()] for w in verbs}) == 1 and of[b"n0qq"] != of[b"v0qq"]
+
+
+def test_gains_are_those_of_the_exchange():
+    """The class that gains() finds is that of the largest mutual information, by definition."""
+    r = np.random.default_rng(6)
+    table = r.integers(0, 40, (5, 5)).astype(float)
+    info = lambda t: sum(t[i, j] * math.log(t[i, j] * t.sum() / (t[i].sum() * t[:, j].sum())) for i in range(5) for j in range(5) if t[i, j])
+    word, slot, n = [], [], []
+    want = []
+    for w in range(12):
+        into, out = r.integers(0, 3, 5), r.integers(0, 3, 5)
+        into[0] += 1
+        for c in range(5):
+            for side, x in ((0, into), (1, out)):
+                if x[c]:
+                    word.append(w), slot.append(side * 5 + c), n.append(float(x[c]))
+        scores = []
+        for c in range(1, 5):
+            t = table.copy()
+            t[:, c] += into
+            t[c, :] += out
+            scores.append(info(t))
+        want.append(1 + int(np.argmax(scores)))
+    order = np.lexsort((slot, word))
+    words, best = brown.gains(table, np.array(word)[order], np.array(slot)[order], np.array(n)[order])
+    assert words.tolist() == list(range(12)) and best.tolist() == want
 
 
 def test_brown_beats_words_alone_on_held_out_text(spark):
@@ -162,5 +262,6 @@ def test_exchange_finds_planted_classes():
     for a in range(61):
         for b in range(61):
             table[a, b] = r.poisson(flow[of[a], of[b]])
-    got = brown.exchange(table, 4)
+    a, b = np.nonzero(table)
+    got = brown.exchange(a, b, table[a, b], 61, 4)
     assert len({(x, y) for x, y in zip(of, got, strict=True)}) == 4
