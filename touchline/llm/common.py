@@ -79,16 +79,21 @@ def slices(array: pa.Array, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) ->
     tidy()
 
 
-def words(text: bytes, most: int = PART_BYTES) -> Iterator[list[bytes]]:
-    """The lower-cased words (A-Z; between ASCII white space) of a text, in lists: few objects at a time, however long the text."""
+def parts(text: bytes, most: int = PART_BYTES) -> Iterator[list[bytes]]:
+    """The words (between ASCII white space) of a text, in lists: few objects at a time, however long the text."""
     at = 0
     while len(text) - at > most:
         end = SPACE.search(text, at + most)
         if end is None:
             break
-        yield text[at : end.start()].lower().split()
+        yield text[at : end.start()].split()
         at = end.start()
-    yield (text[at:] if at else text).lower().split()
+    yield (text[at:] if at else text).split()
+
+
+def words(text: bytes) -> Iterator[list[bytes]]:
+    """The words as parts() gives them, A-Z lower-cased."""
+    return parts(text.lower())
 
 
 def tidy() -> None:

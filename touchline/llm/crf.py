@@ -6,14 +6,16 @@ gradient ascent on the labelled sample. Marginals come from forward-backward; th
 by a logistic regression, and tokens whose marginal reaches one half give the offending offsets.
 
 The recursion is exact but not token by token: a batch of texts is one sequence (a document's first token forgets what was
-before), cut into as many stretches as each is long, and the 2 x 2 products of all stretches advance together.
+before), cut into as many stretches as each is long, and the 2 x 2 products of all stretches advance together. Longer sequences than PART
+tokens go part by part, with the state of the parts before and after carried in.
+
+Features are counted by their hashes, in tables of a fixed size.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,24 +25,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import labelled
-from touchline.llm.common import slices, text_bytes
+from touchline.llm.common import slices, text_bytes, words
 
 EDGES = b".,;:!?\"'()[]*%$&#|-_<>"
 PREFIXES = range(3, 8)
-MOST_FEATURES = 60_000
 THRESHOLD = 0.3
-LEAST_RATIO = 30.0
+#: Likelihood ratios that a toxic feature may have to reach; which, is chosen by cross-validation within the sample.
+RATIOS = (30.0, 22.0, 16.0, 12.0, 9.0)
 #: No transition becomes rarer, though the sample may lack it.
 LEAST_CHANCE = 0.01
-#: Documents of each label that the field is fitted on.
-FIELD_ROWS = 500
+#: Hashed features are numbers below this; a power of two.
+HASHED = 1 << 22
+#: Tokens whose products are held at one time.
+PART = 1 << 17
 CACHE = 200_000
 TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def features(word: bytes) -> list[bytes]:
+def features(word: bytes) -> list[int]:
+    """Hashes of the word and its prefixes, all without punctuation at the ends."""
     w = word.strip(EDGES)
-    return [b"=" + w, *(b"^" + w[:k] for k in PREFIXES if len(w) > k)]
+    return [zlib.crc32(f) % HASHED for f in (b"=" + w, *(b"^" + w[:k] for k in PREFIXES if len(w) > k))]
 
 
 def _products(m: np.ndarray) -> np.ndarray:
@@ -54,24 +59,61 @@ def _products(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(logits: np.ndarray, starts: np.ndarray, transition: np.ndarray, initial: np.ndarray, pairs: bool = False):
-    """Marginals of state 1 for tokens with these emission logits; with pairs also the expected transition and start counts."""
+def _factors(logits: np.ndarray, starts: np.ndarray, transition: np.ndarray, initial: np.ndarray) -> np.ndarray:
+    """The 2 x 2 factor of each token: from the state before to its own; a first token forgets the state before."""
+    m = np.empty((len(logits), 2, 2))
+    # Emission factors of at most 1, so that nothing overflows.
+    e1, e0 = np.exp(np.minimum(logits, 0.0)), np.exp(-np.maximum(logits, 0.0))
+    m[:, :, 0], m[:, :, 1] = transition[None, :, 0] * e0[:, None], transition[None, :, 1] * e1[:, None]
+    m[starts] = (initial[None, :] * np.stack([e0, e1], 1)[starts])[:, None, :]
+    return m
+
+
+def _product(m: np.ndarray) -> np.ndarray:
+    """The product of all factors, scaled."""
+    while len(m) > 1:
+        even = len(m) // 2 * 2
+        r = m[0:even:2] @ m[1:even:2]
+        m = np.concatenate([r / r.sum(axis=(1, 2), keepdims=True), m[even:]])
+    return m[0]
+
+
+def marginals(logits: np.ndarray, starts: np.ndarray, transition: np.ndarray, initial: np.ndarray, part: int = PART) -> np.ndarray:
+    """Marginals of state 1, as forward_backward gives them, holding the products of ``part`` tokens at a time."""
+    cuts = [slice(i, min(i + part, len(logits))) for i in range(0, len(logits), part)]
+    if len(cuts) < 2:
+        return forward_backward(logits, starts, transition, initial)
+    whole = [_product(_factors(logits[c], starts[c], transition, initial)) for c in cuts]
+    unit = lambda x: x / x.sum()
+    ahead, behind = [np.array([0.5, 0.5])], [np.array([0.5, 0.5])]
+    for m in whole[:-1]:
+        ahead.append(unit(ahead[-1] @ m))
+    for m in whole[:0:-1]:
+        behind.append(unit(m @ behind[-1]))
+    return np.concatenate([forward_backward(logits[c], starts[c], transition, initial, before=a, after=b) for c, a, b in zip(cuts, ahead, behind[::-1], strict=True)])
+
+
+def forward_backward(
+    logits: np.ndarray, starts: np.ndarray, transition: np.ndarray, initial: np.ndarray, pairs: bool = False, before: np.ndarray | None = None, after: np.ndarray | None = None
+):
+    """Marginals of state 1 for tokens with these emission logits; with pairs also the expected transition and start counts.
+
+    before, after: weights of the states ahead of the first token and behind the last.
+    """
     n = len(logits)
     if not n:
         return (np.zeros(0), np.zeros((2, 2)), np.zeros(2)) if pairs else np.zeros(0)
+    even = np.array([0.5, 0.5])
     side = int(np.ceil(np.sqrt(n)))
     size = side * int(np.ceil(n / side))
     m = np.empty((size, 2, 2))
-    # Emission factors of at most 1, so that nothing overflows.
-    e1, e0 = np.exp(np.minimum(logits, 0.0)), np.exp(-np.maximum(logits, 0.0))
-    m[:n, :, 0], m[:n, :, 1] = transition[None, :, 0] * e0[:, None], transition[None, :, 1] * e1[:, None]
-    m[:n][starts] = (initial[None, :] * np.stack([e0, e1], 1)[starts])[:, None, :]
-    m[n:] = 0.5  # the padding forgets, too
+    m[:n] = _factors(logits, starts, transition, initial)
+    m[n:] = np.eye(2)  # the padding changes nothing
     own = m.reshape(-1, side, 2, 2).swapaxes(0, 1)  # stretches follow each other along the second axis
     # own[i, j]: token j * side + i.
     ahead = _products(own)
     alpha = np.empty((own.shape[1], 2))
-    now = np.array([0.5, 0.5])
+    now = even if before is None else before
     for j in range(own.shape[1]):
         alpha[j] = now
         now = now @ ahead[-1, j]
@@ -79,7 +121,7 @@ def forward_backward(logits: np.ndarray, starts: np.ndarray, transition: np.ndar
     a = alpha[None, :, :1] * ahead[:, :, 0, :] + alpha[None, :, 1:] * ahead[:, :, 1, :]
     behind = _products(own[::-1].swapaxes(2, 3))  # transposed: products from the right
     beta = np.empty((own.shape[1], 2))
-    now = np.array([0.5, 0.5])
+    now = even if after is None else after
     for j in range(own.shape[1] - 1, -1, -1):
         beta[j] = now
         now = now @ behind[-1, j]
@@ -102,7 +144,7 @@ def forward_backward(logits: np.ndarray, starts: np.ndarray, transition: np.ndar
 
 @dataclass
 class Model:
-    weights: dict[bytes, float]
+    weights: dict[int, float]  # of hashed features
     bias: float
     transition: np.ndarray
     initial: np.ndarray
@@ -132,43 +174,72 @@ def _document(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(at)), np.maximum.reduceat(p, at), np.log1p(total), np.log1p(100 * total / np.diff(np.append(at, len(p))))], 1)
 
 
-def fit(rows: list[tuple[bytes, int]], steps: int = 25) -> Model:
-    """A model from (text, label) rows; without any toxic row it scores everything near 0."""
-    rows = labelled.without_copies(rows)
-    y_doc = np.array([y for _, y in rows])
-    n1, n0 = max(1, int((y_doc == 1).sum())), max(1, int((y_doc == 0).sum()))
-    own = lambda text: {f for x in set(text.lower().split()) for f in features(x)}
-    d1, d0 = Counter(), Counter()
-    for t, y in rows:
-        if y:
-            d1.update(own(t))
-    for t, y in rows:
-        if not y:  # what no toxic document has tells nothing
-            d0.update(f for f in own(t) if f in d1)
-    # Words and prefixes that occur nearly only in toxic documents, and too often for chance: a likelihood ratio of LEAST_RATIO.
-    toxic = {f for f, a in d1.items() if len(f) > 3 and a / n1 >= 20 * (d0.get(f, 0) + 0.1) / n0 and _ratio(a, d0.get(f, 0), n1, n0) >= LEAST_RATIO}
-    strong = sorted(d1, key=lambda f: (-_ratio(d1[f], d0.get(f, 0), n1, n0), f))[: MOST_FEATURES // 2]
-    common = [f for f, _ in sorted(d0.items(), key=lambda x: (-x[1], x[0]))[: MOST_FEATURES // 2]]
-    del d1, d0
-    names = list(dict.fromkeys([*strong, *common]))
-    index = {f: i for i, f in enumerate(names)}
-    # The field itself is fitted on fewer documents: their tokens are many.
-    order = [*np.flatnonzero(y_doc == 1)[:FIELD_ROWS].tolist(), *np.flatnonzero(y_doc == 0)[:FIELD_ROWS].tolist()]
-    words = [rows[i][0].lower().split() for i in order]
+class _Words(_Cache):
+    """word -> its hashed features, as an array."""
+
+    def __init__(self):
+        super().__init__(lambda w: np.array(features(w), dtype=np.int32))
+
+
+def toxic_features(own: list[np.ndarray], y: np.ndarray, ratio: float) -> np.ndarray:
+    """For each hashed feature, whether it occurs nearly only in toxic documents, and too often for chance.
 
+    own: the distinct hashed features of each document. A likelihood ratio of ``ratio`` and a twentyfold rate are asked for.
+    """
+    n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
+    d1, d0 = np.zeros(HASHED, dtype=np.int32), np.zeros(HASHED, dtype=np.int32)
+    for x, label in zip(own, y.tolist(), strict=True):
+        (d1 if label else d0)[x] += 1
+    at = np.flatnonzero(d1)
+    a, b = d1[at].astype(float), d0[at].astype(float)
+    both = (a + b) / (n1 + n0)
+    score = 2 * (a * np.log(a / (n1 * both)) + np.where(b > 0, b * np.log(np.maximum(b, 1) / (n0 * both)), 0.0))
+    out = np.zeros(HASHED, dtype=bool)
+    out[at[(a / n1 >= 20 * (b + 0.1) / n0) & (score >= ratio)]] = True
+    return out
+
+
+def choose_ratio(own: list[np.ndarray], y: np.ndarray) -> float:
+    """Of RATIOS, that by which features of one half of the sample tell the toxic documents of the other half best (F1); the larger of equal ones."""
+    half = np.arange(len(y)) % 2
+    scores = []
+    for ratio in RATIOS:
+        right = wrong = missed = 0
+        for h in (0, 1):
+            known = toxic_features([x for x, k in zip(own, half, strict=True) if k == h], y[half == h], ratio)
+            hit = np.array([bool(known[x].any()) for x, k in zip(own, half, strict=True) if k != h], dtype=bool)
+            truth = y[half != h] == 1
+            right, wrong, missed = right + (hit & truth).sum(), wrong + (hit & ~truth).sum(), missed + (~hit & truth).sum()
+        scores.append(2 * right / max(1, 2 * right + wrong + missed))
+    return RATIOS[int(np.argmax(scores))]
+
+
+def fit(rows: list[tuple[bytes, int]], steps: int = 25, field_rows: int = 1000) -> Model:
+    """A model from (text, label) rows; without any toxic row it scores everything near 0. The field sees at most ``field_rows``, half of them of each label."""
+    y_doc = np.array([y for _, y in rows], dtype=np.int64)
+    known = _Words()
+    distinct = lambda text: set().union(*map(set, words(text)))
+    empty = np.zeros(0, dtype=np.int32)
+    own = [np.unique(np.concatenate([empty, *map(known.__getitem__, distinct(t))])) for t, _ in rows]
+    toxic = toxic_features(own, y_doc, choose_ratio(own, y_doc))
+    toxic[[zlib.crc32(f) % HASHED for f in (b"=",)]] = False
+    del own
+    # The field itself is fitted on fewer documents: their tokens are many.
+    order = [*np.flatnonzero(y_doc == 1)[: field_rows // 2].tolist(), *np.flatnonzero(y_doc == 0)[: field_rows // 2].tolist()]
     types: dict[bytes, int] = {}
     tok, starts, y_tok = [], [], []
-    for w, y in zip(words, y_doc[order].tolist(), strict=True):
-        for i, x in enumerate(w):
-            tok.append(types.setdefault(x, len(types)))
-            starts.append(i == 0)
-            y_tok.append(y)
-    lists = [[index[f] for f in features(x) if f in index] for x in types]
-    is_toxic = np.array([any(f in toxic for f in features(x)) for x in types] or [False])
-    tok, starts = np.array(tok, dtype=np.int64), np.array(starts, dtype=bool)
-    truth = np.array(y_tok, dtype=bool) & is_toxic[tok] if len(tok) else np.zeros(0, dtype=bool)
+    for i in order:
+        ids = [np.fromiter((types.setdefault(x, len(types)) for x in part), dtype=np.int32, count=len(part)) for part in words(rows[i][0])]
+        ids = np.concatenate(ids)
+        tok.append(ids)
+        starts.append(np.arange(len(ids)) == 0)
+        y_tok.append(np.full(len(ids), rows[i][1], dtype=bool))
+    tok, starts, y_tok = (np.concatenate([np.zeros(0, dtype=d), *x]) for x, d in ((tok, np.int32), (starts, bool), (y_tok, bool)))
+    lists = [known[x] for x in types]
+    is_toxic = np.array([toxic[x].any() for x in lists] or [False])
+    truth = y_tok & is_toxic[tok] if len(tok) else np.zeros(0, dtype=bool)
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists]) if lists else np.zeros(0, dtype=np.int64)
-    feats = np.array([i for x in lists for i in x], dtype=np.int64)
+    names, feats = np.unique(np.concatenate([empty, *lists]), return_inverse=True)
 
     theta, bias = np.zeros(len(names)), -5.0
     trans, init = np.log(np.array([[0.98, 0.02], [0.9, 0.1]])), np.log(np.array([0.98, 0.02]))
@@ -177,10 +248,17 @@ def fit(rows: list[tuple[bytes, int]], steps: int = 25) -> Model:
     np.add.at(seen, (truth[inner - 1].astype(int), truth[inner].astype(int)), 1)
     seen_first = np.bincount(truth[starts].astype(int), minlength=2).astype(float)
     soft = lambda z: np.exp(z) / np.exp(z).sum(axis=-1, keepdims=True)
+    # Parts of whole documents, so that products of few tokens are held.
+    cuts = np.flatnonzero(starts)
+    cuts = [int(c) for c, last in zip(cuts, [-PART, *cuts], strict=False) if c // PART != last // PART]
+    cuts = list(zip(cuts, [*cuts[1:], len(tok)], strict=False))
     m, v = np.zeros(len(theta) + 1), np.zeros(len(theta) + 1)
     for step in range(1, steps + 1 if len(tok) else 1):
         e_type = bias + np.bincount(owner, weights=theta[feats], minlength=len(lists))
-        p, xi, first = forward_backward(e_type[tok], starts, soft(trans), soft(init), pairs=True)
+        p, xi, first = np.empty(len(tok)), np.zeros((2, 2)), np.zeros(2)
+        for a, b in cuts:
+            p[a:b], x, f = forward_backward(e_type[tok[a:b]], starts[a:b], soft(trans), soft(init), pairs=True)
+            xi, first = xi + x, first + f
         g_type = np.bincount(tok, weights=truth - p, minlength=len(lists))
         g = np.append(np.bincount(feats, weights=g_type[owner], minlength=len(theta)) - 0.01 * theta, (truth - p).sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -189,24 +267,29 @@ def fit(rows: list[tuple[bytes, int]], steps: int = 25) -> Model:
         # Transition weights: a gradient step per expected visit.
         trans = np.log(np.maximum(soft(trans + 0.3 * (seen - xi) / (xi.sum(1, keepdims=True) + 5)), LEAST_CHANCE))
         init = np.log(np.maximum(soft(init + 0.3 * (seen_first - first) / (first.sum() + 5)), LEAST_CHANCE))
-    kept = {f: float(theta[i]) for f, i in index.items() if abs(theta[i]) > 0.05}
+    kept = {int(f): float(w) for f, w in zip(names, theta, strict=True) if abs(w) > 0.05}
     model = Model(kept, float(bias), soft(trans), soft(init), np.array([-4.0, 6.0, 1.0, 0.0]))
     if len(tok):
-        emission, x, y = _Cache(model.emission), [], []
-        for at in range(0, len(rows), 128):  # few at a time, as their products take memory
-            part = [(t.lower().split(), y) for t, y in rows[at : at + 128]]
-            logits = np.array([emission[v] for w, _ in part for v in w])
-            starts = np.array([i == 0 for w, _ in part for i in range(len(w))], dtype=bool)
-            x.append(_document(forward_backward(logits, starts, model.transition, model.initial), starts))
-            y += [label for w, label in part if w]
+        cache, x, y = _Cache(model.emission), [], []
+        for t, label in rows:
+            logits, begins = _logits([t], cache)
+            if len(logits):
+                x.append(_document(marginals(logits, begins, model.transition, model.initial), begins))
+                y.append(label)
         model.document = _logistic(np.concatenate(x), np.array(y))
     return model
 
 
-def _ratio(a: int, b: int, n1: int, n0: int) -> float:
-    """Twice the log likelihood ratio of a feature in a of n1 and b of n0 documents, against one rate for both."""
-    both = (a + b) / (n1 + n0)
-    return 2 * sum(n * math.log(n / (m * both)) for n, m in ((a, n1), (b, n0)) if n)
+def _logits(texts: list[bytes], cache: _Cache) -> tuple[np.ndarray, np.ndarray]:
+    """Emission logits of all tokens, and where texts start."""
+    each = [np.concatenate([np.fromiter(map(cache.__getitem__, part), dtype=float, count=len(part)) for part in words(t)]) for t in texts]
+    starts = np.zeros(sum(map(len, each)), dtype=bool)
+    at = 0
+    for x in each:
+        if len(x):
+            starts[at] = True
+        at += len(x)
+    return np.concatenate(each) if each else np.zeros(0), starts
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 25, ridge: float = 0.05) -> np.ndarray:
@@ -219,6 +302,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 25, ridge: float = 0.05
     return w
 
 
+def _offsets(text: bytes, hits: list[int]) -> list[dict[str, int]]:
+    """Start and stop of the tokens of these numbers."""
+    out, wanted = [], iter(hits)
+    now = next(wanted, None)
+    if now is not None:
+        for i, m in enumerate(TOKEN.finditer(text)):
+            if i == now:
+                out.append({"start": m.start(), "stop": m.end()})
+                now = next(wanted, None)
+                if now is None:
+                    break
+    return out
+
+
 def tag(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted, spans (array of start, stop: UTF-8 byte offsets of tokens with a marginal of one half).
 
@@ -234,23 +331,17 @@ def tag(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
         for batch in batches:
             scores, spans = [], []
             for part in slices(batch.column(2)):
-                words = [t.lower().split() for t in part]
-                lengths = np.array([len(w) for w in words], dtype=np.int64)
-                logits = np.concatenate([np.fromiter(map(cache.__getitem__, w), dtype=float, count=len(w)) for w in words]) if len(words) else np.zeros(0)
-                ends = np.cumsum(lengths)
-                starts = np.zeros(len(logits), dtype=bool)
-                starts[(ends - lengths)[lengths > 0]] = True
-                p = forward_backward(logits, starts, own.transition, own.initial)
+                logits, starts = _logits(part, cache)
+                p = marginals(logits, starts, own.transition, own.initial)
+                at = np.flatnonzero(starts).tolist()
+                bounds = iter(zip(at, [*at[1:], len(p)], strict=True))
+                full = np.array([bool(t) and not t.isspace() for t in part], dtype=bool)
                 s = np.full(len(part), empty)
-                s[lengths > 0] = 1 / (1 + np.exp(-np.clip(_document(p, starts) @ own.document, -30, 30)))
+                s[full] = 1 / (1 + np.exp(-np.clip(_document(p, starts) @ own.document, -30, 30)))
                 scores.append(s)
-                for text, a, b in zip(part, (ends - lengths).tolist(), ends.tolist(), strict=True):
-                    hits = np.flatnonzero(p[a:b] >= 0.5)
-                    if len(hits):
-                        at = [m.span() for m in TOKEN.finditer(text)]
-                        spans.append([{"start": at[i][0], "stop": at[i][1]} for i in hits.tolist()])
-                    else:
-                        spans.append([])
+                for text, tokens in zip(part, full, strict=True):
+                    a, b = next(bounds) if tokens else (0, 0)
+                    spans.append(_offsets(text, np.flatnonzero(p[a:b] >= 0.5).tolist()))
             score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(spans, span)], names=["doc_id", "held_out", "score", "predicted", "spans"])
 
@@ -258,6 +349,7 @@ def tag(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,stop:int>>")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 4000, threshold: float = THRESHOLD) -> DataFrame:
-    """Fit on at most ``sample_rows`` labelled documents outside the held-out fold, then ``tag`` every document."""
-    return tag(docs, fit(labelled.sample(docs, labels, "toxic", rows=sample_rows, share=0.25)), threshold=threshold)
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 4000, field_rows: int = 1000, threshold: float = THRESHOLD) -> DataFrame:
+    """Fit on at most ``sample_rows`` labelled documents outside the held-out fold (a quarter of them toxic, where there are so many), then ``tag`` every
+    document. Toxic features and the documents' logistic weights come from all of the sample, the field's weights from ``field_rows`` of it."""
+    return tag(docs, fit(labelled.sample(docs, labels, "toxic", rows=sample_rows, share=0.25), field_rows=field_rows), threshold=threshold)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from touchline.llm import labelled
-from touchline.llm.common import slices, text_bytes
+from touchline.llm.common import parts, slices, text_bytes
 
 WORDS, SHAPES, FACTS = 3072, 896, 128
 TERMS = WORDS + SHAPES + FACTS
@@ -52,31 +52,35 @@ class _Terms(dict):
         return out
 
 
-def _facts(words: list[bytes], text: bytes) -> list[int]:
+def _facts(n: int, distinct: int, most: int, text: bytes) -> list[int]:
     """Terms for whole-text properties in eight steps each: distinct words, repeated lines, length, words a line, bytes a word."""
-    n = len(words)
     lines = text.split(b"\n")
     step = lambda x: int(min(7, max(0, x)))
     values = (
-        step(8 * len(set(words)) / max(1, n)), step(8 * (1 - len(set(lines)) / len(lines))), step(np.log2(n + 1) - 3),
-        step(np.log2(max(1, n / len(lines)))), step(len(text) / max(1, n) / 2), step(0 if not n else 8 * Counter(words).most_common(1)[0][1] / n),
+        step(8 * distinct / max(1, n)), step(8 * (1 - len(set(lines)) / len(lines))), step(np.log2(n + 1) - 3),
+        step(np.log2(max(1, n / len(lines)))), step(len(text) / max(1, n) / 2), step(0 if not n else 8 * most / n),
     )
     return [WORDS + SHAPES + 8 * i + v for i, v in enumerate(values)]
 
 
 def counted(texts: list[bytes], cache: _Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows (row, term, count)."""
-    rows, terms = [], []
+    rows, terms, counts = [], [], []
     for i, text in enumerate(texts):
-        words = text.split()
-        pair = np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
-        own = np.concatenate([pair >> 16, pair & 65535, np.array(_facts(words, text), dtype=np.int64)])
+        sums, seen, n = np.zeros(TERMS, dtype=np.int64), Counter(), 0
+        for words in parts(text):
+            pair = np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
+            sums += np.bincount(pair >> 16, minlength=TERMS) + np.bincount(pair & 65535, minlength=TERMS)
+            seen.update(words)
+            n += len(words)
+        sums += np.bincount(_facts(n, len(seen), max(seen.values(), default=0), text), minlength=TERMS)
+        own = np.flatnonzero(sums)
         rows.append(np.full(len(own), i, dtype=np.int64))
         terms.append(own)
+        counts.append(sums[own])
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys, n = np.unique(np.concatenate(rows) * TERMS + np.concatenate(terms), return_counts=True)
-    return keys // TERMS, keys % TERMS, n
+    return np.concatenate(rows), np.concatenate(terms), np.concatenate(counts)
 
 
 def weighted(row: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -109,16 +113,46 @@ def latent(texts: list[bytes], idf: np.ndarray, basis: np.ndarray, cache: _Terms
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def fit(rows: list[tuple[bytes, int]]) -> Model:
-    """A model from (text, label) rows; without rows every score is one half."""
-    rows = labelled.without_copies(rows)
-    cache = _Terms()
-    y = np.array([v for _, v in rows], dtype=np.float32)
-    parts = [counted([t for t, _ in rows[at : at + 256]], cache) for at in range(0, len(rows), 256)]
-    seen = sum((np.bincount(term, minlength=TERMS) for _, term, _ in parts), np.zeros(TERMS))
-    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
-    dense = np.zeros((len(rows), TERMS), dtype=np.float32)
-    for i, (row, term, n) in enumerate(parts):
+def term_counts(texts: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """Sparse rows (row, term, count) of 256 texts at a time, and their labels, from rows of t and y without repeated texts of one label.
+
+    Terms are counted in the tasks, so the driver holds at most TERMS numbers a text, however long it is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Terms()
+        for batch in batches:
+            terms, counts = [], []
+            for part in slices(batch.column(0)):
+                row, term, n = counted(part, cache)
+                at = np.searchsorted(row, np.arange(len(part) + 1))
+                terms += [term[a:b] for a, b in zip(at, at[1:], strict=False)]
+                counts += [n[a:b] for a, b in zip(at, at[1:], strict=False)]
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(terms, kind), pa.array(counts, kind)], names=["y", "place", "terms", "counts"])
+
+    # One partition, as they were ordered and limited; repeated texts follow each other by digest only, so they are dropped by it.
+    rows = texts.select("t", "y", F.struct(F.xxhash64("t"), F.md5("t")).cast("string").alias("place"))
+    got = rows.mapInArrow(run, "y int, place string, terms array<int>, counts array<int>").toArrow().combine_chunks()
+    keys = list(zip(got.column("place").to_pylist(), got.column("y").to_pylist(), strict=True))
+    first = {k: i for i, k in reversed(list(enumerate(keys)))}
+    keep = sorted(first.values())
+    got = got.take(pa.array(keep, pa.int64()))
+    sparse = []
+    for at in range(0, len(keep), 256):
+        own = got.slice(at, 256)
+        terms = [np.array(x, dtype=np.int64) for x in own.column("terms").to_pylist()]
+        n = [np.array(x, dtype=np.int64) for x in own.column("counts").to_pylist()]
+        sparse.append((np.repeat(np.arange(len(terms)), [len(x) for x in terms]), np.concatenate(terms), np.concatenate(n)))
+    return sparse, np.array(got.column("y").to_pylist(), dtype=np.float32)
+
+
+def fit(sparse: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
+    """A model from term counts and labels; without rows every score is one half."""
+    seen = sum((np.bincount(term, minlength=TERMS) for _, term, _ in sparse), np.zeros(TERMS))
+    idf = np.log((1 + len(y)) / (1 + seen)) + 1
+    dense = np.zeros((len(y), TERMS), dtype=np.float32)
+    for i, (row, term, n) in enumerate(sparse):
         dense[row + 256 * i, term] = weighted(row, term, n, idf)
     basis = _top_vectors(dense)
     vectors = dense @ basis
@@ -156,7 +190,7 @@ def vote(model: Model, vectors: np.ndarray, neighbours: int = NEIGHBOURS) -> np.
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 4000) -> Model:
     """Fit on at most ``sample_rows`` labelled documents outside the held-out fold."""
-    return fit(labelled.sample(docs, labels, "quality", rows=sample_rows))
+    return fit(*term_counts(labelled.picked(docs, labels, "quality", rows=sample_rows)))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
@@ -167,8 +201,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, cache = shared.value, _Terms()
         for array in texts:
-            parts = [vote(own, latent(part, own.idf, own.basis, cache)) for part in slices(array)]
-            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+            votes = [vote(own, latent(part, own.idf, own.basis, cache)) for part in slices(array)]
+            yield pa.array(np.concatenate(votes) if votes else np.zeros(0), pa.float64())
 
     return scored(text_bytes(text_col))
 

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.common import fold, text_bytes
 
-#: Longest text (bytes) that is fitted on; longer ones are scored like any other.
-MOST_BYTES = 65_536
 FOLDS, HELD_OUT = 4, 2
 
 
@@ -18,34 +14,31 @@ def held_out(id_col: str = "doc_id"):
     return fold(F.col(id_col), FOLDS) == HELD_OUT
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, *, rows: int, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
-    """(text, label) of at most ``rows`` labelled documents outside the held-out fold, the first in order of a hash of the id.
+def picked(docs: DataFrame, labels: DataFrame, label: str, *, rows: int, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """t, y (text and label) of at most ``rows`` labelled documents outside the held-out fold, the first in order of a hash of the id.
 
-    share: the part with label 1, where there are enough (None: as they come). Null labels and ids don't count; of different labels for an id the largest does. Texts over ``MOST_BYTES`` are
-    left out of fitting only.
+    share: the part with label 1, where there are enough (None: as they come). Null labels and ids don't count; of different labels for an id the
+    largest does. Texts are whole, of any length.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     known = known.filter(fold(F.col("id"), FOLDS) != HELD_OUT).groupBy("id").agg(F.max("y").alias("y"))
     order = (F.xxhash64("id"), F.col("id"))
     if share is not None:
         ones = int(rows * share)
-        picked = known.filter("y = 0").orderBy(*order).limit(rows - ones).unionByName(known.filter("y = 1").orderBy(*order).limit(ones))
+        chosen = known.filter("y = 0").orderBy(*order).limit(rows - ones).unionByName(known.filter("y = 1").orderBy(*order).limit(ones))
     else:
-        picked = known.orderBy(*order).limit(rows)
-    # The picked ids are at most ``rows``, so they are broadcast and the texts stay where they are.
-    own = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t"))
-    own = own.join(F.broadcast(picked), "id").filter(F.length("t") <= MOST_BYTES)
-    got = own.orderBy(*order, "t").limit(rows).select("t", "y").toArrow()
-    return list(zip(got.column("t").to_pylist(), got.column("y").to_pylist(), strict=True))
+        chosen = known.orderBy(*order).limit(rows)
+    # The chosen ids are at most ``rows``, so they are broadcast and the texts stay where they are.
+    own = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t")).join(F.broadcast(chosen), "id")
+    return own.orderBy(*order, "t").limit(rows).select("t", "y")
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, **how) -> list[tuple[bytes, int]]:
+    """The rows that ``picked`` gives. The driver holds their whole texts, so ``rows`` is what bounds its memory."""
+    got = picked(docs, labels, label, **how).toArrow()
+    return without_copies(list(zip(got.column("t").to_pylist(), got.column("y").to_pylist(), strict=True)))
 
 
 def without_copies(rows: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
-    """rows without most near copies: one of those with the same least shingle hash and label."""
-    seen, out = set(), []
-    for text, y in rows:
-        w = text.lower().split()
-        key = (min((zlib.crc32(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0), y)
-        if key not in seen:
-            seen.add(key)
-            out.append((text, y))
-    return out
+    """rows without repeated texts of one label."""
+    return list(dict.fromkeys(rows))
