@@ -1,14 +1,16 @@
 """Nearest neighbours by inner product: one vantage-point tree per shard, with relaxed triangle-inequality pruning.
 
-Inner products become Euclidean distances by one more coordinate, sqrt(M^2 - |x|^2) for candidates and 0 for queries (M: the
-largest norm), so that the largest product is the smallest distance and the triangle inequality holds.
+Candidates are searched by length (number of components) and by band: norms within a factor of two. Within a band vectors are scaled by a power of two to norms
+below 1 and queries to norm 1; one more coordinate, sqrt(1 - |x|^2) for candidates and 0 for queries, puts all on a unit sphere, so that the
+largest product is the smallest distance and the triangle inequality holds. So no band's norms blur another's, however far apart they are: distances only
+prune, and hits are ranked by the product of the original vectors.
 
 1. Equal vectors collapse to one entry that keeps its k + 1 smallest ids (no query can return more of them), so a vector that
    a third of the rows share is searched once. The ids are picked per salt before they meet.
-2. A bounded sample of the distinct vectors gives a small vantage-point tree on the driver; its leaves are cells. Each cell is
+2. A bounded sample of the distinct vectors gives a small vantage-point tree for each band that it holds, on the driver; leaves are cells, any other band is one cell. Each cell is
    split by a hash of the id into blocks of about ``shard_rows`` vectors: a (cell, block) is a shard.
-3. Each query searches the shards of its own cell, then those of every other cell that the same relaxed bound, with the
-   distance found so far, can't exclude. Queries go in blocks of ``query_rows``, so no task holds an unbounded number.
+3. Each query searches the shards of its own cell of each band, then those of every other cell that the same relaxed bound, with the
+   k-th product found so far, can't exclude. A cell's queries go in blocks of about ``query_rows``, and its shards are copied once for each block: what is shuffled grows with the pairs that are searched.
 4. Within a shard, a subtree is skipped when its lower bound exceeds ``factor`` times the k-th distance so far: factor one is
    exact, smaller factors skip more.
 """
@@ -19,23 +21,63 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import materialize
 
-EPS = 1e-9
+#: Slack of distances on the unit sphere: those near zero are known to about 1e-8.
+EPS = 1e-6
 SALTS = 32
+#: Products whose components are held at one time.
+PRODUCTS = 1 << 14
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of a to all rows of b."""
-    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(sq, 0.0))
+    """Distances of all rows of a to all rows of b, all of norm 1."""
+    return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
+
+
+def _reach(s: np.ndarray) -> np.ndarray:
+    """The distance within which products of norm-1 vectors are s or more; no product is more than 1, and a little for rounding."""
+    return np.where(s > 1 + EPS, -np.inf, np.sqrt(2.0 - 2.0 * np.clip(s, -2.0, 1.0)))
+
+
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled by powers of two to norms from 0.5 to 1, and the exponents: row = scaled * 2 ** exponent. Nothing overflows or vanishes."""
+    first = np.frexp(np.abs(vectors).max(1))[1]
+    y = np.ldexp(vectors, -first[:, None])
+    more = np.frexp(np.sqrt((y * y).sum(1)))[1]
+    return np.ldexp(y, -more[:, None]), first + more
+
+
+def lift(vectors: np.ndarray, band: int | None = None) -> np.ndarray:
+    """Rows as points of the unit sphere: candidates of a band scaled to it, with one more coordinate; queries (band None) scaled to norm 1, with 0."""
+    x, exponent = scaled(vectors)
+    if band is None:
+        x = x / np.sqrt((x * x).sum(1, keepdims=True))
+        return np.concatenate([x, np.zeros((len(x), 1))], axis=1)
+    return np.concatenate([x, np.sqrt(np.maximum(1.0 - (x * x).sum(1), 0.0))[:, None]], axis=1)
+
+
+def in_band(score: np.ndarray, queries: np.ndarray, band: int) -> np.ndarray:
+    """Products with the original vectors as products on the sphere of a band."""
+    x, exponent = scaled(queries)
+    with np.errstate(over="ignore", under="ignore"):
+        return np.ldexp(score / np.sqrt((x * x).sum(1)), -(exponent + band))
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Products of pairs of rows, summed in order, so that every plan gives the same last digit."""
+    out = np.empty(len(q))
+    for at in range(0, len(q), PRODUCTS):
+        own = slice(at, at + PRODUCTS)
+        out[own] = np.cumsum(q[own] * x[own], axis=1)[:, -1]
+    return out
 
 
 class VPTree:
-    """A vantage-point tree over the rows of ``points``. Nodes are ("leaf", rows) or ("node", vantage, [(lo, hi, child), ...])."""
+    """A vantage-point tree over rows of norm 1. Nodes are ("leaf", rows) or ("node", vantage, [(lo, hi, child), ...])."""
 
     def __init__(self, points: np.ndarray, leaf: int = 128):
         self.points, self.leaf_rows = points, leaf
@@ -45,8 +87,7 @@ class VPTree:
         if len(rows) <= self.leaf_rows:
             return ("leaf", rows)
         own = self.points[rows]
-        centre = own.mean(0, keepdims=True)
-        vantage = own[int(np.argmax(_distances(own, centre)[:, 0]))]
+        vantage = own[int(np.argmin(own @ own.mean(0)))]
         d = _distances(own, vantage[None])[:, 0]
         inside = d <= np.median(d)
         if inside.all():  # only a few distances occur: the median is the largest
@@ -68,12 +109,20 @@ class VPTree:
         self.root = walk(self.root)
         return len(self.numbered)
 
-    def search(self, queries: np.ndarray, keep: int, factor: float, tau: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """The nearest ``keep`` rows of each query and their distances (-1 and inf where fewer), nearer than tau; pairs computed."""
-        best = np.full((len(queries), keep), np.inf)
-        who = np.full((len(queries), keep), -1, dtype=np.int64)
+    def search(self, queries: np.ndarray, keep: int, factor: float, least: np.ndarray, exact, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Query numbers, rows and scores of the ``keep`` best of each query, by exact score and then smaller id; pairs computed.
+
+        exact(query numbers, rows): the scores by which rows rank, and these as products on the sphere. least: products (on the sphere) that are wanted of each query.
+        """
+        keep_s = np.full((len(queries), keep), -np.inf)  # exact scores, best first
+        keep_u = np.full((len(queries), keep), -np.inf)  # the same as products on the sphere
+        keep_r = np.full((len(queries), keep), -1, dtype=np.int64)
+        slack = 8 * queries.shape[1] * np.finfo(float).eps
         pairs = 0
 
+        def wanted(q: np.ndarray) -> np.ndarray:
+            return np.maximum(keep_u[q, -1], least[q])
+
         def visit(node, active: np.ndarray) -> None:
             nonlocal pairs
             if not len(active):
@@ -81,12 +130,24 @@ class VPTree:
             if node[0] == "leaf":
                 rows = node[1]
                 pairs += len(active) * len(rows)
-                d = np.concatenate([best[active], _distances(queries[active], self.points[rows])], axis=1)
-                w = np.concatenate([who[active], np.broadcast_to(rows, (len(active), len(rows)))], axis=1)
-                if d.shape[1] > keep:
-                    part = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-                    d, w = np.take_along_axis(d, part, 1), np.take_along_axis(w, part, 1)
-                best[active], who[active] = d, w
+                near = queries[active] @ self.points[rows].T
+                floor = wanted(active)
+                if len(rows) > keep:  # at least as many of these rows come before any below
+                    floor = np.maximum(floor, np.partition(near, len(rows) - keep, axis=1)[:, len(rows) - keep])
+                i, j = np.nonzero(near >= (floor - slack)[:, None])
+                if not len(i):
+                    return
+                own, row = active[i], rows[j]
+                score, unit = exact(own, row)
+                touched = np.unique(own)
+                old = np.repeat(touched, keep)
+                q, r = np.concatenate([old, own]), np.concatenate([keep_r[touched].ravel(), row])
+                s, u = np.concatenate([keep_s[touched].ravel(), score]), np.concatenate([keep_u[touched].ravel(), unit])
+                order = np.lexsort((np.where(r >= 0, ids[r], np.iinfo(np.int64).max), -s, r < 0, q))
+                q, r, s, u = q[order], r[order], s[order], u[order]
+                first = np.searchsorted(q, touched)
+                at = first[:, None] + np.arange(keep)[None, :]
+                keep_r[touched], keep_s[touched], keep_u[touched] = r[at], s[at], u[at]
                 return
             _, vantage, children = node
             pairs += len(active)
@@ -97,11 +158,11 @@ class VPTree:
                 mask = first if order[0] == 0 else ~first
                 for side in order:
                     own, lb = active[mask], bounds[side][mask]
-                    limit = np.minimum(best[own].max(1), tau[own])
-                    visit(children[side][2], own[lb <= factor * limit + EPS])
+                    visit(children[side][2], own[lb <= factor * _reach(wanted(own)) + EPS])
 
         visit(self.root, np.arange(len(queries)))
-        return who, best, pairs
+        q, at = np.nonzero(keep_r >= 0)
+        return q, keep_r[q, at], keep_s[q, at], pairs
 
 
 def _route(tree: VPTree, points: np.ndarray) -> np.ndarray:
@@ -123,8 +184,8 @@ def _route(tree: VPTree, points: np.ndarray) -> np.ndarray:
     return out
 
 
-def _reachable(tree: VPTree, points: np.ndarray, tau: np.ndarray, factor: float) -> list[list[int]]:
-    """The cells that the relaxed bound leaves to each point, given its distance so far.
+def _reachable(tree: VPTree, points: np.ndarray, reach: np.ndarray, factor: float) -> list[list[int]]:
+    """The cells that the relaxed bound leaves to each point, given the distance that is wanted.
 
     A cell holds all points on its side of each midpoint, not only the sample's, so the bounds are the midpoints themselves.
     """
@@ -139,17 +200,17 @@ def _reachable(tree: VPTree, points: np.ndarray, tau: np.ndarray, factor: float)
             return
         d = _distances(points[rows], node[1][None])[:, 0]
         mid = (node[2][0][1] + node[2][1][0]) / 2
-        walk(node[2][0][2], rows[np.maximum(d - mid, 0.0) <= factor * tau[rows] + EPS])
-        walk(node[2][1][2], rows[np.maximum(mid - d, 0.0) <= factor * tau[rows] + EPS])
+        walk(node[2][0][2], rows[np.maximum(d - mid, 0.0) <= factor * reach[rows] + EPS])
+        walk(node[2][1][2], rows[np.maximum(mid - d, 0.0) <= factor * reach[rows] + EPS])
 
-    walk(tree.root, np.arange(len(points)))
+    walk(tree.root, np.flatnonzero(reach > -np.inf))
     return out
 
 
-def _lift(vectors: np.ndarray, top: float | None) -> np.ndarray:
-    """The Euclidean form: candidates get sqrt(top^2 - |x|^2) as one more coordinate, queries (top None) get 0."""
-    more = np.zeros((len(vectors), 1)) if top is None else np.sqrt(np.maximum(top * top - (vectors * vectors).sum(1), 0.0))[:, None]
-    return np.concatenate([vectors, more], axis=1)
+def _usable(v: Column) -> Column:
+    """Vectors with components, all finite and not all zero."""
+    finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    return (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0.0)
 
 
 def nearest(
@@ -158,22 +219,13 @@ def nearest(
 ) -> DataFrame:
     """The k nearest rows of each query row (id divisible by ``query_every``): query_id, rank, vec_id, score.
 
-    Null ids and vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors of another length
-    than most have, as no inner product exists. Ties go to the smaller id; a repeated id never
+    Null ids and vectors that are null, empty, zero or hold null or non-finite components take no part. Vectors of different lengths have no inner product: each is
+    searched among those of its own length. Ties go to the smaller id; a repeated id never
     returns itself; an empty table gives no rows. ``sample_rows`` bounds the rows that the driver sees.
     """
     spark = vectors.sparkSession
     v = F.col(vec_col)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v")).filter(
-        F.col("id").isNotNull() & (F.size("v") > 0)
-        & F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("v", lambda x: x != 0.0)
-    )
-    by_size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if by_size is None:
-        return spark.createDataFrame([], schema)
-    rows = rows.filter(F.size("v") == by_size["n"])
-
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v")).filter(F.col("id").isNotNull() & _usable(F.col("v")))
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
     few = rows.withColumn("salt", salt).dropDuplicates(["id", "v"])
     few = few.withColumn("rn", F.row_number().over(Window.partitionBy("v", "salt").orderBy("id"))).filter(F.col("rn") <= k + 1)
@@ -182,76 +234,101 @@ def nearest(
     asked = rows.filter(F.col("id") % query_every == 0).select("id", "v").distinct()
     wanted = asked.groupBy("v").agg(F.min("id").alias("qkey"))
 
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    facts = entries.agg(F.max(norm).alias("top"), F.count("*").alias("n")).first()
-    n_queries = wanted.count()
-    if not facts["n"] or not n_queries:
-        return spark.createDataFrame([], schema)
-    top, n = facts["top"] * (1 + 1e-12), facts["n"]
-
-    sample = np.array([r["v"] for r in entries.orderBy(F.xxhash64("key", F.lit(7)), "key").limit(sample_rows).select("v").collect()])
-    shards = math.ceil(n / shard_rows)
-    cells = VPTree(_lift(sample, top), leaf=max(16, math.ceil(len(sample) / shards)))
-    n_cells = cells.leaves()
-    cells.points = None  # only vantages and bounds travel
-    blocks = max(1, math.ceil(n / (shard_rows * n_cells)))
-    q_blocks = max(1, math.ceil(n_queries / query_rows))
+    n = entries.count()
+    sample = [np.array(r["v"]) for r in entries.orderBy(F.xxhash64("key", F.lit(7)), "key").limit(sample_rows).select("v").collect()]
+    groups: dict[tuple[int, int], list[np.ndarray]] = {}
+    for x in sample:
+        groups.setdefault((len(x), int(scaled(x[None])[1][0])), []).append(x)
+    share = math.ceil(n / shard_rows) / max(1, len(sample))  # shards for each row of the sample
+    cells = {g: VPTree(lift(np.array(xs), g[1]), leaf=max(16, math.ceil(1 / share))) for g, xs in groups.items()}
+    for tree in cells.values():
+        tree.leaves()
+        tree.points = None  # only vantages and bounds travel
     shared = spark.sparkContext.broadcast(cells)
 
     def placed(batches):
         for pdf in batches:
             if len(pdf):
-                pdf["cell"] = _route(shared.value, _lift(np.array(pdf["v"].tolist()), top))
-                yield pdf[["key", "v", "cell"]]
-
-    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
-    stored = entries.select("key", "v").mapInPandas(placed, "key long, v array<double>, cell int").withColumn("block", block)
-    stored = stored.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    q_block = F.pmod(F.xxhash64("qkey"), F.lit(q_blocks)).cast("int")
+                pdf["len"] = [len(x) for x in pdf["v"]]
+                pdf["band"], pdf["cell"] = 0, 0
+                for size, own in pdf.groupby("len"):
+                    x = np.array(own["v"].tolist())
+                    band = scaled(x)[1]
+                    cell = np.zeros(len(x), dtype=np.int64)
+                    for b in np.unique(band).tolist():
+                        if tree := shared.value.get((size, b)):
+                            cell[band == b] = _route(tree, lift(x[band == b], b))
+                    pdf.loc[own.index, "band"], pdf.loc[own.index, "cell"] = band, cell
+                yield pdf[["key", "v", "len", "band", "cell"]]
+
+    place = ["len", "band", "cell"]
+    stored = materialize(entries.select("key", "v").mapInPandas(placed, "key long, v array<double>, len int, band int, cell int"), "placed")
+    blocks = stored.groupBy(*place).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("blocks"))
+    blocks = materialize(blocks, "blocks")
+    bands = blocks.select("len", "band").distinct()
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"qkey": [], "key": [], "score": [], "d": []})
+            return pd.DataFrame({"qkey": [], "key": [], "score": []})
+        left = left.sort_values("key")
         x, q = np.array(left["v"].tolist()), np.array(right["v"].tolist())
-        ids, keep = left["key"].to_numpy(), min(len(x), k + 4)
-        order = np.argsort(ids)
-        x, ids = x[order], ids[order]
-        tree = VPTree(_lift(x, top), leaf=leaf)
-        who, dist, _ = tree.search(_lift(q, None), keep, factor, right["tau"].to_numpy(dtype=float))
-        at, col = np.nonzero(who >= 0)
-        own = who[at, col]
-        score = np.cumsum(q[at] * x[own], axis=1)[:, -1]  # summed in order, so every plan gives the same last digit
-        out = pd.DataFrame({"qkey": right["qkey"].to_numpy()[at], "key": ids[own], "score": score, "d": dist[at, col]})
-        out = out.sort_values(["qkey", "score", "key"], ascending=[True, False, True])
-        return out[out.groupby("qkey").cumcount() <= k]
+        ids, band, keep = left["key"].to_numpy(), int(left["band"].iloc[0]), min(len(x), k + 1)
+        # Products in the order of the original components; a scale by a power of two changes no digit.
+        units, factors = in_band(np.ones(len(q)), q, band), right["tau"].to_numpy(dtype=float)
+        with np.errstate(over="ignore", invalid="ignore"):
+            least = np.where(np.isnan(factors), -np.inf, in_band(factors, q, band))
+
+        def exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            score = products(q[a], x[b])
+            if not np.all(np.isfinite(units[a])) or np.any(units[a] == 0.0):
+                return score, in_band(score, q[a], band)
+            return score, score * units[a]
+
+        at, row, score, _ = VPTree(lift(x, band), leaf=leaf).search(lift(q), keep, factor, least, exact, ids)
+        return pd.DataFrame({"qkey": right["qkey"].to_numpy()[at], "key": ids[row], "score": score})
 
     def found(queries: DataFrame) -> DataFrame:
-        on = ["cell", "block", "q_block"]
-        return stored.groupBy(*on).cogroup(queries.groupBy(*on)).applyInPandas(search, "qkey long, key long, score double, d double")
+        """Hits of queries (qkey, v, tau and place): a cell's queries in blocks, its vectors in blocks, each pair of blocks once."""
+        sizes = queries.groupBy(*place).agg(F.ceil(F.count("*") / query_rows).cast("int").alias("q_blocks")).join(blocks, place)
+        mine = stored.join(sizes, place).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
+        theirs = queries.join(sizes, place).withColumn("q_block", F.pmod(F.xxhash64("qkey"), F.col("q_blocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        on = [*place, "block", "q_block"]
+        mine, theirs = mine.select("key", "v", *on), theirs.select("qkey", "v", "tau", *on)
+        return mine.groupBy(*on).cogroup(theirs.groupBy(*on)).applyInPandas(search, "qkey long, key long, score double")
 
     def asks(batches):
         for pdf in batches:
             if len(pdf):
-                lifted = _lift(np.array(pdf["v"].tolist()), None)
-                pdf["cell"] = _route(shared.value, lifted)
-                yield pdf[["qkey", "v", "cell"]]
+                pdf["cell"] = 0
+                for g, own in pdf.groupby(["len", "band"]):
+                    if tree := shared.value.get((int(g[0]), int(g[1]))):
+                        pdf.loc[own.index, "cell"] = _route(tree, lift(np.array(own["v"].tolist())))
+                yield pdf[["qkey", "v", *place]]
 
     def further(batches):
         for pdf in batches:
             if len(pdf):
-                cellsets = _reachable(shared.value, _lift(np.array(pdf["v"].tolist()), None), pdf["tau"].to_numpy(dtype=float), factor)
-                pdf["cells"] = [[c for c in s if c != home] for s, home in zip(cellsets, pdf["cell"], strict=True)]
-                yield pdf[["qkey", "v", "tau", "cells"]]
-
-    all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    home = wanted.select("qkey", "v").mapInPandas(asks, "qkey long, v array<double>, cell int").withColumn("q_block", q_block)
-    first = materialize(found(home.withColumn("tau", F.lit(float("inf"))).withColumn("block", all_blocks)), "home")
+                cells = pd.Series([[] for _ in range(len(pdf))], index=pdf.index, dtype=object)
+                for g, own in pdf.groupby(["len", "band"]):
+                    if tree := shared.value.get((int(g[0]), int(g[1]))):
+                        q, tau = np.array(own["v"].tolist()), own["tau"].to_numpy(dtype=float)
+                        s = np.where(np.isnan(tau), -2.0, in_band(tau, q, int(g[1])))
+                        for i, home, reach in zip(own.index, own["cell"], _reachable(tree, lift(q), _reach(s), factor), strict=True):
+                            cells[i] = [c for c in reach if c != home]
+                pdf["cells"] = cells
+                yield pdf[["qkey", "v", "tau", "len", "band", "cells"]]
+
+    each = wanted.withColumn("len", F.size("v")).join(bands, "len").select("qkey", "v", "len", "band")
+    home = each.mapInPandas(asks, "qkey long, v array<double>, len int, band int, cell int")
+    # A query's own cell may have no vectors: then nothing is found there.
+    first = materialize(found(home.withColumn("tau", F.lit(None).cast("double"))), "home")
     per_query = Window.partitionBy("qkey").orderBy(F.desc("score"), "key")
-    reach = first.withColumn("rn", F.row_number().over(per_query)).groupBy("qkey").agg(F.max(F.when(F.col("rn") == k + 1, F.col("d"))).alias("tau"))
-    second = home.join(reach, "qkey", "left").withColumn("tau", F.coalesce("tau", F.lit(float("inf"))))
-    second = second.select("qkey", "v", "cell", "tau").mapInPandas(further, "qkey long, v array<double>, tau double, cells array<int>")
-    second = second.withColumn("cell", F.explode("cells")).withColumn("q_block", q_block).withColumn("block", all_blocks).drop("cells")
-    ranked = first.unionByName(found(second)).withColumn("rn", F.row_number().over(per_query)).filter(F.col("rn") <= k + 1)
+    best = lambda df: df.withColumn("rn", F.row_number().over(per_query)).filter(F.col("rn") <= k + 1)
+    reach = best(first).groupBy("qkey").agg(F.max(F.when(F.col("rn") == k + 1, F.col("score"))).alias("tau"))
+    second = home.join(reach, "qkey", "left").select("qkey", "v", "tau", *place)
+    second = second.mapInPandas(further, "qkey long, v array<double>, tau double, len int, band int, cells array<int>")
+    second = second.withColumn("cell", F.explode("cells")).drop("cells")
+    ranked = best(first.unionByName(found(second)))
 
     hits = ranked.join(entries.select("key", "ids"), "key").select("qkey", "score", F.explode("ids").alias("vec_id"))
     hits = hits.withColumn("rn", F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rn") <= k + 1)
