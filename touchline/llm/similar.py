@@ -4,7 +4,7 @@
    the wanted likeness always share one (prefix filter). Longer ones: bands of ROWS of the set's MinHash values; all BANDS differ for a pair of
    likeness 0.8 in 5 of 100 million. Texts between SHORT and SHORT / similarity have both, as either can be their partner's.
 2. Nodes of one key need no comparison where links join them already. While there are many other pairs, all members of a key meet
-   two of them, which differ by round and key; then every pair of a key that is still apart meets. So no pair that shares a key is left out.
+   two of them: that whose keys have most nodes, as the text that others were made from has, and others, which differ by turn and key; then every pair of a key that is still apart meets. So no pair that shares a key is left out.
 3. Sketches (the least shingle hash in each of 256 slots) discard pairs five deviations below; the survivors' sets are compared exactly.
 """
 
@@ -138,9 +138,10 @@ def rarest(nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def shared_keys(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """node, fp, n, k: keys that more than one node has."""
+    """node, fp, n, k, w: keys that more than one node has; w: how many nodes the node's keys have, which is most for the middle of a group."""
     keys = nodes.select("node", "fp", "n", F.explode("bands").alias("k")).unionByName(rarest(nodes, similarity))
-    return keys.join(keys.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1").select("k"), "k", "left_semi")
+    shared = keys.join(keys.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1"), "k")
+    return shared.join(shared.groupBy("node").agg(F.sum("c").alias("w")), "node").select("node", "fp", "n", "k", "w")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFrame:
@@ -183,11 +184,13 @@ def _maybe(similarity: float):
 
 
 def similar_links(keys: DataFrame, sets: DataFrame, edges: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """node (a fingerprint), root: components of ``edges`` (a, b: fingerprints) and of all pairs of ``keys`` (written) with a likeness of ``similarity``."""
-    edges = materialize(edges.select("a", "b"), "links")
+    """node (a fingerprint), root: components of ``edges`` (a, b: fingerprints) and of all pairs of ``keys`` (written) with a likeness of ``similarity``.
+
+    Links that a turn finds join whole components, so only their roots are joined anew.
+    """
+    roots = materialize(components(edges.select("a", "b")), "roots")
     for turn in range(ROUNDS + 1):
-        roots = materialize(components(edges), "roots")
-        rooted = keys.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("k", "node", "fp", "n", F.coalesce("root", "fp").alias("r"))
+        rooted = keys.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("k", "node", "fp", "n", "w", F.coalesce("root", "fp").alias("r"))
         rooted = materialize(rooted, "rooted")
         sizes = rooted.groupBy("k", "r").agg(F.count("*").alias("m")).groupBy("k").agg(F.sum("m").cast("double").alias("m"), F.sum(F.col("m").cast("double") * F.col("m")).alias("q"), F.count("*").alias("c"))
         apart = materialize(sizes.filter("c > 1").select("k", "m", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs")), "apart")
@@ -198,20 +201,22 @@ def similar_links(keys: DataFrame, sets: DataFrame, edges: DataFrame, similarity
         last = turn == ROUNDS or pairs <= PAIRS * members
         item = F.struct("node", "fp", "n", "r")
         if last:
-            other = own.select("k", item.alias("o"))
-            met = own.join(other, "k").filter("node < o.node")
+            met = own.join(own.select("k", item.alias("o")), "k").filter("node < o.node")
         else:
+            # The member in the middle of its group and any one, then others each turn.
             one = lambda *x: F.min_by(item, F.xxhash64("node", F.lit(turn), *x))
-            fixed = own.groupBy("k").agg(F.array(one(), one("k")).alias("os"))
+            fixed = own.groupBy("k").agg(F.array(F.max_by(item, F.struct("w", "node")) if turn % 2 == 0 else one(), one("k")).alias("os"))
             met = own.join(fixed, "k").select("k", "node", "fp", "n", "r", F.explode("os").alias("o"))
         met = met.filter((F.col("r") != F.col("o.r")) & (F.least("n", "o.n") >= F.greatest("n", "o.n") * similarity - 1e-9))
         first = F.col("node") < F.col("o.node")
         pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-        met = met.select(pick("node", "o.node").alias("a"), pick("o.node", "node").alias("b"), pick("fp", "o.fp").alias("fa"), pick("o.fp", "fp").alias("fb")).distinct()
+        met = met.select(pick("node", "o.node").alias("a"), pick("o.node", "node").alias("b"), pick("r", "o.r").alias("fa"), pick("o.r", "r").alias("fb")).distinct()
         found = verified(met, sets, similarity).select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct()
-        edges = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), "links")
+        joined = materialize(components(found), "joined")
+        old = roots.join(joined.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        roots = materialize(old.unionByName(joined), "roots")
         if last:
-            return components(edges)
+            return roots
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, similarity: float = 0.8) -> DataFrame:
