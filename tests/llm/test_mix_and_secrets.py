@@ -132,6 +132,32 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert [s["kind"] for s in got[11]] == [0]
 
 
+def test_ownership_by_brute_force(spark):
+    """Owners, repositories and verdicts of every span, counted text by text; one value is in half of all texts."""
+    r = random.Random(9)
+    values = ["ghp_" + "".join(r.choice("abcdefgh0123XYZ") for _ in range(20)) for _ in range(30)] + ["AKIA" + "Q" * 16]
+    rows = [(i, " ".join([values[-1] if i % 2 else "word", *r.sample(values, 2)]), r.choice(["en", "de", None]), r.choice(["a", "b", "c", "d", None]), 0) for i in range(400)]
+    rows += rows[:5]
+    owners, places = {}, {}
+    for _, text, lang, source, _ in rows:
+        for v in set(text.split()) - {"word"}:
+            owners.setdefault(v, set()).add(source)
+            places.setdefault(v, set()).add("/".join(x for x in (source, lang) if x is not None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = secrets.scan(df).collect()
+    text = {x[0]: x[1] for x in rows}
+    assert len(got) == len(rows)
+    for x in got:
+        words, want = text[x["doc_id"]].split(" "), []
+        for i, v in enumerate(words):
+            at = len(" ".join(words[:i])) + (i > 0)
+            pairs = {(a, b) for _, t, lang, a, _ in rows if v in t.split() for b in ["/".join(y for y in (a, lang) if y is not None)]}
+            example = v != "word" and (len(owners[v]) > 2 or len(pairs) > 2)
+            if v != "word" and (v.startswith("AKIA") or not example):
+                want.append((at, at + len(v), len(owners[v]), not example))
+        assert [(s["start"], s["stop"], s["owners"], s["live"]) for s in x["spans"]] == want
+
+
 @pytest.mark.parametrize("most", [1_000_000, 0])
 def test_redaction_by_broadcast_and_by_join(spark, odd, odd_rows, most):
     docs = secret_docs(spark)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from touchline.llm.common import materialize, slices
+from touchline.llm.common import join_hot, materialize, slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -156,7 +156,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "scanned")
     each = rows.filter(F.size("spans") > 0).select("row", "owner", "repository", F.explode("spans").alias("s")).select("row", "owner", "repository", "s.*")
     known = ownership(each)
-    judged = each.join(known, "value").withColumn("live", ~is_example())
+    judged = join_hot(each, known, "value").withColumn("live", ~is_example())
     judged = judged.filter((F.col("kind") < BASE) | F.col("live"))
     span = F.struct("start", "kind", "stop", "value", "owners", "repositories", "live")
     judged = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("found"))  # of one document
