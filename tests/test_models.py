@@ -56,3 +56,22 @@ def test_forest_search(rows):
     grid = {"numTrees": (3, 5), "maxDepth": (2, 3), "minInstancesPerNode": (1, 2)}
     own = models.MatchPredictor("random_forest", FEATURES).fit(rows, search=True, combinations=2, folds=2, grid=grid)
     assert models.evaluate(own.predict(rows)).first()["accuracy"] > 0.7
+
+
+def test_text_features_are_categories(spark, rows):
+    named = rows.select("match_id", "label", "b", F.concat(F.lit("team"), "label").alias("team"))
+    own = models.MatchPredictor("catboost", ["b", "team"], rounds=3).fit(named)
+    assert models.evaluate(own.predict(named)).first()["accuracy"] == 1.0
+    unseen = named.withColumn("team", F.when(F.col("match_id") % 2 == 0, "other"))  # unseen and null teams
+    assert own.predict(unseen).count() == named.count()
+    assert own.importance(spark).first()["Feature"] == "team"
+
+
+def test_logistic_regression_scales_by_population_deviation(rows):
+    from touchline.operators import features
+
+    own = models.MatchPredictor("logistic_regression", FEATURES).fit(rows)
+    fitted = features.scaler(rows, FEATURES)
+    scaled = own.models[0].transform(rows.withColumn("label", F.col("label").cast("double"))).select("a", "b", "features").collect()
+    for r in scaled:
+        assert list(r["features"]) == pytest.approx([(r[c] - fitted[c][0]) / fitted[c][1] for c in FEATURES])

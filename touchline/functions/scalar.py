@@ -42,6 +42,11 @@ def rest_group(days: Column | str) -> Column:
     return F.when(col(days) <= 5, col(days).cast("string")).otherwise(">5")
 
 
+def rest_number(group: Column | str) -> Column:
+    """A rest group as a number; null where it is not one, as for '>5'."""
+    return col(group).try_cast("int")
+
+
 def relative_rest(own: Column | str, other: Column | str) -> Column:
     """more, less or same; null where either is unknown."""
     return F.when(col(own) > col(other), "more").when(col(own) < col(other), "less").when(col(own) == col(other), "same")

@@ -2,30 +2,36 @@
 
 A model is one PipelineModel, scaler included, so that what was fitted is what predicts. Gradient boosting is three one-vs-rest
 classifiers whose probabilities are normalised: Spark has no multi-class boosting, and this stands in for two boosting libraries.
+The type catboost takes text columns among its features as categories, unencoded; the other types want numbers.
 """
 
 from __future__ import annotations
 
 import itertools
 import json
+import math
 import random
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SEED = 42
 LABELS = (0, 1, 2)
 MODEL_TYPES = ("logistic_regression", "random_forest", "xgboost", "catboost")
 #: Parameters that the search draws from. Unlimited depth is Spark's deepest, 30; Spark has no least size to split.
 FOREST_GRID = {"numTrees": (100, 200, 500), "maxDepth": (5, 10, 30), "minInstancesPerNode": (1, 2, 4)}
+#: Depth of the trees and size of a step of the two boosters.
+BOOSTING = {"xgboost": (6, 0.3), "catboost": (6, 0.1)}
 EPS = 1e-15
 
 
@@ -44,14 +50,26 @@ class MatchPredictor:
     features: list[str]
     models: list[PipelineModel] | None = None
     trees: int = 100
-    rounds: int = 20
+    rounds: int = 200
 
     def __post_init__(self):
         if self.model_type not in MODEL_TYPES:
             raise ValueError(f"unknown model type: {self.model_type}")
 
-    def _assembler(self) -> VectorAssembler:
-        return VectorAssembler(inputCols=self.features, outputCol="raw_features")
+    def _assembler(self, text: tuple[str, ...] = ()) -> VectorAssembler:
+        return VectorAssembler(inputCols=[f"{f}__index" if f in text else f for f in self.features], outputCol="raw_features")
+
+    def _boosted(self, train: DataFrame) -> list[PipelineModel]:
+        """A booster for each label. Text features become categories (unseen and null ones a category of their own), which trees split as sets."""
+        depth, step = BOOSTING[self.model_type]
+        text = tuple(f for f in self.features if self.model_type == "catboost" and train.schema[f].dataType == StringType())
+        stages, bins = [], 32
+        if text:
+            stages.append(StringIndexer(inputCols=list(text), outputCols=[f"{f}__index" for f in text], handleInvalid="keep").fit(train))
+            bins = max(bins, *[len(labels) + 1 for labels in stages[0].labelsArray])
+        boost = lambda i: GBTClassifier(featuresCol="raw_features", labelCol=f"is_{i}", seed=SEED, maxIter=self.rounds, maxDepth=depth, stepSize=step, maxBins=bins)
+        flagged = train.withColumns({f"is_{i}": (F.col("label") == i).cast("double") for i in LABELS})
+        return [Pipeline(stages=[*stages, self._assembler(text), boost(i)]).fit(flagged) for i in LABELS]
 
     def fit(self, train: DataFrame, search: bool = False, combinations: int = 10, folds: int = 5, grid: dict[str, tuple] | None = None) -> MatchPredictor:
         """Fit on rows with the features and label. search (forest only): cross-validated choice among that many drawn combinations."""
@@ -61,17 +79,19 @@ class MatchPredictor:
                 raise ValueError("no rows to fit on")
             if self.model_type == "logistic_regression":
                 # The ridge penalty of one half of the squared weights against the summed loss, as 1 / n against the mean.
-                lr = LogisticRegression(featuresCol="features", family="multinomial", maxIter=1000, regParam=1.0 / max(1, train.count()), standardization=False)
-                scale = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)
-                self.models = [Pipeline(stages=[self._assembler(), scale, lr]).fit(train)]
+                n = train.count()
+                lr = LogisticRegression(featuresCol="features", family="multinomial", maxIter=1000, regParam=1.0 / n, standardization=False)
+                scale = StandardScaler(inputCol="raw_features", outputCol="sample_features", withMean=True)
+                # Spark divides by the sample's deviation; z-scores here are by the population's, as in features.scaler.
+                to_population = Vectors.dense([math.sqrt(n / max(1, n - 1))] * len(self.features))
+                population = ElementwiseProduct(inputCol="sample_features", outputCol="features", scalingVec=to_population)
+                self.models = [Pipeline(stages=[self._assembler(), scale, population, lr]).fit(train)]
             elif self.model_type == "random_forest":
                 forest = RandomForestClassifier(featuresCol="raw_features", seed=SEED, numTrees=self.trees)
                 pipe = Pipeline(stages=[self._assembler(), forest])
                 self.models = [search_forest(pipe, forest, train, combinations, folds, grid or FOREST_GRID).bestModel if search else pipe.fit(train)]
             else:
-                boost = lambda i: GBTClassifier(featuresCol="raw_features", labelCol=f"is_{i}", seed=SEED, maxIter=self.rounds, maxDepth=4, stepSize=0.1)
-                flagged = train.withColumns({f"is_{i}": (F.col("label") == i).cast("double") for i in LABELS})
-                self.models = [Pipeline(stages=[self._assembler(), boost(i)]).fit(flagged) for i in LABELS]
+                self.models = self._boosted(train)
         finally:
             train.unpersist()
         return self
@@ -79,8 +99,9 @@ class MatchPredictor:
     def predict(self, rows: DataFrame) -> DataFrame:
         """rows with p_0, p_1, p_2 and prediction."""
         out = rows.drop("prediction")
+        made = ["features", "sample_features", "raw_features", "rawPrediction", "probability", "prediction", *[f"{f}__index" for f in self.features]]
         for i, model in enumerate(self.models):
-            out = model.transform(out).withColumn(f"__p{i}", vector_to_array("probability")).drop("features", "raw_features", "rawPrediction", "probability", "prediction")
+            out = model.transform(out).withColumn(f"__p{i}", vector_to_array("probability")).drop(*made)
         if len(self.models) == 1:
             return _proba([F.get("__p0", F.lit(i)) for i in LABELS], out).drop("__p0")
         return _proba([F.col(f"__p{i}")[1] for i in LABELS], out).drop(*[f"__p{i}" for i in LABELS])
@@ -175,11 +196,14 @@ class Calibrated:
         return _proba([F.greatest(F.col(f"c_{i}"), F.lit(0.0)) for i in LABELS], out).drop("c_0", "c_1", "c_2")
 
 
-def compare_models(train: DataFrame, test: DataFrame, features: list[str], types: tuple[str, ...] = MODEL_TYPES, **options: int) -> DataFrame:
-    """model, log_loss, accuracy: a row for each model type; logistic regression is calibrated."""
+def compare_models(
+    train: DataFrame, test: DataFrame, features: list[str], types: tuple[str, ...] = MODEL_TYPES, raw: tuple[DataFrame, DataFrame, list[str]] | None = None, **options: int
+) -> DataFrame:
+    """model, log_loss, accuracy: a row for each model type; logistic regression is calibrated. raw: train, test and features of catboost, with its categories unencoded."""
     out = None
     for kind in types:
-        fitted = Calibrated.fit(kind, features, train, **options) if kind == "logistic_regression" else MatchPredictor(kind, features, **options).fit(train)
-        row = evaluate(fitted.predict(test)).select(F.lit(kind).alias("model"), "log_loss", "accuracy")
+        own_train, own_test, names = raw if raw and kind == "catboost" else (train, test, features)
+        fitted = Calibrated.fit(kind, names, own_train, **options) if kind == "logistic_regression" else MatchPredictor(kind, names, **options).fit(own_train)
+        row = evaluate(fitted.predict(own_test)).select(F.lit(kind).alias("model"), "log_loss", "accuracy")
         out = row if out is None else out.unionByName(row)
     return out

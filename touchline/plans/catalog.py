@@ -6,12 +6,14 @@ The tables stand in for match files: see sources.fixtures. Doubles are rounded t
 from __future__ import annotations
 
 import datetime
+import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from touchline import schema as S
 from touchline.functions import scalar
 from touchline.operators import enrich, features, lookups, models, rest
 from touchline.sources import files, fixtures
@@ -97,10 +99,19 @@ VOCABULARIES = {"home_team": list(TEAMS), "away_team": list(TEAMS), "home_team_c
 NAMES = [*features.NUMERIC, *features.encoded_names(VOCABULARIES)]
 
 
+CATEGORIES = list(VOCABULARIES)
+RAW_NAMES = [*features.NUMERIC, *CATEGORIES]
+
+
 def complete(spark: SparkSession, d: str) -> DataFrame:
     return features.build_features(prepared(spark, d), VOCABULARIES)
 
 
+def complete_raw(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows with teams and confederations as they are."""
+    return features.build_features(prepared(spark, d), {})
+
+
 # Lookups.
 
 FORM = f"""
@@ -244,6 +255,11 @@ def rest_group(spark, d):
     return view(spark, d).select("match_id", "team", "team_days_rest", "opponent_days_rest", "rest_group", "relative_rest")
 
 
+@registered("rest_group_number", "SELECT match_id, team, rest_group, TRY_CAST(rest_group AS INTEGER) AS days FROM grouped", *REST)
+def rest_group_number(spark, d):
+    return view(spark, d).select("match_id", "team", "rest_group", scalar.rest_number("rest_group").alias("days"))
+
+
 RATE = "round(avg(CASE WHEN team_result = 1 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS win_rate, count(*) AS matches"
 
 
@@ -406,6 +422,18 @@ def inference_row(spark, d):
     return features.inference_row(chosen(spark, d), "NATION_6", "NATION_11", NAMES)
 
 
+LAST = "(SELECT coalesce(round(max({c}), 6), 0.0) FROM (SELECT * FROM rolled WHERE {team} = '{nation}' ORDER BY date DESC, match_id DESC LIMIT 1)) AS {c}"
+LATEST = "(SELECT coalesce(round(avg(goal_diff), 6), 0.0) FROM paired WHERE matchup_id = 'NATION_11_NATION_6') AS head_to_head_goal_diff, " + ", ".join(
+    LAST.format(c=c, team=team, nation="NATION_6" if team == "home_team" else "NATION_11") for c, (team, _) in features.ROLLING.items()
+)
+
+
+@registered("inference_row_latest", f"SELECT {LATEST}, " + INFER.split(", ", len(features.NUMERIC))[-1], "chosen", "paired", "h2h", "rolled")
+def inference_row_latest(spark, d):
+    row = features.inference_row(chosen(spark, d), "NATION_6", "NATION_11", NAMES, mode="latest")
+    return row.withColumns({c: r6(c) for c in features.NUMERIC})
+
+
 @registered("class_distribution", "SELECT label, count(*) AS matches FROM complete GROUP BY label", *FEATURES)
 def class_distribution(spark, d):
     return complete(spark, d).groupBy("label").agg(F.count("*").alias("matches"))
@@ -464,9 +492,24 @@ def coef_abs_sorted(spark, d):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in a folder that all executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/touchline-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share (spark.checkpoint.dir; in local mode one of our own where that is unset), deleted when the driver ends."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{(root or tempfile.gettempdir()).rstrip('/')}/touchline-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jpath)  # only what exists is marked for deletion
+    fs.deleteOnExit(jpath)
+    return f"{path}/files"
+
+
+def reread(df: DataFrame, reader: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """df written as CSV and read back by the reader."""
+    path = scratch(df.sparkSession)
+    files.write_csv(df, path)
+    return reader(df.sparkSession, path)
 
 
 SINK = "SELECT date, home_team, away_team, home_score, away_score, tournament, city, country, neutral FROM matches"
@@ -474,9 +517,34 @@ SINK = "SELECT date, home_team, away_team, home_score, away_score, tournament, c
 
 @registered("csv_round_trip", SINK)
 def csv_round_trip(spark, d):
-    path = scratch(spark)
-    files.write_csv(fixtures.matches(spark, d).drop("match_id"), path)
-    return files.read_results(spark, path)
+    return reread(fixtures.matches(spark, d).drop("match_id"), files.read_results)
+
+
+@registered("csv_countries", "SELECT country, confederation FROM countries")
+def csv_countries(spark, d):
+    return reread(fixtures.countries(spark, d), files.read_countries)
+
+
+@registered("csv_goalscorers", 'SELECT date, home_team, away_team, team, scorer, "minute" FROM goals')
+def csv_goalscorers(spark, d):
+    return reread(fixtures.goals(spark, d), files.read_goalscorers)
+
+
+@registered("csv_enriched_matches", f"""SELECT {SINK[7:-13]}, h.confederation AS home_team_confederation, a.confederation AS away_team_confederation FROM matches m
+LEFT JOIN countries h ON m.home_team = h.country LEFT JOIN countries a ON m.away_team = a.country""".replace("city, country,", "city, m.country,"))
+def csv_enriched_matches(spark, d):
+    return reread(with_confederations(spark, d).select(S.MATCHES.names), files.read_matches)
+
+
+@registered("csv_results_with_goals", f'SELECT m.* EXCLUDE (match_id), g.team, g.scorer, g."minute" AS "minute" {JOINED}')
+def csv_results_with_goals(spark, d):
+    return reread(with_goals(spark, d).select(*S.RESULTS.names, "team", "scorer", "minute"), files.read_results_with_goals)
+
+
+@registered("csv_header", "SELECT unnest(['date', 'home_team', 'away_team', 'team', 'scorer', 'minute']) AS name")
+def csv_header(spark, d):
+    """The names alone of a written file."""
+    return reread(fixtures.goals(spark, d), lambda s, path: s.createDataFrame([(n,) for n in files.header(s, path)], "name string"))
 
 
 @registered("parquet_round_trip", SINK)
@@ -486,17 +554,20 @@ def parquet_round_trip(spark, d):
     return spark.read.parquet(path)
 
 
-# Models: rows only, as no SQL fits them.
+# Models. No SQL fits them; what must hold of every prediction is checked by the queries named *_checked. Forests and boosters are smaller here than by default.
+
 
+def parts(spark, d, rows: Callable[[SparkSession, str], DataFrame] = complete) -> tuple[DataFrame, DataFrame]:
+    split = features.split_test(rows(spark, d))
+    return split.filter(~F.col("is_test")), split.filter("is_test")
 
-def parts(spark, d) -> tuple[DataFrame, DataFrame]:
-    rows = features.split_test(complete(spark, d)).cache()
-    return rows.filter(~F.col("is_test")), rows.filter("is_test")
+
+PREDICTED = ["match_id", "label", "p_0", "p_1", "p_2", "prediction"]
 
 
 def predictions(spark, d, kind: str) -> DataFrame:
-    train, test = parts(spark, d)
-    return models.MatchPredictor(kind, NAMES, trees=40, rounds=10).fit(train).predict(test).select("match_id", "label", "p_0", "p_1", "p_2", "prediction")
+    train, test = parts(spark, d, complete_raw if kind == "catboost" else complete)
+    return models.MatchPredictor(kind, RAW_NAMES if kind == "catboost" else NAMES, trees=40, rounds=10).fit(train).predict(test).select(PREDICTED)
 
 
 @registered("lr_predictions")
@@ -514,10 +585,15 @@ def gbt_predictions(spark, d):
     return predictions(spark, d, "xgboost")
 
 
+@registered("catboost_predictions")
+def catboost_predictions(spark, d):
+    return predictions(spark, d, "catboost")
+
+
 @registered("calibrated_predictions")
 def calibrated_predictions(spark, d):
     train, test = parts(spark, d)
-    return models.Calibrated.fit("logistic_regression", NAMES, train, folds=3).predict(test).select("match_id", "label", "p_0", "p_1", "p_2", "prediction")
+    return models.Calibrated.fit("logistic_regression", NAMES, train, folds=3).predict(test).select(PREDICTED)
 
 
 @registered("saved_model_predictions")
@@ -525,7 +601,7 @@ def saved_model_predictions(spark, d):
     train, test = parts(spark, d)
     path = scratch(spark)
     models.MatchPredictor("logistic_regression", NAMES).fit(train).save(spark, path)
-    return models.MatchPredictor.load(spark, path).predict(test).select("match_id", "label", "p_0", "p_1", "p_2", "prediction")
+    return models.MatchPredictor.load(spark, path).predict(test).select(PREDICTED)
 
 
 @registered("rf_search_predictions")
@@ -534,7 +610,7 @@ def rf_search_predictions(spark, d):
     train, test = parts(spark, d)
     grid = {"numTrees": (10, 20), "maxDepth": (3, 5), "minInstancesPerNode": (1, 4)}
     own = models.MatchPredictor("random_forest", NAMES).fit(train, search=True, combinations=3, folds=2, grid=grid)
-    return own.predict(test).select("match_id", "label", "p_0", "p_1", "p_2", "prediction")
+    return own.predict(test).select(PREDICTED)
 
 
 @registered("rf_importance")
@@ -557,4 +633,63 @@ def predict_match(spark, d):
 @registered("model_comparison")
 def model_comparison(spark, d):
     train, test = parts(spark, d)
-    return models.compare_models(train, test, NAMES, trees=40, rounds=5)
+    return models.compare_models(train, test, NAMES, raw=(*parts(spark, d, complete_raw), RAW_NAMES), trees=40, rounds=5)
+
+
+def checked(predicted: DataFrame) -> DataFrame:
+    """Whether the three probabilities sum to one, none is outside 0 to 1, and the prediction is a most likely class."""
+    p = [F.col(f"p_{i}") for i in models.LABELS]
+    own = F.when(F.col("prediction") == 0, p[0]).when(F.col("prediction") == 1, p[1]).otherwise(p[2])
+    sound = (F.abs(p[0] + p[1] + p[2] - 1) < 1e-9) & (F.least(*p) >= 0) & (F.greatest(*p) <= 1)
+    return predicted.select("match_id", "label", sound.alias("is_distribution"), (own >= F.greatest(*p)).alias("is_most_likely"))
+
+
+def register_checked(name: str) -> None:
+    body = "SELECT match_id, label, TRUE AS is_distribution, TRUE AS is_most_likely FROM split WHERE is_test"
+    registered(f"{name}_checked", body, *FEATURES, "split")(lambda spark, d: checked(QUERIES[name](spark, d)))
+
+
+for _name in ("lr", "rf", "gbt", "catboost", "calibrated", "rf_search"):
+    register_checked(f"{_name}_predictions")
+
+
+@registered("saved_model_checked", "SELECT match_id, TRUE AS same FROM split WHERE is_test", *FEATURES, "split")
+def saved_model_checked(spark, d):
+    """A forest and what was loaded of it predict the same."""
+    train, test = parts(spark, d)
+    own = models.MatchPredictor("random_forest", NAMES, trees=20).fit(train)
+    path = scratch(spark)
+    own.save(spark, path)
+    both = [m.predict(test).select("match_id", F.struct("p_0", "p_1", "p_2", "prediction").alias(n)) for m, n in ((own, "a"), (models.MatchPredictor.load(spark, path), "b"))]
+    return both[0].join(both[1], "match_id").select("match_id", (F.col("a") == F.col("b")).alias("same"))
+
+
+NAMED = "(VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") AS v(Feature)"
+
+
+@registered("rf_importance_checked", f"SELECT Feature, TRUE AS is_share FROM {NAMED}")
+def rf_importance_checked(spark, d):
+    """Every feature has a share of the forest's importance, and the shares sum to one."""
+    rows = rf_importance(spark, d)
+    whole = rows.agg((F.abs(F.sum("Importance") - 1) < 1e-9).alias("whole"))
+    return rows.join(F.broadcast(whole)).select("Feature", (F.col("whole") & F.col("Importance").between(0, 1)).alias("is_share"))
+
+
+@registered("lr_importance_checked", f"SELECT Feature, Feature LIKE '%confederation%' AS is_zero FROM {NAMED}")
+def lr_importance_checked(spark, d):
+    """Every feature has a weight; constant columns have none, whatever the fit."""
+    return lr_importance(spark, d).select("Feature", (F.abs("Importance") < 1e-12).alias("is_zero"))
+
+
+@registered("predict_match_checked", "SELECT TRUE AS is_distribution, TRUE AS percents_agree")
+def predict_match_checked(spark, d):
+    each = ("home", "draw", "away")
+    agree = [F.abs(F.rtrim(F.col(f"{c}_percent"), F.lit("%")).cast("double") - F.col(c) * 100) < 0.0051 for c in each]
+    whole = F.abs(F.col("home") + F.col("draw") + F.col("away") - 1) < 1e-9
+    return predict_match(spark, d).select(whole.alias("is_distribution"), (agree[0] & agree[1] & agree[2]).alias("percents_agree"))
+
+
+@registered("model_comparison_checked", "SELECT unnest(['logistic_regression', 'random_forest', 'xgboost', 'catboost']) AS model, TRUE AS sound")
+def model_comparison_checked(spark, d):
+    """A row for each type, with an accuracy from 0 to 1 and a loss that is not negative."""
+    return model_comparison(spark, d).select("model", (F.col("accuracy").between(0, 1) & (F.col("log_loss") >= 0)).alias("sound"))
