@@ -41,7 +41,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("near duplicates", near_duplicates), ("secret scans", redact_secrets), ("mixing", mix), ("byte-level BPE", tokens)]
 
-#: SQL can express neither the classifier's model nor the tokenizer; the tests hold each stage against a brute-force version.
+#: SQL can express neither the classifier's model nor the tokenizer. Tests hold the later stages against brute force; the first only against its operator, and that by held-out accuracy.
 ORACLE_SQL = None
 
 
