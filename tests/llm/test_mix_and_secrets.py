@@ -212,3 +212,47 @@ def test_private_keys_with_base_matches_in_them_and_other_forms():
     assert values[0] == values[1] and len(values[0]) == 1
     header = "-----BEGIN PRIVATE KEY-----"
     assert [x[:3] for x in secrets.candidates(f"a line {header} begins a key")] == [(5, 7, 7 + len(header))]
+
+
+PHRASES = ["keep your PRIVATE KEY safe", "PRIVATE KEY", "a -----BEGIN RSA PRIVATE KEY", "-----BEGIN PUBLIC KEY----- not a PRIVATE KEY", "-----BEGIN PRIVATE KEY-----\n" * 3, "-----END PRIVATE KEY-----"]
+
+
+def test_texts_that_speak_of_private_keys(spark):
+    """The phrase alone, a header cut off at the end of the text, several headers: all rows come back, and only whole headers are spanned."""
+    df = spark.createDataFrame([(i, t, "en", f"s{i}", 0) for i, t in enumerate(PHRASES)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(df).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: [], 4: [5, 5, 5], 5: []}
+    texts = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert texts == dict(enumerate(PHRASES)) | {4: "[pem]\n" * 3}
+
+
+def test_work_grows_with_the_text():
+    """Twice the lines, at most 2.2 times the comparisons; the stretches that are free are those that brute force finds."""
+    r = random.Random(3)
+    spans = [(a, a + r.randint(1, 9)) for a in (r.randint(0, 500) for _ in range(60))]
+    taken = secrets.Taken(spans)
+    for _ in range(2000):
+        a = r.randint(0, 520)
+        b = a + r.randint(1, 12)
+        assert taken.free(a, b) == (not any(x < b and a < y for x, y in spans))
+
+    class Counted(int):
+        n = 0
+
+        def __gt__(self, other):  # what bisection asks
+            Counted.n += 1
+            return int(self) > int(other)
+
+    def steps(lines):
+        Counted.n = 0
+        own = secrets.Taken([])
+        own.starts, own.stops = [Counted(20 * i) for i in range(lines)], [Counted(20 * i + 9) for i in range(lines)]
+        assert all(own.free(20 * i + 9, 20 * i + 20) for i in range(lines))
+        return Counted.n
+
+    assert 0 < steps(8000) <= 2.2 * steps(4000)
+    # Long runs that only begin like a JWT or a header field end soon, too.
+    assert secrets.jwts("eyJ" * 200_000 + ".x") == []
+    assert secrets.pem_keys("-----BEGIN PRIVATE KEY-----\n" + "Ab" * 200_000)[0][0] == 5
+    both = "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9
+    assert [x[1:] for x in secrets.jwts(f"eyJ {both} eyJx.{both}")] == [(4, 4 + len(both), both), (10 + len(both), 10 + 2 * len(both), both)]

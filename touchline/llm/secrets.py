@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +31,9 @@ ENTROPY = re.compile(r"[A-Za-z0-9+/_=-]{32,}")
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
 PEM_END = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
 #: Where no END line follows: header fields, then runs of base64 between white space, escaped line ends, quotes and the like, and a short last line.
-PEM_BODY = re.compile(r"""(?:(?:\\[nrt]|[\s"'+,>#*;])*(?:[A-Z][A-Za-z-]+:\x20[^\n\\]*(?=\n|\\n)|[A-Za-z0-9+/]{16,}={0,2}))*(?:(?:\\[nrt]|[\s"'+,>#*;])*[A-Za-z0-9+/]{2,15}={1,2}|(?<=[A-Za-z0-9+/])(?:\r?\n|\\n)[A-Za-z0-9+/]{2,15}(?![^\s"'\\]))?""")
-PEM_FIELD = re.compile(r"[A-Z][A-Za-z-]+:\x20[^\n\\]*|\\[nrt]|[^A-Za-z0-9+/=]")
+PEM_BODY = re.compile(r"""(?:(?:\\[nrt]|[\s"'+,>#*;])*(?:[A-Z][A-Za-z-]{1,40}+:\x20[^\n\\]*(?=\n|\\n)|[A-Za-z0-9+/]{16,}={0,2}))*(?:(?:\\[nrt]|[\s"'+,>#*;])*[A-Za-z0-9+/]{2,15}={1,2}|(?<=[A-Za-z0-9+/])(?:\r?\n|\\n)[A-Za-z0-9+/]{2,15}(?![^\s"'\\]))?""")
+PEM_FIELD = re.compile(r"[A-Z][A-Za-z-]{1,40}+:\x20[^\n\\]*|\\[nrt]|[^A-Za-z0-9+/=]")
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 KINDS = ("assign", "access", "hex", "prefixed", "jwt", "pem", "entropy")
 BASE = 3
@@ -59,6 +61,8 @@ def pem_keys(text: str) -> list[tuple[int, int, int, str]]:
     The body is without line ends and header fields, so a key is one value however it is wrapped; a header without a body is its own value.
     """
     out, heads = [], list(PEM.finditer(text))
+    if not heads:
+        return out
     for m, until in zip(heads, [*(h.start() for h in heads[1:]), len(text)], strict=True):
         end = PEM_END.search(text, m.end(), until)
         if end and "-----" in text[m.end() : end.start()]:  # another block begins or ends before: that END is not this key's
@@ -69,6 +73,34 @@ def pem_keys(text: str) -> list[tuple[int, int, int, str]]:
     return out
 
 
+def jwts(text: str) -> list[tuple[int, int, int, str]]:
+    """(4, start, stop, value) of JWTs. Where the first start within a run of their characters fails, so do the later ones: each run is tried once."""
+    out, at = [], text.find("eyJ")
+    while at >= 0:
+        m = JWT.match(text, at)
+        if m:
+            out.append((4, at, m.end(), m[0]))
+        at = text.find("eyJ", m.end() if m else JWT_RUN.match(text, at).end())
+    return out
+
+
+class Taken:
+    """Whether a stretch overlaps none of some spans: they are merged and sorted, so each question is one bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.stops = [], []
+        for a, b in sorted(spans):
+            if self.stops and a <= self.stops[-1]:
+                self.stops[-1] = max(b, self.stops[-1])
+            else:
+                self.starts.append(a)
+                self.stops.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_right(self.stops, a)
+        return i == len(self.stops) or self.starts[i] >= b
+
+
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
     """(kind, start, stop, hash of the value), by start and kind. Offsets are code points; matches of a kind don't overlap.
 
@@ -88,14 +120,12 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
     # A whole key is more than any base match in it or over its header, and covers what else lies within.
     keys = pem_keys(text) if "PRIVATE KEY" in text else []
     taken = [(a, b) for _, a, b, _ in found + keys]
-    free = lambda a, b: not any(x < b and a < y for x, y in taken)
-    more: list[tuple[int, int, int, str]] = []
-    if "eyJ" in text:
-        more += [(4, m.start(), m.end(), m[0]) for m in JWT.finditer(text)]
+    free = Taken(taken).free
+    more = jwts(text)
     for a, b in runs:
         more += [(3, m.start(), m.end(), m[0]) for m in PREFIXED.finditer(text, a, b)]
     more = keys + [x for x in more if free(x[1], x[2])]
-    taken += [(a, b) for _, a, b, _ in more]
+    free = Taken(taken + [(a, b) for _, a, b, _ in more]).free
     for a, b in runs:
         if b - a >= 32:
             for m in ENTROPY.finditer(text, a, b):
