@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe, brown, crf, knnvote, maxmatch, mixing, secrets, simhash, vptree, winnow
+from touchline.llm import bpe, brown, crf, fim, knnvote, maxmatch, mixing, recipes, secrets, simhash, spelling, vptree, winnow
 from touchline.llm.common import table
 
 #: Ranks of the byte-level tokenizer that queries encode by.
@@ -68,6 +68,20 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, "base_sha256", text.alias("spans"), number(lambda s: s["live"]).alias("n_live"), number(lambda s: ~s["live"]).alias("n_example"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restored()).alias("restored_sha256"))
+
+
+def op13_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_vptree_neighbours, op2_winnowing, op3_simhash_near_duplicates, op4_toxicity_crf, op5_quality_neighbours, op6_brown_class_bigram,
-        op7_longest_match_counts, op8_byte_bpe, op9_mixing, op10_secret_ownership, pipeline,
+        op7_longest_match_counts, op8_byte_bpe, op9_mixing, op10_secret_ownership, op11_spelling_variants, op12_fill_in_middle, op13_chunk_recipes, pipeline,
     )
 }
 
@@ -127,4 +141,26 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM running
 """
 
-ORACLE_SQL = {"op1_vptree_neighbours": NEAREST_SQL, "op9_mixing": MIX_SQL}
+MIDDLE_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT doc_id, text, n, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS c2,
+    CAST('0x' || h[17:24] AS BIGINT) % 100 AS h3, CAST('0x' || h[25:32] AS BIGINT) % 100 AS h4 FROM t
+), v AS (
+  SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u
+), w AS (SELECT *, substring(text, 1, a) AS p, substring(text, a + 1, b - a) AS m, substring(text, b + 1, n - b) AS s FROM v)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM w
+"""
+
+RECIPE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(length(text), 0) AS n_chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS sha FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY n_chars DESC, doc_id NULLS LAST) AS i, count(*) OVER (PARTITION BY sha) AS size,
+  first_value(doc_id) OVER (PARTITION BY sha ORDER BY n_chars DESC, doc_id NULLS LAST) AS keep FROM t)
+SELECT doc_id, keep AS keep_id, size AS group_size, i = 1 AS kept, sha AS text_sha256 FROM r
+"""
+
+ORACLE_SQL = {"op12_fill_in_middle": MIDDLE_SQL, "op13_chunk_recipes": RECIPE_SQL, "op1_vptree_neighbours": NEAREST_SQL, "op9_mixing": MIX_SQL}
