@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scalar
+from touchline.operators import ranges
 
 TOURNAMENTS = ("FIFA World Cup qualification", "Copa America", "FIFA World Cup", "Friendly")
 SOUTH_AMERICA = ("Argentina", "Bolivia", "Brazil", "Chile", "Colombia", "Ecuador", "Paraguay", "Peru", "Uruguay", "Venezuela")
@@ -31,26 +32,38 @@ def head_to_head_stats(matches: DataFrame) -> DataFrame:
     return matches.groupBy(scalar.matchup().alias("matchup_id")).agg(F.avg(scalar.goal_diff()).alias("head_to_head_goal_diff"))
 
 
-def with_head_to_head_joined(matches: DataFrame) -> DataFrame:
-    """Head-to-head mean by joining the statistics back: two shuffles of the matches. See with_head_to_head."""
+def with_head_to_head(matches: DataFrame, mode: str = "all", range_days: int = ranges.RANGE_DAYS) -> DataFrame:
+    """Head-to-head mean. mode all: every match of the pairing counts, the present one too; prior: only earlier ones; window: all, as a window.
+
+    all sums partially and joins the few pairings back (broadcast, where Spark finds them small); prior adds sums of ranges of dates, so a pairing is no task;
+    window has a task a pairing and no join.
+    """
     out = matches.withColumn("matchup_id", scalar.matchup()).withColumn("goal_diff", scalar.goal_diff())
-    out = out.join(head_to_head_stats(matches), "matchup_id", "left")
-    return out.withColumn("head_to_head_goal_diff", F.coalesce("head_to_head_goal_diff", F.lit(0.0)))
+    if mode == "all":
+        out = out.join(head_to_head_stats(matches), "matchup_id", "left")
+        return out.withColumn("head_to_head_goal_diff", F.coalesce("head_to_head_goal_diff", F.lit(0.0)))
+    if mode == "window":
+        return out.withColumn("head_to_head_goal_diff", F.coalesce(F.avg("goal_diff").over(Window.partitionBy("matchup_id")), F.lit(0.0)))
+    known = {"__sum": F.coalesce(F.col("goal_diff"), F.lit(0)), "__n": F.col("goal_diff").isNotNull().cast("int")}
+    out = ranges.prefix_sums(out, ["matchup_id"], ranges.date_range("date", range_days), ["date", "match_id"], known)
+    return out.withColumn("head_to_head_goal_diff", F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n")).otherwise(0.0)).drop("__sum", "__n")
 
 
-def with_head_to_head(matches: DataFrame, mode: str = "all") -> DataFrame:
-    """Head-to-head mean as a window: one shuffle. mode all: every match of the pairing counts, the present one too; prior: only earlier ones."""
-    by = Window.partitionBy("matchup_id")
-    if mode == "prior":
-        by = by.orderBy("date", "match_id").rowsBetween(Window.unboundedPreceding, -1)
-    out = matches.withColumn("matchup_id", scalar.matchup()).withColumn("goal_diff", scalar.goal_diff())
-    return out.withColumn("head_to_head_goal_diff", F.coalesce(F.avg("goal_diff").over(by), F.lit(0.0)))
+def with_head_to_head_joined(matches: DataFrame) -> DataFrame:
+    return with_head_to_head(matches)
 
 
-def with_rolling_averages(matches: DataFrame, window: int = 10, only: tuple[str, ...] = tuple(ROLLING)) -> DataFrame:
-    """Mean of the previous ``window`` rows of the team at that venue, in order of date and match_id; null without one."""
-    over = {t: Window.partitionBy(t).orderBy("date", "match_id").rowsBetween(-window, -1) for t in ("home_team", "away_team")}
-    return matches.withColumns({name: F.avg(c).over(over[t]) for name, (t, c) in ROLLING.items() if name in only})
+def with_rolling_averages(matches: DataFrame, window: int = 10, only: tuple[str, ...] = tuple(ROLLING), range_days: int = ranges.RANGE_DAYS, history: DataFrame | None = None) -> DataFrame:
+    """Mean of the previous ``window`` rows of the team at that venue, in order of date and match_id; null without one. history: as in ranges.rolling_means.
+
+    A team's rows are dealt by range of dates, and each range gets the last rows of those before: a team with a third of all rows is no task.
+    """
+    history = matches if history is None else history
+    for team in ("home_team", "away_team"):
+        means = {name: c for name, (t, c) in ROLLING.items() if t == team and name in only}
+        if means:
+            matches = ranges.rolling_means(matches, team, ["date", "match_id"], means, window, ranges.date_range("date", range_days), history)
+    return matches
 
 
 def latest_form(matches: DataFrame, venue: str) -> DataFrame:
@@ -79,7 +92,8 @@ def encoded_names(vocabularies: dict[str, list[str]]) -> list[str]:
 
 def prepare(matches: DataFrame, teams: tuple[str, ...] | None = SOUTH_AMERICA, tournaments: tuple[str, ...] = TOURNAMENTS, since: datetime.date = SINCE, window: int = 10, mode: str = "all") -> DataFrame:
     """Selected matches with head-to-head and rolling averages, before encoding."""
-    return with_rolling_averages(with_head_to_head(select_matches(matches, teams, tournaments, since), mode), window)
+    own = select_matches(matches, teams, tournaments, since)
+    return with_rolling_averages(with_head_to_head(own, mode), window, history=own)
 
 
 def build_features(prepared: DataFrame, vocabularies: dict[str, list[str]], keep: tuple[str, ...] = ("match_id", "date")) -> DataFrame:
@@ -115,17 +129,15 @@ def select_pair(matches: DataFrame, home: str, away: str) -> DataFrame:
 
 
 def split_test(rows: DataFrame, id_col: str = "match_id", share: float = 0.2, seed: int = 42) -> DataFrame:
-    """rows with is_test: the first ceil(share * n) in order of md5(id|seed).
+    """rows with is_test: the first ceil(share * n) in order of md5(id|seed), ranked by 4,096 ranges of the hash."""
+    ranked = ranges.hash_ranked(rows, [], id_col, seed)
+    return ranked.withColumn("is_test", F.col("__rank") <= F.ceil(F.lit(share) * F.col("__count"))).drop("__rank", "__count")
 
-    The order is by 4,096 ranges of the hash: ranks within a range, plus how many rows the ranges before it have.
-    """
-    hashed = rows.withColumn("__h", F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")).cast("binary"))).withColumn("__b", F.substring("__h", 1, 3))
-    sizes = hashed.groupBy("__b").agg(F.count("*").alias("__n"))
-    upto = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of at most 4,096 rows
-    sizes = sizes.withColumn("__before", F.sum("__n").over(upto) - F.col("__n")).withColumn("__all", F.sum("__n").over(Window.partitionBy()))
-    ranked = hashed.withColumn("__rank", F.row_number().over(Window.partitionBy("__b").orderBy("__h", id_col)))
-    out = ranked.join(F.broadcast(sizes.drop("__n")), "__b")
-    return out.withColumn("is_test", F.col("__before") + F.col("__rank") <= F.ceil(F.lit(share) * F.col("__all"))).drop("__h", "__b", "__before", "__rank", "__all")
+
+def with_folds(rows: DataFrame, folds: int = 5, id_col: str = "match_id", label_col: str = "label", seed: int = 42) -> DataFrame:
+    """rows with fold: each label's rows in order of md5(id|seed) are dealt in turn, so sizes differ by one a label at most."""
+    ranked = ranges.hash_ranked(rows, [label_col], id_col, seed)
+    return ranked.withColumn("fold", F.pmod(F.col("__rank") - 1, F.lit(folds)).cast("int")).drop("__rank", "__count")
 
 
 def scaler(rows: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:

@@ -45,12 +45,12 @@ def head_to_head_summary(matches: DataFrame) -> DataFrame:
 
 def scorer_history(results_with_goals: DataFrame, home: str, away: str, tournament: str = QUALIFICATION) -> DataFrame:
     """Goals with a known minute by scorer and team, most first."""
-    sql = """SELECT scorer, team, count(minute) AS goals FROM results_with_goals
+    sql = """SELECT scorer, team, count(minute) AS goals FROM {results_with_goals}
              WHERE home_team = :home AND away_team = :away AND tournament = :tournament GROUP BY scorer, team ORDER BY goals DESC, scorer, team"""
     return query(results_with_goals, "results_with_goals", sql, {"home": home, "away": away, "tournament": tournament})
 
 
 def scorer_rows(results_with_goals: DataFrame, home: str, away: str, tournament: str = QUALIFICATION) -> DataFrame:
     """The rows behind scorer_history."""
-    sql = "SELECT * FROM results_with_goals WHERE home_team = :home AND away_team = :away AND tournament = :tournament"
+    sql = "SELECT * FROM {results_with_goals} WHERE home_team = :home AND away_team = :away AND tournament = :tournament"
     return query(results_with_goals, "results_with_goals", sql, {"home": home, "away": away, "tournament": tournament})

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import scalar
+from touchline.operators import ranges
 
 #: The groups of the report, in order.
 REPORTED = ("4", "5", ">5")
@@ -17,10 +18,10 @@ def team_matches(matches: DataFrame) -> DataFrame:
     return matches.select("match_id", F.col("date").alias("match_date"), F.explode(sides).alias("s")).select("match_id", "s.team", "s.side", "match_date")
 
 
-def previous_match(matches: DataFrame) -> DataFrame:
-    """team_matches with the team's previous date and the days since; a second match on one day has 0."""
-    by = Window.partitionBy("team").orderBy("match_date", "match_id", "side")
-    out = team_matches(matches).withColumn("previous_match_date", F.lag("match_date").over(by))
+def previous_match(matches: DataFrame, range_days: int = ranges.RANGE_DAYS) -> DataFrame:
+    """team_matches with the team's previous date and the days since; a second match on one day has 0. A team's rows are dealt by range of dates."""
+    order = ["match_date", "match_id", "side"]
+    out = ranges.previous_value(team_matches(matches), "team", "match_date", order, "previous_match_date", ranges.date_range("match_date", range_days))
     return out.withColumn("days_rest", F.datediff("match_date", "previous_match_date"))
 
 

@@ -6,8 +6,6 @@ The tables stand in for match files: see sources.fixtures. Doubles are rounded t
 from __future__ import annotations
 
 import datetime
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -83,16 +81,27 @@ def chosen(spark: SparkSession, d: str) -> DataFrame:
     return features.select_matches(fixtures.matches(spark, d), TEAMS, TOURNAMENTS, SINCE)
 
 
+def history(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen matches as a written table, which what works by ranges reads more than once."""
+    return files.written(chosen(spark, d))
+
+
 def quals(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.matches(spark, d).filter(F.col("tournament") == QUAL)
 
 
+def rested(spark: SparkSession, d: str) -> DataFrame:
+    return rest.with_rest_days(files.written(quals(spark, d)))
+
+
 def view(spark: SparkSession, d: str) -> DataFrame:
-    return rest.team_view(rest.with_rest_days(quals(spark, d)))
+    return rest.team_view(rested(spark, d))
 
 
 def prepared(spark: SparkSession, d: str) -> DataFrame:
-    return features.prepare(enrich.with_confederations(fixtures.matches(spark, d), fixtures.countries(spark, d)), TEAMS, TOURNAMENTS, SINCE)
+    """The chosen matches with all features before encoding, from a written table of them."""
+    own = files.written(enrich.with_confederations(chosen(spark, d), fixtures.countries(spark, d)))
+    return features.prepare(own, TEAMS, TOURNAMENTS, SINCE)
 
 
 VOCABULARIES = {"home_team": list(TEAMS), "away_team": list(TEAMS), "home_team_confederation": ["AMERICA"], "away_team_confederation": ["AMERICA"]}
@@ -107,6 +116,11 @@ def complete(spark: SparkSession, d: str) -> DataFrame:
     return features.build_features(prepared(spark, d), VOCABULARIES)
 
 
+def split(spark: SparkSession, d: str, rows: Callable[[SparkSession, str], DataFrame] = complete) -> DataFrame:
+    """Complete rows, made once and written, with is_test."""
+    return features.split_test(files.written(rows(spark, d)))
+
+
 def complete_raw(spark: SparkSession, d: str) -> DataFrame:
     """The same rows with teams and confederations as they are."""
     return features.build_features(prepared(spark, d), {})
@@ -232,17 +246,17 @@ def team_matches_union(spark, d):
 
 @registered("previous_match", "SELECT match_id, team, side, match_date, previous_match_date FROM prev", "quals", "sides", "prev")
 def previous_match(spark, d):
-    return rest.previous_match(quals(spark, d)).drop("days_rest")
+    return rest.previous_match(files.written(quals(spark, d))).drop("days_rest")
 
 
 @registered("days_rest", "SELECT match_id, team, side, CAST(date_diff('day', previous_match_date, match_date) AS INTEGER) AS days_rest FROM prev", "quals", "sides", "prev")
 def days_rest(spark, d):
-    return rest.previous_match(quals(spark, d)).select("match_id", "team", "side", "days_rest")
+    return rest.previous_match(files.written(quals(spark, d))).select("match_id", "team", "side", "days_rest")
 
 
 @registered("match_rest_days", "SELECT match_id, home_days_rest, away_days_rest, rest_diff FROM rested", "quals", "sides", "prev", "rested")
 def match_rest_days(spark, d):
-    return rest.with_rest_days(quals(spark, d)).select("match_id", "home_days_rest", "away_days_rest", "rest_diff")
+    return rested(spark, d).select("match_id", "home_days_rest", "away_days_rest", "rest_diff")
 
 
 @registered("team_result", "SELECT match_id, team, is_home, team_result FROM grouped", *REST)
@@ -328,13 +342,13 @@ def h2h_avg_joined(spark, d):
 
 @registered("h2h_avg_window", H2H, "chosen", "paired", "h2h")
 def h2h_avg_window(spark, d):
-    return h2h(features.with_head_to_head(chosen(spark, d)))
+    return h2h(features.with_head_to_head(chosen(spark, d), "window"))
 
 
 @registered("h2h_avg_prior", """SELECT match_id, round(coalesce(avg(goal_diff) OVER (PARTITION BY matchup_id ORDER BY date, match_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS head_to_head_goal_diff FROM paired""", "chosen", "paired")
 def h2h_avg_prior(spark, d):
-    return h2h(features.with_head_to_head(chosen(spark, d), "prior")).select("match_id", "head_to_head_goal_diff")
+    return h2h(features.with_head_to_head(history(spark, d), "prior")).select("match_id", "head_to_head_goal_diff")
 
 
 @registered("fill_h2h", "SELECT match_id, round(head_to_head_goal_diff, 6) AS head_to_head_goal_diff FROM h2h", "chosen", "paired", "h2h")
@@ -351,7 +365,7 @@ def rolling_sql(venue: str) -> str:
 
 
 def rolled(spark, d, venue: str) -> DataFrame:
-    return features.with_rolling_averages(chosen(spark, d), only=rolling(venue)).select("match_id", *[r6(c).alias(c) for c in rolling(venue)])
+    return features.with_rolling_averages(history(spark, d), only=rolling(venue)).select("match_id", *[r6(c).alias(c) for c in rolling(venue)])
 
 
 @registered("rolling_home", rolling_sql("home"), "chosen", "paired", "h2h", "rolled")
@@ -371,12 +385,12 @@ def latest_sql(venue: str) -> str:
 
 @registered("latest_home_form", latest_sql("home"), "chosen", "paired", "h2h", "rolled")
 def latest_home_form(spark, d):
-    return features.latest_form(chosen(spark, d), "home").select("team", *[r6(c).alias(c) for c in rolling("home")])
+    return features.latest_form(history(spark, d), "home").select("team", *[r6(c).alias(c) for c in rolling("home")])
 
 
 @registered("latest_away_form", latest_sql("away"), "chosen", "paired", "h2h", "rolled")
 def latest_away_form(spark, d):
-    return features.latest_form(chosen(spark, d), "away").select("team", *[r6(c).alias(c) for c in rolling("away")])
+    return features.latest_form(history(spark, d), "away").select("team", *[r6(c).alias(c) for c in rolling("away")])
 
 
 def hot_sql(columns: dict[str, str], values: tuple[str, ...]) -> str:
@@ -441,7 +455,7 @@ def class_distribution(spark, d):
 
 @registered("train_test_split", "SELECT match_id, is_test FROM split", *FEATURES, "split")
 def train_test_split(spark, d):
-    return features.split_test(complete(spark, d).select("match_id")).select("match_id", "is_test")
+    return features.split_test(files.written(complete(spark, d).select("match_id"))).select("match_id", "is_test")
 
 
 Z = ", ".join(f"round(coalesce(({c} - avg({c}) FILTER (WHERE NOT is_test) OVER ()) / nullif(stddev_pop({c}) FILTER (WHERE NOT is_test) OVER (), 0), 0.0), 6) AS {c}" for c in features.NUMERIC)
@@ -449,7 +463,7 @@ Z = ", ".join(f"round(coalesce(({c} - avg({c}) FILTER (WHERE NOT is_test) OVER (
 
 @registered("standardized", f"SELECT match_id, {Z} FROM split", *FEATURES, "split")
 def standardized(spark, d):
-    rows = features.split_test(complete(spark, d))
+    rows = split(spark, d)
     fitted = features.scaler(rows.filter(~F.col("is_test")), features.NUMERIC)
     return rows.select("match_id", *[r6(features.standardized(c, fitted)).alias(c) for c in features.NUMERIC])
 
@@ -467,13 +481,13 @@ def prior(rows: DataFrame) -> DataFrame:
 
 @registered("log_loss_prior", f"SELECT round(-avg(ln(p)), 6) AS log_loss FROM split JOIN ({PRIOR}) USING (label) WHERE is_test", *FEATURES, "split")
 def log_loss_prior(spark, d):
-    return prior(features.split_test(complete(spark, d))).agg(r6(models.log_loss()).alias("log_loss"))
+    return prior(split(spark, d)).agg(r6(models.log_loss()).alias("log_loss"))
 
 
 @registered("accuracy_majority", f"""SELECT round(avg(CASE WHEN label = (SELECT label FROM ({PRIOR}) ORDER BY p DESC, label LIMIT 1) THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy
 FROM split WHERE is_test""", *FEATURES, "split")
 def accuracy_majority(spark, d):
-    return prior(features.split_test(complete(spark, d))).agg(r6(models.accuracy()).alias("accuracy"))
+    return prior(split(spark, d)).agg(r6(models.accuracy()).alias("accuracy"))
 
 
 CORR = " UNION ALL ".join(f"SELECT '{c}' AS Feature, round(corr({c}, goal_diff), 6) AS Importance FROM complete" for c in features.NUMERIC)
@@ -491,23 +505,9 @@ def coef_abs_sorted(spark, d):
 # Sinks: written, then read back.
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir; in local mode one of our own where that is unset), deleted when the driver ends."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root and not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    path = f"{(root or tempfile.gettempdir()).rstrip('/')}/touchline-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(jpath)  # only what exists is marked for deletion
-    fs.deleteOnExit(jpath)
-    return f"{path}/files"
-
-
 def reread(df: DataFrame, reader: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """df written as CSV and read back by the reader."""
-    path = scratch(df.sparkSession)
+    path = files.scratch(df.sparkSession)
     files.write_csv(df, path)
     return reader(df.sparkSession, path)
 
@@ -549,7 +549,7 @@ def csv_header(spark, d):
 
 @registered("parquet_round_trip", SINK)
 def parquet_round_trip(spark, d):
-    path = scratch(spark)
+    path = files.scratch(spark)
     files.write_parquet(fixtures.matches(spark, d).drop("match_id"), path)
     return spark.read.parquet(path)
 
@@ -558,8 +558,8 @@ def parquet_round_trip(spark, d):
 
 
 def parts(spark, d, rows: Callable[[SparkSession, str], DataFrame] = complete) -> tuple[DataFrame, DataFrame]:
-    split = features.split_test(rows(spark, d))
-    return split.filter(~F.col("is_test")), split.filter("is_test")
+    own = files.written(split(spark, d, rows))
+    return own.filter(~F.col("is_test")), own.filter("is_test")
 
 
 PREDICTED = ["match_id", "label", "p_0", "p_1", "p_2", "prediction"]
@@ -599,7 +599,7 @@ def calibrated_predictions(spark, d):
 @registered("saved_model_predictions")
 def saved_model_predictions(spark, d):
     train, test = parts(spark, d)
-    path = scratch(spark)
+    path = files.scratch(spark)
     models.MatchPredictor("logistic_regression", NAMES).fit(train).save(spark, path)
     return models.MatchPredictor.load(spark, path).predict(test).select(PREDICTED)
 
@@ -658,7 +658,7 @@ def saved_model_checked(spark, d):
     """A forest and what was loaded of it predict the same."""
     train, test = parts(spark, d)
     own = models.MatchPredictor("random_forest", NAMES, trees=20).fit(train)
-    path = scratch(spark)
+    path = files.scratch(spark)
     own.save(spark, path)
     both = [m.predict(test).select("match_id", F.struct("p_0", "p_1", "p_2", "prediction").alias(n)) for m, n in ((own, "a"), (models.MatchPredictor.load(spark, path), "b"))]
     return both[0].join(both[1], "match_id").select("match_id", (F.col("a") == F.col("b")).alias("same"))

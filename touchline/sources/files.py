@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +53,26 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def query(df: DataFrame, name: str, sql: str, args: list[Any] | dict[str, Any] | None = None) -> DataFrame:
-    """SQL over a frame registered as a table of that name, with bound parameters."""
-    df.createOrReplaceTempView(name)
-    return df.sparkSession.sql(sql, args=args)
+    """SQL over a frame known as {name} in the text (no view is registered, so callers don't meet), with bound parameters."""
+    return df.sparkSession.sql(sql, args=args, **{name: df})
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir; in local mode one of our own where that is unset), deleted when the driver ends."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{(root or tempfile.gettempdir()).rstrip('/')}/touchline-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jpath)  # only what exists is marked for deletion
+    fs.deleteOnExit(jpath)
+    return f"{path}/files"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet in that folder and read back: cuts lineage, survives lost executors, and is made once however often it is read."""
+    path, schema = scratch(df.sparkSession), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
