@@ -1,8 +1,8 @@
-"""Three-way outcome models (away win 0, draw 1, home win 2) with Spark ML: fit, save, load, predict, evaluate, compare.
+"""Three-way outcome models (away win 0, draw 1, home win 2): fit, save, load, predict, evaluate, compare.
 
-A model is one PipelineModel, scaler included, so that what was fitted is what predicts. Gradient boosting is three one-vs-rest
-classifiers whose probabilities are normalised: Spark has no multi-class boosting, and this stands in for two boosting libraries.
-The type catboost takes text columns among its features as categories, unencoded; the other types want numbers.
+Logistic regression is one Spark ML pipeline, scaler included. Forests and boosters are tables of nodes (see trees): soft-max boosting by second derivatives stands
+in for one boosting library, symmetric trees over ordered target statistics for another. The type catboost takes text columns among its features as
+categories, unencoded; the other types want numbers.
 """
 
 from __future__ import annotations
@@ -11,27 +11,31 @@ import itertools
 import json
 import math
 import random
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from touchline.operators import encoding, features, isotonic, trees
+
 SEED = 42
 LABELS = (0, 1, 2)
 MODEL_TYPES = ("logistic_regression", "random_forest", "xgboost", "catboost")
-#: Parameters that the search draws from. Unlimited depth is Spark's deepest, 30; Spark has no least size to split.
-FOREST_GRID = {"numTrees": (100, 200, 500), "maxDepth": (5, 10, 30), "minInstancesPerNode": (1, 2, 4)}
-#: Depth of the trees and size of a step of the two boosters.
-BOOSTING = {"xgboost": (6, 0.3), "catboost": (6, 0.1)}
+#: Parameters that the forest's search draws from; no depth is no limit.
+FOREST_GRID = {"trees": (100, 200, 500), "depth": (10, 20, None), "least_split": (2, 5, 10), "least_leaf": (1, 2, 4)}
+#: What the boosters are grown by: depth, size of a step, penalty of squared leaf values, least second derivative in a leaf.
+BOOSTING = {"xgboost": {"depth": 6, "step": 0.3, "l2": 1.0, "least_weight": 1.0}, "catboost": {"depth": 6, "step": 0.1, "l2": 3.0, "symmetric": True}}
+#: Models that are fitted at one time in a search.
+PARALLEL = 4
 EPS = 1e-15
 
 
@@ -44,67 +48,71 @@ def _proba(values: list[Column], like: DataFrame) -> DataFrame:
 
 @dataclass
 class MatchPredictor:
-    """An outcome model of one type over the named features."""
+    """An outcome model of one type over the named features. options: of trees.fit_forest or trees.fit_boosted."""
 
     model_type: str
     features: list[str]
-    models: list[PipelineModel] | None = None
-    trees: int = 100
-    rounds: int = 200
+    options: dict[str, Any] = field(default_factory=dict)
+    pipeline: PipelineModel | None = None
+    tree_model: trees.TreeModel | None = None
+    #: Text features and what their categories came with (catboost).
+    text: list[str] = field(default_factory=list)
+    known: DataFrame | None = None
 
     def __post_init__(self):
         if self.model_type not in MODEL_TYPES:
             raise ValueError(f"unknown model type: {self.model_type}")
 
-    def _assembler(self, text: tuple[str, ...] = ()) -> VectorAssembler:
-        return VectorAssembler(inputCols=[f"{f}__index" if f in text else f for f in self.features], outputCol="raw_features")
-
-    def _boosted(self, train: DataFrame) -> list[PipelineModel]:
-        """A booster for each label. Text features become categories (unseen and null ones a category of their own), which trees split as sets."""
-        depth, step = BOOSTING[self.model_type]
-        text = tuple(f for f in self.features if self.model_type == "catboost" and train.schema[f].dataType == StringType())
-        stages, bins = [], 32
-        if text:
-            stages.append(StringIndexer(inputCols=list(text), outputCols=[f"{f}__index" for f in text], handleInvalid="keep").fit(train))
-            bins = max(bins, *[len(labels) + 1 for labels in stages[0].labelsArray])
-        boost = lambda i: GBTClassifier(featuresCol="raw_features", labelCol=f"is_{i}", seed=SEED, maxIter=self.rounds, maxDepth=depth, stepSize=step, maxBins=bins)
-        flagged = train.withColumns({f"is_{i}": (F.col("label") == i).cast("double") for i in LABELS})
-        return [Pipeline(stages=[*stages, self._assembler(text), boost(i)]).fit(flagged) for i in LABELS]
-
-    def fit(self, train: DataFrame, search: bool = False, combinations: int = 10, folds: int = 5, grid: dict[str, tuple] | None = None) -> MatchPredictor:
-        """Fit on rows with the features and label. search (forest only): cross-validated choice among that many drawn combinations."""
+    def _fit_regression(self, train: DataFrame) -> PipelineModel:
+        """The ridge penalty of one half of the squared weights against the summed loss, as 1 / n against the mean."""
+        n = train.count()
+        lr = LogisticRegression(featuresCol="features", family="multinomial", maxIter=1000, tol=1e-9, regParam=1.0 / n, standardization=False)
+        scale = StandardScaler(inputCol="raw_features", outputCol="sample_features", withMean=True)
+        # Spark divides by the sample's deviation; z-scores here are by the population's, as in features.scaler.
+        to_population = Vectors.dense([math.sqrt(n / max(1, n - 1))] * len(self.features))
+        population = ElementwiseProduct(inputCol="sample_features", outputCol="features", scalingVec=to_population)
+        return Pipeline(stages=[VectorAssembler(inputCols=self.features, outputCol="raw_features"), scale, population, lr]).fit(train)
+
+    def fit(self, train: DataFrame, search: bool | None = None, combinations: int = 10, folds: int = 5, grid: dict[str, tuple] | None = None) -> MatchPredictor:
+        """Fit on rows with match_id, the features and label. A forest is searched (cross-validated choice among ``combinations`` draws of the grid) unless options are given."""
         train = train.withColumn("label", F.col("label").cast("double")).cache()
         try:
             if train.isEmpty():
                 raise ValueError("no rows to fit on")
             if self.model_type == "logistic_regression":
-                # The ridge penalty of one half of the squared weights against the summed loss, as 1 / n against the mean.
-                n = train.count()
-                lr = LogisticRegression(featuresCol="features", family="multinomial", maxIter=1000, regParam=1.0 / n, standardization=False)
-                scale = StandardScaler(inputCol="raw_features", outputCol="sample_features", withMean=True)
-                # Spark divides by the sample's deviation; z-scores here are by the population's, as in features.scaler.
-                to_population = Vectors.dense([math.sqrt(n / max(1, n - 1))] * len(self.features))
-                population = ElementwiseProduct(inputCol="sample_features", outputCol="features", scalingVec=to_population)
-                self.models = [Pipeline(stages=[self._assembler(), scale, population, lr]).fit(train)]
+                self.pipeline = self._fit_regression(train)
             elif self.model_type == "random_forest":
-                forest = RandomForestClassifier(featuresCol="raw_features", seed=SEED, numTrees=self.trees)
-                pipe = Pipeline(stages=[self._assembler(), forest])
-                self.models = [search_forest(pipe, forest, train, combinations, folds, grid or FOREST_GRID).bestModel if search else pipe.fit(train)]
+                if search is None:
+                    search = not self.options
+                if search:
+                    scores = search_forest(self.features, train, combinations, folds, grid or FOREST_GRID, self.options)
+                    self.options = self.options | min(scores, key=lambda x: x[0])[1]
+                self.tree_model = trees.fit_forest(train, self.features, **self.options)
             else:
-                self.models = self._boosted(train)
+                self.text = [f for f in self.features if self.model_type == "catboost" and train.schema[f].dataType == StringType()]
+                rows = train
+                if self.text:
+                    counts = encoding.statistics(train, self.text)
+                    self.known = train.sparkSession.createDataFrame(counts.collect(), encoding.STATISTICS)  # a row a category
+                    rows = encoding.ordered(train, self.text)
+                self.tree_model = trees.fit_boosted(rows, self._tree_features(), **(BOOSTING[self.model_type] | self.options))
         finally:
             train.unpersist()
         return self
 
+    def _tree_features(self) -> list[str]:
+        return [n for f in self.features for n in (encoding.names([f]) if f in self.text else [f])]
+
     def predict(self, rows: DataFrame) -> DataFrame:
         """rows with p_0, p_1, p_2 and prediction."""
         out = rows.drop("prediction")
-        made = ["features", "sample_features", "raw_features", "rawPrediction", "probability", "prediction", *[f"{f}__index" for f in self.features]]
-        for i, model in enumerate(self.models):
-            out = model.transform(out).withColumn(f"__p{i}", vector_to_array("probability")).drop(*made)
-        if len(self.models) == 1:
-            return _proba([F.get("__p0", F.lit(i)) for i in LABELS], out).drop("__p0")
-        return _proba([F.col(f"__p{i}")[1] for i in LABELS], out).drop(*[f"__p{i}" for i in LABELS])
+        if self.pipeline is not None:
+            made = ["features", "sample_features", "raw_features", "rawPrediction", "probability", "prediction"]
+            out = self.pipeline.transform(out).withColumn("__p", vector_to_array("probability")).drop(*made)
+        else:
+            own = encoding.encoded(out, self.known, self.text) if self.text else out
+            out = own.withColumn("__p", self.tree_model.scores()).drop(*encoding.names(self.text))
+        return _proba([F.get("__p", F.lit(i)) for i in LABELS], out).drop("__p")
 
     def predict_match(self, row: DataFrame) -> DataFrame:
         """home, draw and away probabilities, and as percentages."""
@@ -112,41 +120,68 @@ class MatchPredictor:
         return out.withColumns({f"{c}_percent": F.format_string("%.2f%%", F.col(c) * 100) for c in ("home", "draw", "away")})
 
     def importance(self, spark: SparkSession) -> DataFrame:
-        """Feature and Importance: the forest's (largest first), the mean of the boosters', or the weights for an away win (largest size first)."""
-        last = [m.stages[-1] for m in self.models]
-        if self.model_type == "logistic_regression":
-            values = last[0].coefficientMatrix.toArray()[0].tolist()
+        """Feature and Importance: shares of the gain of a forest's or booster's splits (largest first), or the weights for an away win (largest size first)."""
+        if self.pipeline is not None:
+            values = self.pipeline.stages[-1].coefficientMatrix.toArray()[0].tolist()
         else:
-            each = [m.featureImportances.toArray() for m in last]
-            values = (sum(each) / len(each)).tolist()
+            each = dict(zip(self.tree_model.names, self.tree_model.importance(), strict=True))
+            values = [sum(each[n] for n in (encoding.names([f]) if f in self.text else [f])) for f in self.features]
         out = spark.createDataFrame(list(zip(self.features, values, strict=True)), "Feature string, Importance double")
         return out.orderBy(F.abs("Importance").desc(), "Feature")
 
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        """The table of nodes of a forest or booster."""
+        return self.tree_model.nodes(spark)
+
     def save(self, spark: SparkSession, path: str) -> None:
         """All that predicts, the feature list too."""
-        for i, model in enumerate(self.models):
-            model.write().overwrite().save(f"{path}/model_{i}")
-        about = json.dumps({"model_type": self.model_type, "features": self.features, "models": len(self.models)})
-        spark.createDataFrame([(about,)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+        about = {"model_type": self.model_type, "features": self.features, "options": self.options, "text": self.text}
+        if self.pipeline is not None:
+            self.pipeline.write().overwrite().save(f"{path}/model_0")
+        else:
+            m = self.tree_model
+            about |= {"names": m.names, "kind": m.kind, "classes": m.classes}
+            m.nodes(spark).write.mode("overwrite").parquet(f"{path}/nodes")
+            if self.text:
+                self.known.write.mode("overwrite").parquet(f"{path}/categories")
+        spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> MatchPredictor:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
-        return MatchPredictor(about["model_type"], about["features"], [PipelineModel.load(f"{path}/model_{i}") for i in range(about["models"])])
+        out = MatchPredictor(about["model_type"], about["features"], about["options"], text=about["text"])
+        if "names" not in about:
+            out.pipeline = PipelineModel.load(f"{path}/model_0")
+            return out
+        out.tree_model = trees.TreeModel.of(spark.read.parquet(f"{path}/nodes"), about["names"], about["kind"], about["classes"])
+        if out.text:
+            out.known = spark.read.parquet(f"{path}/categories")
+        return out
+
+
+def draws(combinations: int, choices: dict[str, tuple]) -> list[dict[str, Any]]:
+    """A seeded draw of combinations of a grid, without repeats."""
+    every = [dict(zip(choices, values, strict=True)) for values in itertools.product(*choices.values())]
+    return random.Random(SEED).sample(every, min(combinations, len(every)))
 
 
-def search_forest(pipe: Pipeline, forest: RandomForestClassifier, train: DataFrame, combinations: int, folds: int, choices: dict[str, tuple]) -> CrossValidatorModel:
-    """Randomised search: a seeded draw of combinations, stratified folds, least log loss."""
-    every = list(itertools.product(*choices.values()))
-    drawn = random.Random(SEED).sample(every, min(combinations, len(every)))
-    grid = [{forest.getParam(k): v for k, v in zip(choices, values, strict=True)} for values in drawn]
-    judge = MulticlassClassificationEvaluator(metricName="logLoss")
-    return CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=4, seed=SEED).fit(with_folds(train, folds))
+def search_forest(names: list[str], train: DataFrame, combinations: int, folds: int, choices: dict[str, tuple], options: dict[str, Any] | None = None) -> list[tuple[float, dict[str, Any]]]:
+    """(mean log loss over stratified folds, options) of each drawn combination. Forests are fitted a few at a time; each is a few passes over its rows."""
+    dealt = features.with_folds(train, folds).cache()
 
+    def loss(job: tuple[dict[str, Any], int]) -> float:
+        own, i = job
+        model = MatchPredictor("random_forest", names, (options or {}) | own).fit(dealt.filter(F.col("fold") != i), search=False)
+        return evaluate(model.predict(dealt.filter(F.col("fold") == i))).first()["log_loss"]
 
-def with_folds(rows: DataFrame, folds: int = 5, id_col: str = "match_id") -> DataFrame:
-    """rows with a fold by a hash of the label and id, so each label spreads over all folds."""
-    return rows.withColumn("fold", F.pmod(F.xxhash64("label", id_col), F.lit(folds)).cast("int"))
+    try:
+        drawn = draws(combinations, choices)
+        with ThreadPool(PARALLEL) as pool:
+            got = pool.map(inheritable_thread_target(train.sparkSession)(loss), [(own, i) for own in drawn for i in range(folds)])
+    finally:
+        dealt.unpersist()
+    mean = lambda x: sum(v for v in x if v is not None) / max(1, sum(v is not None for v in x))
+    return [(mean(got[i * folds : (i + 1) * folds]), own) for i, own in enumerate(drawn)]
 
 
 def log_loss(label: Column | str = "label") -> Column:
@@ -165,45 +200,81 @@ def evaluate(predicted: DataFrame) -> DataFrame:
 
 @dataclass
 class Calibrated:
-    """A predictor whose probabilities are corrected by isotonic regressions, one a class, fitted on out-of-fold predictions."""
+    """Pairs of a predictor, fitted without one fold, and its isotonic corrections, one a class, fitted on that fold. Their probabilities are averaged."""
 
-    predictor: MatchPredictor
-    isotonic: list
+    pairs: list[tuple[MatchPredictor, list[isotonic.Isotonic]]]
 
     @staticmethod
-    def fit(model_type: str, features: list[str], train: DataFrame, folds: int = 5, **options: int) -> Calibrated:
-        train = with_folds(train, folds)
-        parts = []
-        for i in range(folds):
-            own = MatchPredictor(model_type, features, **options).fit(train.filter(F.col("fold") != i))
-            parts.append(own.predict(train.filter(F.col("fold") == i)).select("label", "p_0", "p_1", "p_2"))
-        held = parts[0]
-        for p in parts[1:]:
-            held = held.unionByName(p)
-        held = held.cache()
-        fitted = []
-        for i in LABELS:
-            rows = held.select((F.col("label") == i).cast("double").alias("y"), F.col(f"p_{i}").alias("x"))
-            fitted.append(IsotonicRegression(featuresCol="x", labelCol="y", predictionCol=f"c_{i}").fit(rows))
-        held.unpersist()
-        return Calibrated(MatchPredictor(model_type, features, **options).fit(train.drop("fold")), fitted)
+    def fit(model_type: str, names: list[str], train: DataFrame, folds: int = 5, **options: Any) -> Calibrated:
+        dealt, pairs = features.with_folds(train, folds).cache(), []
+        try:
+            for i in range(folds):
+                own = MatchPredictor(model_type, names, options).fit(dealt.filter(F.col("fold") != i))
+                held = own.predict(dealt.filter(F.col("fold") == i)).select("label", "p_0", "p_1", "p_2").cache()
+                pairs.append((own, [isotonic.fit(held, F.col(f"p_{k}"), F.col("label") == k) for k in LABELS]))
+                held.unpersist()
+        finally:
+            dealt.unpersist()
+        return Calibrated(pairs)
+
+    def each(self, rows: DataFrame) -> DataFrame:
+        """rows with c_i_k for each pair i and class k: corrected and scaled to sum one, equal where all are 0."""
+        out = rows
+        for i, (own, corrections) in enumerate(self.pairs):
+            out = own.predict(out).withColumns({f"__c_{k}": F.coalesce(f(f"p_{k}"), F.lit(0.0)) for k, f in enumerate(corrections)})
+            total = F.col("__c_0") + F.col("__c_1") + F.col("__c_2")
+            out = out.withColumns({f"c_{i}_{k}": F.when(total > 0, F.col(f"__c_{k}") / total).otherwise(1 / 3) for k in LABELS}).drop("__c_0", "__c_1", "__c_2", "p_0", "p_1", "p_2", "prediction")
+        return out
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        out = self.predictor.predict(rows)
-        for i, iso in enumerate(self.isotonic):
-            out = iso.setFeaturesCol(f"p_{i}").transform(out)
-        out = out.drop("p_0", "p_1", "p_2", "prediction")
-        return _proba([F.greatest(F.col(f"c_{i}"), F.lit(0.0)) for i in LABELS], out).drop("c_0", "c_1", "c_2")
+        out, n = self.each(rows), len(self.pairs)
+        made = [f"c_{i}_{k}" for i in range(n) for k in LABELS]
+        return _proba([sum((F.col(f"c_{i}_{k}") for i in range(1, n)), F.col(f"c_0_{k}")) / n for k in LABELS], out).drop(*made)
 
 
 def compare_models(
-    train: DataFrame, test: DataFrame, features: list[str], types: tuple[str, ...] = MODEL_TYPES, raw: tuple[DataFrame, DataFrame, list[str]] | None = None, **options: int
-) -> DataFrame:
-    """model, log_loss, accuracy: a row for each model type; logistic regression is calibrated. raw: train, test and features of catboost, with its categories unencoded."""
+    train: DataFrame, test: DataFrame, names: list[str], types: tuple[str, ...] = MODEL_TYPES, raw: tuple[DataFrame, DataFrame, list[str]] | None = None,
+    options: dict[str, dict[str, Any]] | None = None, **search: Any,
+) -> DataFrame:
+    """model, log_loss, accuracy: a row for each model type; logistic regression is calibrated, the forest searched. raw: train, test and features of catboost, with its categories unencoded.
+
+    options: of a type's predictor; search: of the forest's search (combinations, folds, grid).
+    """
     out = None
     for kind in types:
-        own_train, own_test, names = raw if raw and kind == "catboost" else (train, test, features)
-        fitted = Calibrated.fit(kind, names, own_train, **options) if kind == "logistic_regression" else MatchPredictor(kind, names, **options).fit(own_train)
+        own_train, own_test, own = raw if raw and kind == "catboost" else (train, test, names)
+        given = (options or {}).get(kind, {})
+        if kind == "logistic_regression":
+            fitted = Calibrated.fit(kind, own, own_train, **given)
+        else:
+            more = {"search": True} | search if kind == "random_forest" else {}
+            fitted = MatchPredictor(kind, own, given).fit(own_train, **more)
         row = evaluate(fitted.predict(own_test)).select(F.lit(kind).alias("model"), "log_loss", "accuracy")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def regression_gradient(model: MatchPredictor, train: DataFrame) -> DataFrame:
+    """label, largest: the largest size of the penalised loss's gradient by a class's weights and intercept, over the training rows in one aggregate. 0 at the optimum."""
+    w = model.pipeline.stages[-1].coefficientMatrix.toArray()
+    scaled = model.pipeline.transform(train.withColumn("label", F.col("label").cast("double")))
+    x = vector_to_array("features")
+    rows = scaled.select("label", vector_to_array("probability").alias("p"), x.alias("x"))
+    parts = []
+    for k in LABELS:
+        error = F.col("p")[k] - (F.col("label") == k).cast("double")
+        parts.append(F.array(*[F.sum(error * F.col("x")[i]) + F.lit(float(w[k, i])) for i in range(w.shape[1])], F.sum(error)).alias(f"g_{k}"))
+    one = rows.agg(*parts, F.count("*").alias("n"))
+    size = lambda k: F.array_max(F.transform(f"g_{k}", lambda g: F.abs(g))) / F.col("n")
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("label"), size(k).alias("largest")) for k in LABELS])).alias("s")).select("s.*")
+
+
+def regression_scores(model: MatchPredictor, rows: DataFrame, train: DataFrame, id_col: str = "match_id") -> DataFrame:
+    """id, p_0, p_1, p_2 from the weights alone, as an expression: z-scores by the training rows' mean and deviation, then the soft-max."""
+    last = model.pipeline.stages[-1]
+    fitted, w, b = features.scaler(train, model.features), last.coefficientMatrix.toArray(), last.interceptVector.toArray()
+    z = [features.standardized(f, fitted) for f in model.features]
+    m = [sum((F.lit(float(w[k, i])) * z[i] for i in range(len(z))), F.lit(float(b[k]))) for k in LABELS]
+    top = F.greatest(*m)
+    e = [F.exp(v - top) for v in m]
+    return rows.select(id_col, *[(v / (e[0] + e[1] + e[2])).alias(f"p_{k}") for k, v in enumerate(e)])

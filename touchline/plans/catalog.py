@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from touchline import schema as S
 from touchline.functions import scalar
-from touchline.operators import enrich, features, lookups, models, rest
+from touchline.operators import encoding, enrich, features, isotonic, lookups, models, rest
+from touchline.plans import tree_sql
 from touchline.sources import files, fixtures
 
 QUAL = "1-URGENT"
@@ -431,9 +432,12 @@ INFER = ", ".join(f'CAST(0 AS DOUBLE) AS {c}' for c in features.NUMERIC) + ", "
 )
 
 
-@registered("inference_row", f"SELECT {INFER}")
+@registered("inference_row", f"SELECT {INFER} FROM (SELECT 1 FROM chosen WHERE home_team = 'NATION_6') LIMIT 1", "chosen")
 def inference_row(spark, d):
-    return features.inference_row(chosen(spark, d), "NATION_6", "NATION_11", NAMES)
+    """The row of zeros but for the two teams, which have to be among the chosen matches."""
+    own = chosen(spark, d)
+    row = features.inference_row(own, "NATION_6", "NATION_11", NAMES)
+    return own.filter(F.col("home_team") == "NATION_6").limit(1).select().join(row)
 
 
 LAST = "(SELECT coalesce(round(max({c}), 6), 0.0) FROM (SELECT * FROM rolled WHERE {team} = '{nation}' ORDER BY date DESC, match_id DESC LIMIT 1)) AS {c}"
@@ -554,7 +558,13 @@ def parquet_round_trip(spark, d):
     return spark.read.parquet(path)
 
 
-# Models. No SQL fits them; what must hold of every prediction is checked by the queries named *_checked. Forests and boosters are smaller here than by default.
+# Models. Boosters are grown again in SQL; of the others SQL holds what must be true: see the queries named *_checked. Models are smaller here than by default.
+
+GBT = {"rounds": 3, "depth": 2, "bins": 32}
+CATBOOST = {"rounds": 3, "depth": 2, "bins": 32}
+FOREST = {"trees": 20, "depth": 5, "least_split": 5, "bins": 32}
+#: The forest's search where a query makes one: the default is ten draws of the whole grid and five folds.
+SEARCH = {"combinations": 3, "folds": 2, "grid": {"trees": (5, 10), "depth": (3, 5), "least_split": (2, 10), "least_leaf": (1, 4)}}
 
 
 def parts(spark, d, rows: Callable[[SparkSession, str], DataFrame] = complete) -> tuple[DataFrame, DataFrame]:
@@ -565,29 +575,145 @@ def parts(spark, d, rows: Callable[[SparkSession, str], DataFrame] = complete) -
 PREDICTED = ["match_id", "label", "p_0", "p_1", "p_2", "prediction"]
 
 
-def predictions(spark, d, kind: str) -> DataFrame:
-    train, test = parts(spark, d, complete_raw if kind == "catboost" else complete)
-    return models.MatchPredictor(kind, RAW_NAMES if kind == "catboost" else NAMES, trees=40, rounds=10).fit(train).predict(test).select(PREDICTED)
+def rounded_predictions(predicted: DataFrame) -> DataFrame:
+    return predicted.select("match_id", "label", *[r6(f"p_{k}").alias(f"p_{k}") for k in models.LABELS], "prediction")
+
+
+def forest(train: DataFrame) -> models.MatchPredictor:
+    return models.MatchPredictor("random_forest", NAMES, FOREST).fit(train)
 
 
 @registered("lr_predictions")
 def lr_predictions(spark, d):
-    return predictions(spark, d, "logistic_regression")
+    train, test = parts(spark, d)
+    return models.MatchPredictor("logistic_regression", NAMES).fit(train).predict(test).select(PREDICTED)
 
 
 @registered("rf_predictions")
 def rf_predictions(spark, d):
-    return predictions(spark, d, "random_forest")
+    train, test = parts(spark, d)
+    return forest(train).predict(test).select(PREDICTED)
+
 
+def with_ctes(ctes: list[tuple[str, str]]) -> str:
+    return "".join(f", {name} AS MATERIALIZED (\n{body}\n)" for name, body in ctes)
 
-@registered("gbt_predictions")
+
+ENCODED = {n: n for n in features.NUMERIC} | {f"{c}_{v}": f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END" for c in ("home_team", "away_team") for v in sorted(TEAMS)}
+ENCODED |= {f"{c}_confederation_AMERICA": "1" for c in ("home_team", "away_team")}  # all chosen teams are
+XGBOOST = models.BOOSTING["xgboost"] | GBT
+GBT_SQL = with_ctes(tree_sql.boosted(ENCODED, "split", **XGBOOST)) + tree_sql.predictions(f"m{GBT['rounds']}")
+
+
+@registered("gbt_predictions", GBT_SQL, *FEATURES, "split")
 def gbt_predictions(spark, d):
-    return predictions(spark, d, "xgboost")
+    """Soft-max boosting by second derivatives."""
+    train, test = parts(spark, d)
+    return rounded_predictions(models.MatchPredictor("xgboost", NAMES, GBT).fit(train).predict(test))
+
+
+TEXT = {"home_team": "home_team", "away_team": "away_team", "home_team_confederation": "'AMERICA'", "away_team_confederation": "'AMERICA'"}
+#: Training rows have ordered statistics, the others those of all training rows.
+WHOLE = ", ".join(
+    f"(SELECT (count(*) FILTER (WHERE t.label = {k}) + 1.0::DOUBLE / 3) / (count(*) + 1) FROM split t WHERE NOT t.is_test AND {e.replace(name, 't.' + name)} = {e.replace(name, 's.' + name)}) AS {name}_of_{k}"
+    for name, e in TEXT.items() for k in range(3)
+)
+CATBOOST_ROWS = [
+    ("learnt", tree_sql.ordered_statistics(TEXT, "(SELECT * FROM split WHERE NOT is_test)", "label", 3)),
+    ("statistics", f"SELECT * FROM learnt UNION ALL SELECT *, {WHOLE} FROM split s WHERE is_test"),
+]
+CATBOOST_FEATURES = {n: n for n in [*features.NUMERIC, *encoding.names(list(TEXT))]}
+SYMMETRIC = models.BOOSTING["catboost"] | CATBOOST
+CATBOOST_SQL = with_ctes([*CATBOOST_ROWS, *tree_sql.boosted(CATBOOST_FEATURES, "statistics", **SYMMETRIC)]) + tree_sql.predictions(f"m{CATBOOST['rounds']}")
 
 
-@registered("catboost_predictions")
+@registered("catboost_predictions", CATBOOST_SQL, *FEATURES, "split")
 def catboost_predictions(spark, d):
-    return predictions(spark, d, "catboost")
+    """Symmetric trees over ordered target statistics of the categories."""
+    train, test = parts(spark, d, complete_raw)
+    return rounded_predictions(models.MatchPredictor("catboost", RAW_NAMES, CATBOOST).fit(train).predict(test))
+
+
+STATISTICS = ", ".join(f"round({n}, 6) AS {n}" for n in encoding.names(["home_team", "away_team"]))
+
+
+@registered("target_statistics", with_ctes(CATBOOST_ROWS[:1]) + f"SELECT match_id, {STATISTICS} FROM learnt", *FEATURES, "split")
+def target_statistics(spark, d):
+    """Teams of the training rows as shares of the results that came before with them, in a drawn order."""
+    own = encoding.ordered(parts(spark, d, complete_raw)[0], ["home_team", "away_team"])
+    return own.select("match_id", *[r6(n).alias(n) for n in encoding.names(["home_team", "away_team"])])
+
+
+@registered("stratified_folds", """SELECT match_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(CAST(match_id AS VARCHAR) || '|42'), match_id) - 1) % 5 AS INTEGER) AS fold
+FROM split WHERE NOT is_test""", *FEATURES, "split")
+def stratified_folds(spark, d):
+    return features.with_folds(parts(spark, d)[0], 5).select("match_id", "label", "fold")
+
+
+ISOTONIC_SQL = """, g AS (SELECT home_team_avg_scored AS x, count(*) AS n, sum(CASE WHEN label = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS y FROM split WHERE NOT is_test GROUP BY x),
+r AS (SELECT x, row_number() OVER (ORDER BY x) AS i, n, y, sum(n) OVER (ORDER BY x) AS cn, sum(y) OVER (ORDER BY x) AS cy FROM g),
+spans AS (SELECT a.i AS a, b.i AS b, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS mean FROM r a JOIN r b ON a.i <= b.i),
+least AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM spans)
+SELECT s.match_id, round(v.p, 6) AS p_home_win FROM split s JOIN r ON s.home_team_avg_scored = r.x JOIN (SELECT b AS i, max(m) AS p FROM least GROUP BY b) v USING (i) WHERE NOT s.is_test"""
+
+
+@registered("isotonic_home_win", ISOTONIC_SQL, *FEATURES, "split")
+def isotonic_home_win(spark, d):
+    """The chance of a home win as a rising function of the home team's goals, on the rows that it is fitted on; in SQL by its definition as a largest least mean."""
+    train, _ = parts(spark, d)
+    rising = isotonic.fit(train, F.col("home_team_avg_scored"), F.col("label") == 2)
+    return train.select("match_id", r6(rising("home_team_avg_scored")).alias("p_home_win"))
+
+
+@registered("lr_optimum_checked", "SELECT unnest([0, 1, 2]) AS label, TRUE AS is_optimum")
+def lr_optimum_checked(spark, d):
+    """Whether the gradient of the penalised loss, summed over the training rows, vanishes for every class."""
+    train, _ = parts(spark, d)
+    own = models.MatchPredictor("logistic_regression", NAMES).fit(train)
+    return models.regression_gradient(own, train).select("label", (F.col("largest") < 1e-4).alias("is_optimum"))
+
+
+def agree(predicted: DataFrame, again: DataFrame) -> DataFrame:
+    """match_id and whether both have the same probabilities, in every row of either."""
+    p = [F.struct(*[F.round(F.col(f"p_{k}"), 9).alias(f"p_{k}") for k in models.LABELS]).alias(n) for n in ("a", "b")]
+    both = predicted.select("match_id", p[0]).join(again.select("match_id", p[1]), "match_id", "full")
+    close = [F.abs(F.col(f"a.p_{k}") - F.col(f"b.p_{k}")) < 1e-8 for k in models.LABELS]
+    return both.select("match_id", F.coalesce(close[0] & close[1] & close[2], F.lit(False)).alias("same"))
+
+
+SAME = "SELECT match_id, TRUE AS same FROM split WHERE is_test"
+
+
+@registered("lr_scores_checked", SAME, *FEATURES, "split")
+def lr_scores_checked(spark, d):
+    """Probabilities from the weights alone, as an expression over the table's own means and deviations."""
+    train, test = parts(spark, d)
+    own = models.MatchPredictor("logistic_regression", NAMES).fit(train)
+    return agree(own.predict(test), models.regression_scores(own, test, train))
+
+
+@registered("rf_walk_checked", SAME, *FEATURES, "split")
+def rf_walk_checked(spark, d):
+    """The forest's table of nodes walked by joins."""
+    train, test = parts(spark, d)
+    own = forest(train)
+    return agree(own.predict(test), own.tree_model.walked(test).select("match_id", *[F.col("scores")[k].alias(f"p_{k}") for k in models.LABELS]))
+
+
+@registered("rf_nodes_checked", """SELECT tree, is_rows, TRUE AS is_sum, TRUE AS is_large, TRUE AS is_least FROM (SELECT unnest(range(20))::INTEGER AS tree), (SELECT count(*) > 1 AS is_rows FROM split WHERE NOT is_test)""", *FEATURES, "split")
+def rf_nodes_checked(spark, d):
+    """Of each tree: whether children have their parent's rows between them, no node below the least size is split, the root has a bootstrap sample's rows, and the impurity at a split falls by its gain."""
+    train, _ = parts(spark, d)
+    nodes, n = forest(train).nodes(spark), train.count()
+    gini = lambda t: F.col(f"{t}.weight") * F.aggregate(f"{t}.values", F.lit(0.0), lambda a, v: a + v * v)
+    x, y, z = (nodes.alias(t) for t in "xyz")
+    split_at = x.join(y, F.expr("x.tree = y.tree and x.left = y.node")).join(z, F.expr("x.tree = z.tree and x.right = z.node"))
+    fair = F.abs(gini("y") + gini("z") - gini("x") - F.col("x.gain")) < 1e-5
+    each = split_at.groupBy("x.tree").agg(
+        F.bool_and(F.expr("x.n = y.n + z.n")).alias("is_sum"), F.bool_and(F.col("x.n") >= FOREST["least_split"]).alias("is_large"), F.bool_and(fair & (F.least("y.n", "z.n") >= 1)).alias("is_least")
+    )
+    roots = nodes.filter("node = 0").select("tree", F.col("n").between(0.4 * n, 0.85 * n).alias("is_rows"))  # 1 - 1 / e of them, give or take
+    return roots.join(each, "tree").select("tree", "is_rows", "is_sum", "is_large", "is_least")
 
 
 @registered("calibrated_predictions")
@@ -596,6 +722,15 @@ def calibrated_predictions(spark, d):
     return models.Calibrated.fit("logistic_regression", NAMES, train, folds=3).predict(test).select(PREDICTED)
 
 
+@registered("calibrated_mean_checked", SAME, *FEATURES, "split")
+def calibrated_mean_checked(spark, d):
+    """Calibrated probabilities are the average of those of each pair of model and corrections."""
+    train, test = parts(spark, d)
+    own = models.Calibrated.fit("logistic_regression", NAMES, train, folds=2)
+    mean = [((F.col(f"c_0_{k}") + F.col(f"c_1_{k}")) / 2).alias(f"p_{k}") for k in models.LABELS]
+    return agree(own.predict(test), own.each(test).select("match_id", *mean))
+
+
 @registered("saved_model_predictions")
 def saved_model_predictions(spark, d):
     train, test = parts(spark, d)
@@ -608,14 +743,12 @@ def saved_model_predictions(spark, d):
 def rf_search_predictions(spark, d):
     """The search over a small grid: the full one is the default of fit."""
     train, test = parts(spark, d)
-    grid = {"numTrees": (10, 20), "maxDepth": (3, 5), "minInstancesPerNode": (1, 4)}
-    own = models.MatchPredictor("random_forest", NAMES).fit(train, search=True, combinations=3, folds=2, grid=grid)
-    return own.predict(test).select(PREDICTED)
+    return models.MatchPredictor("random_forest", NAMES, {"bins": 32}).fit(train, search=True, **SEARCH).predict(test).select(PREDICTED)
 
 
 @registered("rf_importance")
 def rf_importance(spark, d):
-    return models.MatchPredictor("random_forest", NAMES, trees=40).fit(parts(spark, d)[0]).importance(spark)
+    return forest(parts(spark, d)[0]).importance(spark)
 
 
 @registered("lr_importance")
@@ -625,15 +758,17 @@ def lr_importance(spark, d):
 
 @registered("predict_match")
 def predict_match(spark, d):
+    """By a searched forest, as a match is predicted by default."""
     train, _ = parts(spark, d)
-    row = features.inference_row(chosen(spark, d), "NATION_6", "NATION_11", NAMES, mode="latest")
-    return models.MatchPredictor("random_forest", NAMES, trees=40).fit(train).predict_match(row)
+    row = features.inference_row(history(spark, d), "NATION_6", "NATION_11", NAMES, mode="latest")
+    return models.MatchPredictor("random_forest", NAMES, {"bins": 32}).fit(train, search=True, **SEARCH).predict_match(row)
 
 
 @registered("model_comparison")
 def model_comparison(spark, d):
     train, test = parts(spark, d)
-    return models.compare_models(train, test, NAMES, raw=(*parts(spark, d, complete_raw), RAW_NAMES), trees=40, rounds=5)
+    options = {"logistic_regression": {"folds": 5}, "random_forest": {"bins": 32}, "xgboost": GBT, "catboost": CATBOOST}
+    return models.compare_models(train, test, NAMES, raw=(*parts(spark, d, complete_raw), RAW_NAMES), options=options, **SEARCH)
 
 
 def checked(predicted: DataFrame) -> DataFrame:
@@ -657,7 +792,7 @@ for _name in ("lr", "rf", "gbt", "catboost", "calibrated", "rf_search"):
 def saved_model_checked(spark, d):
     """A forest and what was loaded of it predict the same."""
     train, test = parts(spark, d)
-    own = models.MatchPredictor("random_forest", NAMES, trees=20).fit(train)
+    own = forest(train)
     path = files.scratch(spark)
     own.save(spark, path)
     both = [m.predict(test).select("match_id", F.struct("p_0", "p_1", "p_2", "prediction").alias(n)) for m, n in ((own, "a"), (models.MatchPredictor.load(spark, path), "b"))]
