@@ -173,3 +173,32 @@ def test_csv_with_byte_order_mark_and_crlf(spark, tmp_path):
     assert files.header(spark, str(path))[1:3] == ["home_team", "away_team"]
     files.write_csv(df, str(tmp_path / "out"))
     assert files.read_results(spark, str(tmp_path / "out")).collect() == df.collect()
+
+
+def test_periods_that_overlap(spark):
+    """Of periods that hold on a day the one that began last, then the smaller value; open ends; rows of a hot key, without a key or a date, never repeated."""
+    import datetime as dt
+    import random
+
+    r = random.Random(3)
+    day = lambda n: dt.date(2000, 1, 1) + dt.timedelta(days=n)
+    periods = []
+    for i in range(60):
+        a = r.choice([None, r.randint(-200, 900)])
+        b = r.choice([None, (a or 0) + r.randint(-5, 400)])
+        periods.append((r.choice("abc"), None if a is None else day(a), None if b is None else day(b), f"v{r.randint(0, 30)}"))
+    rows = [(i, "a" if i % 3 else r.choice(["b", "c", "none", None]), r.choice([None, day(r.randint(-300, 1300)), day(r.randint(0, 900))])) for i in range(400)]
+    got = enrich.at_period(
+        spark.createDataFrame(rows, "i int, k string, d date"), spark.createDataFrame(periods, "key string, s date, e date, v string"), "k", "d", "now", period_key="key", start="s", end="e", value="v", days=30
+    ).collect()
+    first = dt.date(1, 1, 1)
+
+    def want(k, d):
+        if d is None:
+            return None
+        held = [(-((s or first).toordinal()), v) for key, s, e, v in periods if key == k and (s or first) <= d and (e is None or d <= e) and (e is None or (s or first) <= e)]
+        return min(held)[1] if held else None
+
+    assert {x["i"]: x["now"] for x in got} == {i: want(k, d) for i, k, d in rows} and len(got) == len(rows)
+    none = spark.createDataFrame([], "i int, k string, d date")
+    assert enrich.at_period(none, spark.createDataFrame(periods, "key string, s date, e date, v string"), "k", "d", "now", period_key="key", start="s", end="e", value="v").count() == 0

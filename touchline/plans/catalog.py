@@ -189,7 +189,8 @@ def scorer_rows(spark, d):
 
 @registered("results_with_goals", f"SELECT {GOAL_COLUMNS} {JOINED}")
 def results_with_goals(spark, d):
-    return with_goals(spark, d)
+    own = files.written(fixtures.matches(spark, d))
+    return enrich.results_with_goals(own, fixtures.goals(spark, d, own))
 
 
 @registered("with_confederations", """
@@ -199,6 +200,16 @@ def with_confederations(spark, d):
     return enrich.with_confederations(fixtures.matches(spark, d), fixtures.countries(spark, d))
 
 
+NOW = "coalesce((SELECT arg_max(current, start_date) FROM former_names f WHERE f.former = m.{side} AND m.date >= f.start_date AND (f.end_date IS NULL OR m.date <= f.end_date)), m.{side}) AS {side}"
+
+
+@registered("current_names", f"SELECT match_id, date, {NOW.format(side='home_team')}, {NOW.format(side='away_team')} FROM matches m")
+def current_names(spark, d):
+    """Teams by the names of the match's day: an interval join."""
+    own = fixtures.matches(spark, d).select("match_id", "date", "home_team", "away_team")
+    return enrich.with_current_names(files.written(own), fixtures.former_names(spark, d))
+
+
 # Scalar expressions and filters.
 
 

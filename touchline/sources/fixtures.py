@@ -35,9 +35,9 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One goal a line item with flag R (home team) or A (away team)."""
-    m = matches(spark, sf_dir).select("match_id", "date", "home_team", "away_team")
+def goals(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """One goal a line item with flag R (home team) or A (away team). of: the matches, where they are at hand."""
+    m = (matches(spark, sf_dir) if of is None else of).select("match_id", "date", "home_team", "away_team")
     items = _table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isin("R", "A"))
     return m.join(items, F.col("match_id") == F.col("l_orderkey")).select(
         "date", "home_team", "away_team", F.when(F.col("l_returnflag") == "R", F.col("home_team")).otherwise(F.col("away_team")).alias("team"),
@@ -51,6 +51,14 @@ def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("country"), F.col("r_name").alias("confederation"))
 
 
+def former_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two periods a nation, the second from within the first, and one without an end: names that teams are called by instead."""
+    nation, days = _table(spark, sf_dir, "nation"), lambda a, b: F.date_add(F.lit("1993-01-01").cast("date"), (F.col("n_nationkey") * a + F.col("i") * b).cast("int"))
+    rows = nation.select("n_name", "n_nationkey", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("i")).filter("i < 2 or n_nationkey % 5 = 0")
+    end = F.when(F.col("i") < 2, F.date_add(days(40, 300), 500))
+    return rows.select(F.concat_ws("_", "n_name", "i").alias("current"), F.col("n_name").alias("former"), days(40, 300).alias("start_date"), end.alias("end_date"))
+
+
 #: The same views for the SQL side.
 SQL = """
 WITH items AS (
@@ -68,5 +76,9 @@ WITH items AS (
   SELECT date, home_team, away_team, CASE WHEN l_returnflag = 'R' THEN home_team ELSE away_team END AS team, CAST(l_partkey AS VARCHAR) AS scorer,
     CASE WHEN l_linenumber <> 7 THEN CAST(l_quantity AS INTEGER) END AS "minute"
   FROM matches JOIN lineitem ON match_id = l_orderkey WHERE l_returnflag IN ('R', 'A')
+), former_names AS (
+  SELECT n_name || '_' || i AS current, n_name AS former, DATE '1993-01-01' + CAST(n_nationkey * 40 + i * 300 AS INTEGER) AS start_date,
+    CASE WHEN i < 2 THEN DATE '1993-01-01' + CAST(n_nationkey * 40 + i * 300 + 500 AS INTEGER) END AS end_date
+  FROM nation, (VALUES (0), (1), (2)) v(i) WHERE i < 2 OR n_nationkey % 5 = 0
 )
 """
