@@ -256,3 +256,18 @@ def test_work_grows_with_the_text():
     assert secrets.pem_keys("-----BEGIN PRIVATE KEY-----\n" + "Ab" * 200_000)[0][0] == 5
     both = "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9
     assert [x[1:] for x in secrets.jwts(f"eyJ {both} eyJx.{both}")] == [(4, 4 + len(both), both), (10 + len(both), 10 + 2 * len(both), both)]
+
+
+def test_a_repeated_row_is_one_row_to_be_ordered(spark):
+    """Half of all rows are one: they share a draw, so what is put in order has them once, and all or none of an epoch is taken."""
+    rows = [(7, "same words here", "en", "hot", 0)] * 2000 + [(i, f"text {i} of some words", "en", "hot" if i % 2 else "other", 0) for i in range(100, 2100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and len({r["taken"] for r in got if r["doc_id"] == 7}) == 1
+    for source in (0, 1):
+        own = [r for r in got if (r["doc_id"] == 7 or r["doc_id"] % 2 == 1) == bool(source)]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= (3000 if source else 3)
+    light = mixing.keyed(df).select("source", "size", "key", "bucket")
+    plan = mixing.facts(light)._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("[key#") if "[key#" in plan else 0 :]
+    assert "Window [sum(size#" in plan and "Aggregate [source#" in window

@@ -76,8 +76,9 @@ def facts(light: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     ends = ends.select("source", "e.*")
     last = light.join(ends, same(light, ends) & (light["bucket"] == ends["bucket"])).select(light["source"], "key", "size", F.col("rest") - F.col("before"), ends["bucket"].alias("bucket"))
     last = last.toDF("source", "key", "size", "need", "bucket")
-    peers = Window.partitionBy("source").orderBy("key")  # equal keys (repeated rows) are taken together
-    last = last.withColumn("upto", F.sum("size").over(peers)).groupBy("source", "key").agg(F.max("upto").alias("upto"), F.sum("size").alias("size"), F.first("need").alias("need"), F.first("bucket").alias("bucket"))
+    # Equal keys (repeated rows) are taken together: they are one row, summed partially, before any are put in order.
+    last = last.groupBy("source", "key").agg(F.sum("size").alias("size"), F.first("need").alias("need"), F.first("bucket").alias("bucket"))
+    last = last.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("key")))
     taken = (F.col("upto") <= F.col("need")) | ((F.col("upto") - F.col("need")) < (F.col("need") - (F.col("upto") - F.col("size"))))
     # Where not even the first row is taken, all rows of the buckets before are.
     keys = last.groupBy("source").agg(F.max(F.when(taken, F.col("key"))).alias("last_key"), F.first("bucket").alias("end_bucket"))
