@@ -43,3 +43,18 @@ def test_each_stage_does_what_its_operator_decides(spark, stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, DIR).collect()) == sorted(r["doc_id"] for r in stages[-1][1].collect())
+
+
+def test_all_stages_on_odd_tables(spark, odd, none, tmp_path):
+    """Null and repeated ids, null texts and sources, repeated rows, long texts and clashing names pass all stages, and so does a table without rows."""
+    for name, docs in (("odd", odd), ("none", none)):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        table(spark, DIR, "labels").write.parquet(f"{folder}/labels.parquet")
+        rows = table(spark, folder, "documents")
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before, rows = rows, stage(spark, rows, folder).cache()
+            n = rows.count()
+            assert rows.columns == docs.columns or i == len(corpus_pipeline.STAGES) - 1
+            assert n <= before.count() or i == 3
+        assert corpus_pipeline.run(spark, folder).count() == n

@@ -29,11 +29,12 @@ from touchline.llm.common import words as parts_of
 
 FOLDS, HELD_OUT = 5, 1
 CLASSES = 64
-TYPE_WORDS = 1024
+TYPE_WORDS = 4096
 TYPE_ENDINGS = 256
 KNOWN_WORDS = 150_000
-#: Words with fewer occurrences in training texts have the class of their ending: their neighbours are too few to tell.
-LEAST_COUNT = 100
+#: Words with fewer occurrences in training texts have the class of their ending: their neighbours are too few to tell. A word that is exchanged is weighed
+#: again and again among all others, and needs fewer than one that moves once.
+LEAST_EXCHANGED, LEAST_COUNT = 25, 100
 FLUSH = 200_000
 #: The end of a text in the counts; words are never empty.
 END = b""
@@ -295,7 +296,7 @@ class Model:
     total: int
 
 
-def fit(train: DataFrame, counts: DataFrame, *, classes: int = CLASSES, type_words: int = TYPE_WORDS, type_endings: int = TYPE_ENDINGS, known_words: int = KNOWN_WORDS, least_count: int = LEAST_COUNT) -> Model:
+def fit(train: DataFrame, counts: DataFrame, *, classes: int = CLASSES, type_words: int = TYPE_WORDS, type_endings: int = TYPE_ENDINGS, known_words: int = KNOWN_WORDS, least_count: int = LEAST_COUNT, least_exchanged: int = LEAST_EXCHANGED) -> Model:
     """A model from training texts (column t) and their written word counts. Without texts, every probability is that of a word never seen.
 
     The driver holds ``known_words`` words and at most (``type_words`` + ``type_endings``) squared counts, whatever the corpus.
@@ -307,7 +308,7 @@ def fit(train: DataFrame, counts: DataFrame, *, classes: int = CLASSES, type_wor
     ends_n = counts.filter(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     freq = np.append(float(ends_n), freq)
     often = 1 + int((freq[1:] >= least_count).sum())  # words are in order of frequency
-    head = words[1 : min(type_words + 1, often)]
+    head = words[1 : min(type_words + 1, 1 + int((freq[1:] >= min(least_exchanged, least_count)).sum()))]
     types = {END: END_TYPE} | {w: i + 2 for i, w in enumerate(head)}
     shared_head = spark.createDataFrame([(bytearray(w),) for w in [END, *head]], "word binary")
     # The last three bytes, as in Types.
