@@ -616,11 +616,15 @@ XGBOOST = models.BOOSTING["xgboost"] | GBT
 GBT_SQL = with_ctes(tree_sql.boosted(ENCODED, "split", **XGBOOST)) + tree_sql.predictions(f"m{GBT['rounds']}")
 
 
+def boosted(spark, d) -> DataFrame:
+    train, test = parts(spark, d)
+    return models.MatchPredictor("xgboost", NAMES, GBT).fit(train).predict(test)
+
+
 @registered("gbt_predictions", GBT_SQL, *FEATURES, "split")
 def gbt_predictions(spark, d):
     """Soft-max boosting by second derivatives."""
-    train, test = parts(spark, d)
-    return rounded_predictions(models.MatchPredictor("xgboost", NAMES, GBT).fit(train).predict(test))
+    return rounded_predictions(boosted(spark, d))
 
 
 TEXT = {"home_team": "home_team", "away_team": "away_team", "home_team_confederation": "'AMERICA'", "away_team_confederation": "'AMERICA'"}
@@ -638,11 +642,15 @@ SYMMETRIC = models.BOOSTING["catboost"] | CATBOOST
 CATBOOST_SQL = with_ctes([*CATBOOST_ROWS, *tree_sql.boosted(CATBOOST_FEATURES, "statistics", **SYMMETRIC)]) + tree_sql.predictions(f"m{CATBOOST['rounds']}")
 
 
+def symmetric(spark, d) -> DataFrame:
+    train, test = parts(spark, d, complete_raw)
+    return models.MatchPredictor("catboost", RAW_NAMES, CATBOOST).fit(train).predict(test)
+
+
 @registered("catboost_predictions", CATBOOST_SQL, *FEATURES, "split")
 def catboost_predictions(spark, d):
     """Symmetric trees over ordered target statistics of the categories."""
-    train, test = parts(spark, d, complete_raw)
-    return rounded_predictions(models.MatchPredictor("catboost", RAW_NAMES, CATBOOST).fit(train).predict(test))
+    return rounded_predictions(symmetric(spark, d))
 
 
 STATISTICS = ", ".join(f"round({n}, 6) AS {n}" for n in encoding.names(["home_team", "away_team"]))
@@ -790,9 +798,12 @@ def checked(predicted: DataFrame) -> DataFrame:
     return predicted.select("match_id", "label", sound.alias("is_distribution"), (own >= F.greatest(*p)).alias("is_most_likely"))
 
 
+UNROUNDED = {"gbt_predictions": boosted, "catboost_predictions": symmetric}
+
+
 def register_checked(name: str) -> None:
     body = "SELECT match_id, label, TRUE AS is_distribution, TRUE AS is_most_likely FROM split WHERE is_test"
-    registered(f"{name}_checked", body, *FEATURES, "split")(lambda spark, d: checked(QUERIES[name](spark, d)))
+    registered(f"{name}_checked", body, *FEATURES, "split")(lambda spark, d: checked(UNROUNDED.get(name, QUERIES[name])(spark, d)))
 
 
 for _name in ("lr", "rf", "gbt", "catboost", "calibrated", "rf_search"):
