@@ -832,6 +832,20 @@ def rf_importance_checked(spark, d):
     return rows.join(F.broadcast(whole)).select("Feature", (F.col("whole") & F.col("Importance").between(0, 1)).alias("is_share"))
 
 
+@registered("rf_importance_nodes_checked", f"SELECT Feature, TRUE AS same FROM {NAMED}")
+def rf_importance_nodes_checked(spark, d):
+    """The forest's importances against its table of nodes: falls of weighted impurity by feature, as shares of each tree's, averaged over trees."""
+    own = forest(parts(spark, d)[0])
+    impurity = F.col("weight") * (1 - F.aggregate("values", F.lit(0.0), lambda a, v: a + v * v))
+    nodes = own.nodes(spark).withColumn("impurity", impurity)
+    x, below = nodes.filter("left is not null").alias("x"), nodes.alias("y")
+    falls = x.join(below, F.expr("x.tree = y.tree and y.node in (x.left, x.right)")).groupBy("x.tree", "x.node", "x.feature").agg((F.first("x.impurity") - F.sum("y.impurity")).alias("fall"))
+    by_tree = falls.groupBy("tree", "feature").agg(F.sum("fall").alias("fall")).withColumn("share", F.col("fall") / F.sum("fall").over(Window.partitionBy("tree")))
+    mean = by_tree.groupBy("feature").agg((F.sum("share") / FOREST["trees"]).alias("again"))
+    both = own.importance(spark).join(mean.withColumnRenamed("feature", "of"), F.col("Feature") == F.col("of"), "left")
+    return both.select("Feature", (F.abs(F.col("Importance") - F.coalesce("again", F.lit(0.0))) < 1e-6).alias("same"))
+
+
 @registered("lr_importance_checked", f"SELECT Feature, Feature LIKE '%confederation%' AS is_zero FROM {NAMED}")
 def lr_importance_checked(spark, d):
     """Every feature has a weight; constant columns have none, whatever the fit."""
