@@ -1,14 +1,14 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-A text is lower-cased and cut into tokens: runs between ASCII white space; runs of more than twelve characters are cut behind certain
-characters, and letters of scripts without spaces stand alone. Cuts follow from the characters around them, never from a distance to a start, so text that is
-shared anywhere is cut alike. A gram's value is the polynomial rolling hash (Karp-Rabin) of ``2 ** gram_log`` consecutive token hashes, modulo a prime: that of
+A text is lower-cased and cut into tokens: runs between ASCII white space; letters of scripts without spaces stand alone. Runs of more than twelve
+characters are cut behind every byte of their UTF-8 form, but for lead bytes, that leaves 1 when divided by four: so every script is cut, and text that is
+shared anywhere in long runs is cut alike, at any offset. A gram's value is the polynomial rolling hash (Karp-Rabin) of ``2 ** gram_log`` consecutive token hashes, modulo a prime: that of
 2n tokens follows from those of n, so values double instead of being carried along the array, as do the minima of each window of
 ``2 ** window_log`` grams. A window's minimum is kept with its position; of equal hashes the rightmost wins, as the packed
 value holds the hash above the complement of the position.
 
 Guarantee: a run of ``window + gram - 1`` tokens (11 by default) that two texts share has a common fingerprint hash. So have 11 shared
-characters of a script without spaces, and any shared run without spaces that has 12 places to cut and 12 more characters.
+characters of a script without spaces, and any stretch with 12 cuts that two runs of more than twelve characters share (where bytes are spread evenly, one in four has a cut).
 """
 
 from __future__ import annotations
@@ -24,10 +24,13 @@ from touchline.llm.common import materialize
 SPACES = r"\x20\x09-\x0D"
 #: Scripts without spaces: Thai to Myanmar, Khmer, radicals to Hangul, compatibility and wide forms, the supplementary ideographs.
 ALONE = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{D7FF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{20000}-\x{3FFFF}"
-#: Long runs are cut behind these.
-CUT = r"aeiou05/=&?._-"
-#: A letter by itself; the last (or only) characters of a run, up to twelve; else up to the next cut, or the rest.
-TOKEN = rf"[{ALONE}]|[^{SPACES}{ALONE}]{{1,12}}(?![^{SPACES}{ALONE}])|[^{SPACES}{ALONE}{CUT}]*+[{CUT}]|[^{SPACES}{ALONE}]++"
+#: A letter by itself, or a run.
+RUN = rf"[{ALONE}]|[^{SPACES}{ALONE}]++"
+#: Most characters of a run that is not cut.
+WHOLE = 12
+#: Bytes, as Latin-1 characters, behind which longer runs are cut; a piece is up to the next of them, or the rest.
+CUT = "".join(f"\\x{b:02X}" for b in range(0xC0) if b % 4 == 1)
+PIECE = rf"[^{CUT}]*+[{CUT}]|[^{CUT}]++"
 #: Modulus and base of the rolling hash: products stay below 2 ** 62.
 PRIME, BASE = (1 << 31) - 1, 1_000_003
 #: Lower 32 bits of a packed value: the complement of the position. Above it: 31 bits of hash.
@@ -49,6 +52,14 @@ def _rolled(times: int):
     return lambda a, b: (a * F.lit(times).cast("long") + b) % F.lit(PRIME).cast("long")
 
 
+def _cut(runs: str) -> Column:
+    """The tokens of an array column of runs: most texts have no long run, and keep the array as it is."""
+    long = lambda t: F.char_length(t) > WHOLE
+    pieces = lambda t: F.regexp_extract_all(F.decode(t.cast("binary"), "ISO-8859-1"), F.lit(PIECE), F.lit(0))
+    cut = F.flatten(F.transform(runs, lambda t: F.when(long(t), pieces(t)).otherwise(F.array(t))))
+    return F.when(F.exists(runs, long), cut).otherwise(F.col(runs))
+
+
 def winnow(df: DataFrame, text: str, out: str, *, gram_log: int = 2, window_log: int = 3) -> DataFrame:
     """df with ``out``: packed hash and position of each selected gram of column ``text``, in order of position.
 
@@ -56,9 +67,10 @@ def winnow(df: DataFrame, text: str, out: str, *, gram_log: int = 2, window_log:
     a window: one window of all grams. Texts of any length are whole. Temporary columns start with two underscores and ``out``.
     """
     # Each step is a column of its own, used more than once by the next, so that the optimizer doesn't repeat its work.
-    tok, at = f"__{out}_t", f"__{out}_h"
+    runs, tok, at = f"__{out}_r", f"__{out}_t", f"__{out}_h"
     gram, window = 1 << gram_log, 1 << window_log
-    df = df.withColumn(tok, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0)))
+    df = df.withColumn(runs, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(RUN), F.lit(0)))
+    df = df.withColumn(tok, _cut(runs))
     df = df.withColumn(at, F.transform(tok, lambda t: F.pmod(F.xxhash64(t), F.lit(PRIME).cast("long"))))
     steps = [at]
     for i in range(gram_log):
@@ -75,7 +87,7 @@ def winnow(df: DataFrame, text: str, out: str, *, gram_log: int = 2, window_log:
         mins.append(f"{packed}m{i}")
     short = F.when(F.size(packed) == 0, F.col(packed)).otherwise(F.array(F.array_min(packed)))
     df = df.withColumn(out, F.array_distinct(F.when(F.size(packed) >= window, F.col(mins[-1])).otherwise(short)))
-    return df.drop(tok, *steps, f"{packed}0", *mins)
+    return df.drop(runs, tok, *steps, f"{packed}0", *mins)
 
 
 def hashes(fingerprint: Column | str) -> Column:
