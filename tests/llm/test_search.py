@@ -39,6 +39,18 @@ def test_factor_one_is_exact_over_many_shards_and_query_blocks(spark, rows):
     assert [g[3] for g in got] == [w[3] for w in want]
 
 
+def test_vectors_of_many_queries_and_neighbours_of_all(spark, monkeypatch):
+    """Half the queries share one vector, and one long vector is near to all: their rows stay where they are, and none is lost."""
+    from touchline.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    r = random.Random(8)
+    out = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(400)] + [(i, [1.0, -0.0, 3.0, 4.0, 0.0, 6.0, 7.0, 8.0]) for i in range(400, 800)]
+    out += [(801, [1.0, 0.0, 3.0, 4.0, -0.0, 6.0, 7.0, 8.0]), (820, [1.0, 0.0, 3.0, 4.0, -0.0, 6.0, 7.0, 8.0]), (802, [90.0] * 8), (803, [-90.0] * 8)]
+    got = sorted(map(tuple, vptree.nearest(frame(spark, out), k=20, shard_rows=80, query_rows=8, sample_rows=128, leaf=8).collect()))
+    assert got == brute(out, 20)
+
+
 def test_fewer_candidates_than_k(spark, rows):
     few = rows[:5]
     assert [tuple(r)[:3] for r in vptree.nearest(frame(spark, few)).orderBy("rank").collect()] == [w[:3] for w in brute(few, 20)]

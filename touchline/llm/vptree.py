@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import materialize
+from touchline.llm.common import join_hot, materialize
 
 #: Slack of distances on the unit sphere: those near zero are known to about 1e-8.
 EPS = 1e-6
@@ -231,8 +231,8 @@ def nearest(
     few = few.withColumn("rn", F.row_number().over(Window.partitionBy("v", "salt").orderBy("id"))).filter(F.col("rn") <= k + 1)
     entries = few.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
     entries = materialize(entries.withColumn("key", F.col("ids")[0]), "vectors")
-    asked = rows.filter(F.col("id") % query_every == 0).select("id", "v").distinct()
-    wanted = asked.groupBy("v").agg(F.min("id").alias("qkey"))
+    asked = materialize(rows.filter(F.col("id") % query_every == 0).select("id", "v", F.xxhash64("v").alias("digest")).distinct(), "asked")
+    wanted = materialize(asked.groupBy("v").agg(F.min("id").alias("qkey")), "wanted")
 
     n = entries.count()
     sample = [np.array(r["v"]) for r in entries.orderBy(F.xxhash64("key", F.lit(7)), "key").limit(sample_rows).select("v").collect()]
@@ -328,10 +328,15 @@ def nearest(
     second = home.join(reach, "qkey", "left").select("qkey", "v", "tau", *place)
     second = second.mapInPandas(further, "qkey long, v array<double>, tau double, len int, band int, cells array<int>")
     second = second.withColumn("cell", F.explode("cells")).drop("cells")
-    ranked = best(first.unionByName(found(second)))
+    ranked = materialize(best(first.unionByName(found(second))), "ranked")
 
-    hits = ranked.join(entries.select("key", "ids"), "key").select("qkey", "score", F.explode("ids").alias("vec_id"))
+    # A vector may be near to most queries, or be most queries' own: no join gathers their rows.
+    hits = join_hot(ranked, entries.select("key", "ids"), "key").select("qkey", "score", F.explode("ids").alias("vec_id"))
     hits = hits.withColumn("rn", F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rn") <= k + 1)
-    pairs = asked.join(wanted, "v").select(F.col("id").alias("query_id"), "qkey").join(hits.drop("rn"), "qkey").filter("query_id <> vec_id")
+    lists = hits.groupBy("qkey").agg(F.collect_list(F.struct("score", "vec_id")).alias("hits"))  # k + 1 at most
+    named = wanted.groupBy(F.xxhash64("v").alias("digest")).agg(F.collect_list(F.struct("v", "qkey")).alias("of"))
+    own = F.filter("of", lambda x: x["v"] == F.col("v"))[0]["qkey"]
+    queries = materialize(join_hot(asked, named, "digest").select(F.col("id").alias("query_id"), own.alias("qkey")), "queries")
+    pairs = join_hot(queries, lists, "qkey").select("query_id", F.inline("hits")).filter("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
