@@ -215,6 +215,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = 4000) -> DataFrame:
-    """docs whose score reaches the threshold, in the same columns."""
-    model = fit_quality(docs, labels, sample_rows=sample_rows)
-    return docs.withColumn("__score", score(docs, model, text_col)).filter(F.col("__score") >= threshold).select(*docs.columns)
+    """docs whose score reaches the threshold, in the same columns.
+
+    Null and empty texts are scored by their whole-text properties, and stay or go by that; scores that equal the threshold stay; repeated rows stay or go together;
+    columns of any name pass; an empty table gives no rows; without labels every score is one half, so none reaches the threshold as given.
+    """
+    return docs.filter(score(docs, fit_quality(docs, labels, sample_rows=sample_rows), text_col) >= threshold)

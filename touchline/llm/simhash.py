@@ -254,13 +254,14 @@ def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_
     """docs with one row of each group of ``groups`` (id, node, root): that of the smallest id, null last, then of the smallest digest.
 
     An id repeated in several groups stays in each of them that it is first in; a group of null ids keeps one. Rows equal in id and text are of one
-    group: of them the least by all columns stays.
+    group: of them the least by all columns stays, by their texts where columns have no order (maps).
     """
     order = F.struct(F.col("id").isNull().alias("null"), "id", "node")
     first = groups.groupBy("root").agg(F.min(order).alias("f")).select(F.col("f.id").alias("__keep_id"), F.col("f.node").alias("__keep_node"))
     key, of = docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col].cast("binary"), F.lit(b"")))
     out = docs.join(first, (of == F.col("__keep_node")) & key.eqNullSafe(F.col("__keep_id")), "left_semi")
-    whole = out.groupBy(F.col(id_col).cast("long").alias("__keep_id"), digest(text_col).alias("__keep_node")).agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("__row"))
+    ordered = lambda c: F.col(c).cast("string") if "map<" in docs.schema[c].dataType.simpleString() else F.col(c)
+    whole = out.groupBy(F.col(id_col).cast("long").alias("__keep_id"), digest(text_col).alias("__keep_node")).agg(F.min_by(F.struct(*docs.columns), F.struct(*map(ordered, docs.schema.names))).alias("__row"))
     return whole.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 

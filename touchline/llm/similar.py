@@ -201,9 +201,11 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, text_col: str = "text", simi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                own = batch.slice(at, 256)
-                got = [profile(t, hashes) for t in own.column(1).to_pylist()]
+            at = 0
+            for texts in slices(batch.column(1)):
+                own = batch.slice(at, len(texts))
+                at += len(texts)
+                got = [profile(t, hashes) for t in texts]
                 forms = [fine(g[0], similarity) for g in got]
                 columns = [own.column(0), pa.array([g[1] for g in got], pa.binary()), *[pa.array([x[i].tobytes() for x in forms], pa.binary()) for i in (0, 1)], pa.array([g[0].view(np.int64) for g in got], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "sketch", "short", "long", "shingles"])
