@@ -256,13 +256,16 @@ def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_
     An id repeated in several groups stays in each of them that it is first in; a group of null ids keeps one. Rows equal in id and text are of one
     group: of them the least by all columns stays, by their texts where columns have no order (maps).
     """
+    keys = ["__keep_node", "__keep_null", "__keep_id"]
+    named = lambda node, key: [node.alias(keys[0]), key.isNull().alias(keys[1]), F.coalesce(key, F.lit(0).cast("long")).alias(keys[2])]
     order = F.struct(F.col("id").isNull().alias("null"), "id", "node")
-    first = groups.groupBy("root").agg(F.min(order).alias("f")).select(F.col("f.id").alias("__keep_id"), F.col("f.node").alias("__keep_node"))
-    key, of = docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col].cast("binary"), F.lit(b"")))
-    out = docs.join(first, (of == F.col("__keep_node")) & key.eqNullSafe(F.col("__keep_id")), "left_semi")
+    first = groups.groupBy("root").agg(F.min(order).alias("f")).select(*named(F.col("f.node"), F.col("f.id"))).distinct()
+    # Of rows equal in id and text only one is moved by each task, and the join needs no other shuffle of texts.
     ordered = lambda c: F.col(c).cast("string") if "map<" in docs.schema[c].dataType.simpleString() else F.col(c)
-    whole = out.groupBy(F.col(id_col).cast("long").alias("__keep_id"), digest(text_col).alias("__keep_node")).agg(F.min_by(F.struct(*docs.columns), F.struct(*map(ordered, docs.schema.names))).alias("__row"))
-    return whole.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    others = [ordered(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in (id_col, text_col)]
+    least = F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col).isNotNull().alias("text"), *others))
+    whole = docs.groupBy(*named(digest(text_col), F.col(id_col).cast("long"))).agg(least.alias("__row"))
+    return whole.join(first, keys, "left_semi").select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
