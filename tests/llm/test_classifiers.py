@@ -265,3 +265,68 @@ def test_exchange_finds_planted_classes():
     a, b = np.nonzero(table)
     got = brown.exchange(a, b, table[a, b], 61, 4)
     assert len({(x, y) for x, y in zip(of, got, strict=True)}) == 4
+
+
+def test_toxic_features_and_ratio_by_definition():
+    """Features that tell toxic documents, and the ratio that does so best across halves, counted with sets."""
+    r = random.Random(11)
+    y = [int(i % 5 == 0) for i in range(240)]  # some in either half
+    own = [{r.randrange(60) for _ in range(15)} | ({100 + r.randrange(8)} if label and r.random() < 0.8 else set()) | ({100 + r.randrange(8)} if r.random() < 0.02 else set()) for label in y]
+
+    def known(docs, labels, ratio):
+        n1, n0 = max(1, sum(labels)), max(1, len(labels) - sum(labels))
+        out = set()
+        for f in set().union(*docs):
+            a, b = (sum(f in d for d, label in zip(docs, labels, strict=True) if label == want) for want in (1, 0))
+            rate = (a + b) / (n1 + n0)
+            score = 2 * sum(x * math.log(x / (n * rate)) for x, n in ((a, n1), (b, n0)) if x)
+            if a and a / n1 >= 20 * (b + 0.1) / n0 and score >= ratio:
+                out.add(f)
+        return out
+
+    arrays = [np.array(sorted(d), dtype=np.int32) for d in own]
+    f1 = []
+    for ratio in crf.RATIOS:
+        assert set(np.flatnonzero(crf.toxic_features(arrays, np.array(y), ratio)).tolist()) == known(own, y, ratio)
+        right = wrong = missed = 0
+        for h in (0, 1):
+            told = known(own[h::2], y[h::2], ratio)
+            for d, label in zip(own[1 - h :: 2], y[1 - h :: 2], strict=True):
+                hit = bool(d & told)
+                right, wrong, missed = right + (hit and label), wrong + (hit and not label), missed + (not hit and label)
+        f1.append(2 * right / max(1, 2 * right + wrong + missed))
+    assert len(set(f1)) > 1
+    assert crf.choose_ratio(arrays, np.array(y)) == crf.RATIOS[f1.index(max(f1))]
+
+
+def test_toxicity_scores_and_spans_by_definition(spark, odd):
+    """Every document's score and spans, token by token from the fitted model's weights alone."""
+    docs, labels = make(spark, 200)
+    model = crf.fit(labelled.sample(docs, labels, "toxic", rows=4000, share=0.25))
+    rows = docs.unionByName(odd.select(docs.columns))
+
+    def plain(text):
+        tokens = list(crf.TOKEN.finditer(text))
+        e = [math.exp(model.bias + sum(model.weights.get(f, 0.0) for f in crf.features(m.group().lower()))) for m in tokens]
+        ahead, behind = [], [(1.0, 1.0)]
+        for i, x in enumerate(e):
+            a0, a1 = model.initial if i == 0 else [sum(ahead[-1][k] * model.transition[k][j] for k in (0, 1)) for j in (0, 1)]
+            ahead.append((a0 / (a0 + a1 * x), a1 * x / (a0 + a1 * x)))
+        for x in e[:0:-1]:
+            b = [model.transition[k][0] * behind[-1][0] + model.transition[k][1] * x * behind[-1][1] for k in (0, 1)]
+            behind.append((b[0] / sum(b), b[1] / sum(b)))
+        p = [a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(ahead, behind[::-1], strict=False)]
+        facts = [1.0, max(p), math.log1p(sum(p)), math.log1p(100 * sum(p) / len(p))] if p else [1.0, 0.0, 0.0, 0.0]
+        z = sum(w * x for w, x in zip(model.document, facts, strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), [(m.start(), m.end()) for m, x in zip(tokens, p, strict=True) if x >= 0.5]
+
+    got = crf.tag(rows, model)
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 7), [(s["start"], s["stop"]) for s in r["spans"]], r["predicted"]) for r in got.collect()), key=str)
+    want = []
+    for r in rows.collect():
+        score, spans = plain((r["text"] or "").encode())
+        want.append((r["doc_id"] is None, r["doc_id"] or 0, round(score, 7), spans, int(score >= crf.THRESHOLD)))
+    want = sorted(want, key=str)
+    assert len(got) == len(want) and any(x[3] for x in got)
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and a[3:] == b[3:] and a[2] == pytest.approx(b[2], abs=1e-6)
