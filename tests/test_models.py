@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.operators import models
+from touchline.operators import isotonic, models
 
 FEATURES = ["a", "b"]
 
@@ -141,3 +141,18 @@ def test_logistic_regression_scales_by_population_deviation(rows):
     scaled = own.pipeline.transform(rows.withColumn("label", F.col("label").cast("double"))).select("a", "b", "features").collect()
     for r in scaled:
         assert list(r["features"]) == pytest.approx([(r[c] - fitted[c][0]) / fitted[c][1] for c in FEATURES])
+
+
+def test_calibrated_predictions_need_one_python_worker_a_task(rows):
+    """Each function of its own had a worker of its own: folds times classes of them a task."""
+    own = models.Calibrated.fit("logistic_regression", FEATURES, rows, folds=3)
+    plan = own.predict(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_corrections_of_many_columns_equal_single_ones(spark):
+    rising = [isotonic.Isotonic([0.0, 1.0], [2.0, 4.0]), isotonic.Isotonic([], []), isotonic.Isotonic([0.5], [7.0])]
+    rows = spark.createDataFrame([(0.25, 0.5, None), (2.0, 1.0, 0.0), (float("nan"), 1.0, 1.0)], "a double, b double, c double")
+    got = rows.select(isotonic.corrected(rising, [F.col(c) for c in "abc"])).collect()
+    assert [r[0] for r in got] == [[2.5, None, None], [4.0, None, 7.0], [None, None, 7.0]]
+    assert [r[0] for r in rows.select(rising[0]("a")).collect()] == [2.5, 4.0, None]

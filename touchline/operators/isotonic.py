@@ -45,16 +45,25 @@ class Isotonic:
 
     def __call__(self, x: Column | str) -> Column:
         """The function of a column; null and NaN stay null. Without points: null."""
-        xs, ys = self.xs, self.ys
+        return F.get(corrected([self], [F.col(x) if isinstance(x, str) else x]), F.lit(0))
 
-        @arrow_udf("double")
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for column in batches:
-                v = column.to_numpy(zero_copy_only=False).astype(float)
-                out = np.interp(v, xs, ys) if xs else np.full(len(v), np.nan)
-                yield pa.array(out, pa.float64(), mask=np.isnan(v) | np.isnan(out))
 
-        return run(F.col(x).cast("double") if isinstance(x, str) else x.cast("double"))
+def corrected(functions: list[Isotonic], columns: list[Column]) -> Column:
+    """array<double> of each function of its column, as in Isotonic, all in one pass: a task has one Python worker, however many functions there are."""
+    points = [(f.xs, f.ys) for f in functions]
+
+    @arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            v = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(points))
+            out = np.full(v.shape, np.nan)
+            for i, (xs, ys) in enumerate(points):
+                if xs:
+                    out[:, i] = np.interp(v[:, i], xs, ys)
+            flat, ends = out.ravel(), np.arange(0, out.size + 1, len(points), dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.float64(), mask=np.isnan(v).ravel() | np.isnan(flat)))
+
+    return run(F.array(*[c.cast("double") for c in columns]))
 
 
 def fit(rows: DataFrame, x: Column, y: Column, few: int = FEW) -> Isotonic:
@@ -62,13 +71,18 @@ def fit(rows: DataFrame, x: Column, y: Column, few: int = FEW) -> Isotonic:
     each = rows.select(F.nanvl(x.cast("double"), F.lit(None)).alias("lo"), y.cast("double").alias("y")).filter("lo is not null and y is not null")
     blocks = each.groupBy("lo").agg(F.count("*").cast("double").alias("w"), F.sum("y").alias("wy")).select("lo", F.col("lo").alias("hi"), "w", "wy")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    while True:
-        blocks = blocks.repartitionByRange(parts, "lo").sortWithinPartitions("lo").mapInArrow(_pool, BLOCK).persist()
-        if parts == 1 or blocks.count() <= few:
-            break
-        parts = max(1, parts // 8)
-    got = pooled(tuple(r) for r in blocks.orderBy("lo").collect())
-    blocks.unpersist()
+    held: list[DataFrame] = []
+    try:
+        while True:
+            blocks = blocks.repartitionByRange(parts, "lo").sortWithinPartitions("lo").mapInArrow(_pool, BLOCK).persist()
+            held.append(blocks)
+            if parts == 1 or blocks.count() <= few:
+                break
+            parts = max(1, parts // 8)
+        got = pooled(sorted(tuple(r) for r in blocks.collect()))
+    finally:
+        for own in held:
+            own.unpersist()
     xs, ys = [], []
     for lo, hi, w, wy in got:
         for v in dict.fromkeys((lo, hi)):
