@@ -1,4 +1,5 @@
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +157,10 @@ def test_corrections_of_many_columns_equal_single_ones(spark):
     got = rows.select(isotonic.corrected(rising, [F.col(c) for c in "abc"])).collect()
     assert [r[0] for r in got] == [[2.5, None, None], [4.0, None, 7.0], [None, None, 7.0]]
     assert [r[0] for r in rows.select(rising[0]("a")).collect()] == [2.5, 4.0, None]
+
+
+def test_compared_models_are_fitted_side_by_side(rows, monkeypatch):
+    both, plain = threading.Barrier(2, timeout=60), models.evaluate
+    monkeypatch.setattr(models, "evaluate", lambda predicted: both.wait() >= 0 and plain(predicted))
+    got = models.compare_models(rows, rows, FEATURES, ("xgboost", "catboost"), options={k: {"rounds": 1, "depth": 1} for k in ("xgboost", "catboost")}).collect()
+    assert [r["model"] for r in got] == ["xgboost", "catboost"] and all(r["log_loss"] < 1.0986 for r in got)
