@@ -202,3 +202,11 @@ def test_periods_that_overlap(spark):
     assert {x["i"]: x["now"] for x in got} == {i: want(k, d) for i, k, d in rows} and len(got) == len(rows)
     none = spark.createDataFrame([], "i int, k string, d date")
     assert enrich.at_period(none, spark.createDataFrame(periods, "key string, s date, e date, v string"), "k", "d", "now", period_key="key", start="s", end="e", value="v").count() == 0
+
+
+def test_compressed_csv_comes_back_whole_from_bounded_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PART_ROWS", 40)
+    df = spark.range(100).select(F.lit("France, a \"b\"").alias("country"), F.col("id").cast("string").alias("confederation")).coalesce(1)
+    files.write_csv(df, str(tmp_path / "out"), compression="gzip")
+    assert len(list((tmp_path / "out").glob("*.csv.gz"))) == 3
+    assert sorted(map(tuple, files.read_countries(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, df.collect()))
