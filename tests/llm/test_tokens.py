@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -116,3 +117,10 @@ def test_long_pieces_stream_in_bounded_memory(library, codec, monkeypatch):
         piece = "".join(r.choice(alphabet) for _ in range(2000)).replace(" ", "").encode()
         parts = list(codec.transducer.stream(piece))
         assert [t for p in parts for t in p] == bpe.byte_pairs(codec.transducer.ranks, piece) and len(parts) > 50
+
+
+def test_ids_leave_in_small_batches(library, codec):
+    texts = ["the of and" * (i % 3) for i in range(2000)] + [None]
+    parts = list(bpe.ids_of(codec, [pa.array(texts, pa.string())]))
+    assert max(map(len, parts)) <= 256
+    assert [x for p in parts for x in p.to_pylist()] == [library.encode_ordinary(t or "") for t in texts]

@@ -3,8 +3,8 @@
 A prefix of a piece has exactly one BPE encoding, and a sequence of tokens is an encoding if and only if each adjacent pair of
 tokens is the encoding of its own bytes. So the last token of each prefix's encoding follows from those before, one byte at a
 time. A state of the transducer holds the positions at which a later token can still begin: for each, the trie node of the
-bytes since, and the last token before it. A move reads a byte and writes the last token of the prefix that ends there. Which
-tokens are certain follows from these, looking ahead no further than the longest token: the way back from every position that
+bytes since, and the last token before it. A move reads a byte and writes the last token of the prefix that ends there, which is that
+before the newest position, so the state alone tells it. Which tokens are certain follows from these, looking ahead no further than the longest token: the way back from every position that
 is still open is the same up to there. States and moves are made when first needed, and all are forgotten when there are too many.
 """
 
@@ -76,43 +76,50 @@ class Transducer:
 
     def forget(self) -> None:
         """Back to the start state alone."""
-        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]  # (trie node, last token before) of each open position
+        # Of each state its open positions (trie node << 24 | last token before it + 1), and the last token of the prefix that ends there.
+        self.states: list[tuple[int, ...]] = [(0,)]
+        self.last = [-1]
         self.number = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.moves: dict[int, int] = {}
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token b can follow token a (-1: begin a piece)."""
         if len(self.pairs) > 5 * self.most:
             self.pairs.clear()
         own = self.tokens[b] if a < 0 else self.tokens[a] + self.tokens[b]
-        got = self.pairs[a << 24 | b] = byte_pairs(self.ranks, own) == ([b] if a < 0 else [a, b])
+        got = self.pairs[(a + 1) << 24 | b] = byte_pairs(self.ranks, own) == ([b] if a < 0 else [a, b])
         return got
 
-    def move(self, state: int, c: int) -> tuple[int, int]:
-        """The next state, and the last token of the encoding up to here."""
+    def move(self, state: int, c: int) -> int:
+        """The next state."""
         child, ends, inner, pairs = self.child, self.ends, self.inner, self.pairs
         ahead, token = [], -1
-        for node, last in self.states[state]:
-            to = child.get(node << 8 | c)
+        for position in self.states[state]:
+            to = child.get(position >> 24 << 8 | c)
             if to is None:
                 continue
-            t = ends[to]
-            if t >= 0 and token < 0:
-                ok = pairs.get(last << 24 | t)
-                if self.fits(last, t) if ok is None else ok:
+            before = position & 0xFFFFFF
+            if token < 0 and (t := ends[to]) >= 0:
+                ok = pairs.get(before << 24 | t)
+                if self.fits(before - 1, t) if ok is None else ok:
                     token = t
             if inner[to]:
-                ahead.append((to, last))
+                ahead.append(to << 24 | before)
         if token < 0:
             raise ValueError("the vocabulary lacks a byte")
-        ahead.append((0, token))
+        ahead.append(token + 1)
         new = tuple(ahead)
         number = self.number.get(new)
         if number is None:
-            number = self.number[new] = len(self.states)
-            self.states.append(new)
-        out = self.moves[state << 8 | c] = number, token
-        return out
+            number = self.add(new, token)
+        self.moves[state << 8 | c] = number
+        return number
+
+    def add(self, positions: tuple[int, ...], token: int) -> int:
+        number = self.number[positions] = len(self.states)
+        self.states.append(positions)
+        self.last.append(token)
+        return number
 
     def back(self, written: list[int], stop: int) -> list[int]:
         """Tokens of the prefix that ends at stop, from the last tokens of all its prefixes."""
@@ -130,21 +137,19 @@ class Transducer:
             self.forget()
         state, moves, written = 0, self.moves, []
         for i, c in enumerate(piece, 1):
-            state, token = moves.get(state << 8 | c) or self.move(state, c)
-            written.append(token)
+            state = moves.get(state << 8 | c) or self.move(state, c)
+            written.append(self.last[state])
             if not i % STRETCH:
                 # A later token begins at an open position: at the depth of its trie node before here.
-                ways = [self.back(written, len(written) - self.depth[node]) for node, _ in self.states[state]]
+                ways = [self.back(written, len(written) - self.depth[position >> 24]) for position in self.states[state]]
                 n = next((k for k, own in enumerate(zip(*ways, strict=False)) if len(set(own)) > 1), min(map(len, ways)))
                 if sure := ways[0][:n]:
                     yield sure
                     del written[: sum(map(self.length.__getitem__, sure))]
                 if len(self.states) > self.most:
-                    now = self.states[state]
+                    now, token = self.states[state], self.last[state]
                     self.forget()
-                    moves, state = self.moves, len(self.states)
-                    self.states.append(now)
-                    self.number[now] = state
+                    moves, state = self.moves, self.add(now, token)
         yield self.back(written, len(written))
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -156,11 +161,17 @@ class Transducer:
             return tuple(chain.from_iterable(self.stream(piece)))
         if len(self.states) > self.most:
             self.forget()
-        state, known, move, written = 0, self.moves.get, self.move, []
+        state, known, move, passed = 0, self.moves.get, self.move, []
         for c in piece:
-            state, token = known(state << 8 | c) or move(state, c)
-            written.append(token)
-        return tuple(self.back(written, len(written)))
+            state = known(state << 8 | c) or move(state, c)
+            passed.append(state)
+        out, at, last, length = [], len(passed), self.last, self.length
+        while at > 0:
+            token = last[passed[at - 1]]
+            out.append(token)
+            at -= length[token]
+        out.reverse()
+        return tuple(out)
 
 
 class Utf8Machine:
@@ -323,15 +334,20 @@ def shared_codec(spark: SparkSession, path: str, pattern: str, pieces: int | Non
     return get
 
 
+def ids_of(own: Codec, texts: Iterable[pa.Array]) -> Iterator[pa.Array]:
+    """Ids of texts, few rows a batch: neither the worker nor the JVM holds those of a whole batch of texts."""
+    for array in texts:
+        for part in slices(array):
+            yield pa.array([own.encode(t or "") for t in part], pa.list_(pa.int32()))
+
+
 def encoded(spark: SparkSession, text: Column, path: str, pattern: str, *, pieces: int | None = None, states: int | None = None) -> Column:
     """array<int> of token ids; null and empty texts give an empty array."""
     get = shared_codec(spark, path, pattern, pieces, states)
 
     @arrow_udf("array<int>")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = get()
-        for array in texts:
-            yield pa.chunked_array([pa.array([own.encode(t or "") for t in part], pa.list_(pa.int32())) for part in slices(array)], pa.list_(pa.int32())).combine_chunks()
+        return ids_of(get(), texts)
 
     return run(text)
 
