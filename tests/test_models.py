@@ -164,3 +164,17 @@ def test_compared_models_are_fitted_side_by_side(rows, monkeypatch):
     monkeypatch.setattr(models, "evaluate", lambda predicted: both.wait() >= 0 and plain(predicted))
     got = models.compare_models(rows, rows, FEATURES, ("xgboost", "catboost"), options={k: {"rounds": 1, "depth": 1} for k in ("xgboost", "catboost")}).collect()
     assert [r["model"] for r in got] == ["xgboost", "catboost"] and all(r["log_loss"] < 1.0986 for r in got)
+
+
+def test_registered_comparison_is_the_whole_one(spark, monkeypatch):
+    """Nothing of the search, the folds or the boosters' rounds is set smaller than by default; those are the analysis's own."""
+    from touchline.operators import trees
+    from touchline.plans import catalog
+
+    seen = {}
+    monkeypatch.setattr(models, "compare_models", lambda *args, **more: seen.update(args=args[3:], more=more))
+    catalog.model_comparison(spark, "/root/testdata/sf0.01")
+    assert not seen["args"] and set(seen["more"]) == {"raw"}
+    search = models.MatchPredictor.fit.__defaults__
+    assert search == (None, 10, 5, None) and models.FOREST_GRID["trees"] == (100, 200, 500) and models.Calibrated.fit.__defaults__ == (5,)
+    assert trees.fit_boosted.__kwdefaults__["rounds"] == 200 and {x["depth"] for x in models.BOOSTING.values()} == {6}

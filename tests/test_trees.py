@@ -181,3 +181,65 @@ def test_cuts_are_exact_on_large_tables(spark):
     known = [tuple(None if isinstance(v, float) and math.isnan(v) else v for v in x) for x in table]
     for bins in (32, 10):
         assert trees.find_cuts(rows, NAMES, bins) == plain_cuts(known, bins)
+
+
+def sorted_nodes(model, spark):
+    """Each tree by the paths of its nodes: numbers may differ."""
+    rows = {(r["tree"], r["node"]): r for r in model.nodes(spark).collect()}
+    out = {}
+
+    def walk(t, i, path):
+        r = rows[t, i]
+        out[t, path] = (r["feature"], r["cut"], r["nulls_left"], r["n"], round(r["weight"], 6), round(r["gain"], 6), tuple(round(v, 9) for v in r["values"]))
+        for side, child in enumerate((r["left"], r["right"])):
+            if child is not None:
+                walk(t, child, 2 * path + side)
+
+    for t in {t for t, _ in rows}:
+        walk(t, 0, 1)
+    assert len(out) == len(rows)
+    return out
+
+
+@pytest.mark.parametrize("fit", [
+    lambda df: trees.fit_forest(df, NAMES, trees=3, bins=16, least_leaf=2), lambda df: trees.fit_forest(df, NAMES, trees=3, bins=16, depth=5, least_split=9),
+    lambda df: trees.fit_boosted(df, NAMES, rounds=3, depth=4, bins=16), lambda df: trees.fit_boosted(df, NAMES, rounds=3, depth=4, bins=16, symmetric=True),
+])
+def test_parts_grown_apart_are_those_of_passes(spark, rows, fit, monkeypatch):
+    """By passes alone, by groups alone, by groups of a few nodes at a time, and by passes down to nodes of 60 rows: the same trees."""
+    whole = sorted_nodes(fit(rows), spark)
+    monkeypatch.setattr(trees, "MOST_CELLS", 500)
+    assert sorted_nodes(fit(rows), spark) == whole
+    for small in (0, 60):
+        monkeypatch.setattr(trees, "SMALL", small)
+        assert sorted_nodes(fit(rows), spark) == whole
+
+
+@pytest.mark.parametrize("small", [trees.SMALL, 60])
+def test_forests_too_large_for_the_driver_stay_tables(spark, rows, small, monkeypatch):
+    """Probabilities, nodes, the walk by joins and importances of a model whose parts stay a written table; rows in several blocks."""
+    from touchline.operators import models
+
+    held = models.MatchPredictor("random_forest", NAMES, {"trees": 4, "bins": 16, "least_leaf": 2}).fit(rows)
+    monkeypatch.setattr(trees, "MOST_NODES", 10)
+    monkeypatch.setattr(trees, "SMALL", small)
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 70)
+    own = models.MatchPredictor("random_forest", NAMES, {"trees": 4, "bins": 16, "least_leaf": 2}).fit(rows)
+    assert held.tree_model.below is None and own.tree_model.below is not None
+    assert sorted_nodes(own.tree_model, spark) == sorted_nodes(held.tree_model, spark)
+    p = lambda m: {r["match_id"]: [r["p_0"], r["p_1"], r["p_2"]] for r in m.predict(rows).collect()}
+    want, got = p(held), p(own)
+    assert len(got) == 200 and all(got[i] == pytest.approx(x, abs=1e-12) for i, x in want.items())
+    assert all(r["scores"] == pytest.approx(want[r["match_id"]], abs=1e-9) for r in own.tree_model.walked(rows).collect())
+    assert own.tree_model.importance() == pytest.approx(held.tree_model.importance())
+
+
+def test_growing_a_forest_takes_few_jobs(spark, rows):
+    """Its many nodes far down took passes of their own: a job and more a level."""
+    group = "few jobs"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        trees.fit_forest(rows, NAMES, trees=20, bins=16)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 12
